@@ -4,25 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from srcintel.llm import packing, repair
+from srcintel.llm import langid, mixing, neardup, packing, repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(by: int) -> Column:
+    """crc32 of doc_id as text, modulo."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % by
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), docs.where(_remainder(3) != 1))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.encode(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_neardup": op3_neardup,
     "op6_packing": op6_packing,
+    "op8_mixing": op8_mixing,
+    "op9_langid": op9_langid,
     "op10_repair": op10_repair,
 }
 
