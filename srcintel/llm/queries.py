@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcintel.llm import langid, mixing, neardup, packing, repair
+from srcintel.llm import langid, lines, mixing, neardup, packing, repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _remainder(by: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % by
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.cleaned(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
@@ -42,6 +46,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lines": op2_lines,
     "op3_neardup": op3_neardup,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
