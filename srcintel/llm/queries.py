@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcintel.llm import langid, lines, mixing, neardup, packing, repair
+from srcintel.llm import langid, lines, mixing, mjpeg, neardup, packing, repair, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op4_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.clips(_table(spark, sf_dir, "documents")).drop("shots")
+
+
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lines": op2_lines,
     "op3_neardup": op3_neardup,
+    "op4_mjpeg": op4_mjpeg,
+    "op5_repetition": op5_repetition,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
