@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcintel.llm import langid, lines, mixing, mjpeg, neardup, packing, repair, repetition
+from srcintel.llm import kneser_ney, langid, lines, mixing, mjpeg, neardup, packing, repair, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def _remainder(by: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % by
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = kneser_ney.train_and_score(docs, docs.where(_remainder(10) != 0))
+    return found.select("doc_id", (_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.cleaned(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -54,6 +60,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op2_lines": op2_lines,
     "op3_neardup": op3_neardup,
     "op4_mjpeg": op4_mjpeg,

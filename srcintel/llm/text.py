@@ -132,7 +132,13 @@ def words(col: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
 
 def per_text(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sums of values over each text's range."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    if values.dtype.kind == "f":  # differences of running sums would lose digits
+        out = np.zeros(len(ptr) - 1)
+        some = np.flatnonzero(np.diff(ptr))
+        if len(some):
+            out[some] = np.add.reduceat(values, ptr[some])
+        return out
+    total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[ptr[1:]] - total[ptr[:-1]]
 
