@@ -1,12 +1,84 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents that it keeps."""
+"""A corpus pipeline: five stages, each a function (spark, docs, sf_dir) -> the documents that it keeps.
+
+language ID -> line dedup -> MinHash near-dedup -> mixing -> packing. All but the last return the columns of
+documents. Every stage reads all rows that the one before kept.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from srcintel.llm import langid, lines, mixing, neardup, packing
+from srcintel.llm.shared import folder, row_key
+
+#: A document goes if no language holds this share of its words.
+LEAST_LANGUAGE_SHARE = 0.5
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(docs))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of which no language holds half of the words, go; lang becomes what was found.
+
+    The model learns from the texts and langs of the stage's own input."""
+    languages, logs, allowed = langid.model(langid.train(docs))
+    rest = [c for c in docs.columns if c not in ("lang", "text")]
+    found = langid.predict(docs, languages, logs, allowed, id_columns=(*rest, "text"))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    return kept.withColumnRenamed("lang_pred", "lang").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-equal lines one occurrence stays; documents left without a word go. n_chars follows the text."""
+    out = lines.dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    kept = neardup.classes(docs).where("keep").select("_k1", "_k2").distinct()
+    keyed = _keyed(docs)
+    # rows equal in all columns have one key: any one of them stays
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, or up to three times. Documents without words go."""
+    keyed = _keyed(docs)
+    copies = mixing.mix(keyed, ids=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    # rows equal in all columns have one key and are taken together
+    taken = keyed.dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"])
+    again = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack_sequences),
+]
 
-STAGES: list = []
+#: The stages can't be put in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents, each one's output written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs

@@ -28,10 +28,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of each document."""
+def sizes(docs: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """ids, source and number of words of each document."""
     n = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"))
+    return docs.select(*ids, F.col("source").cast("string").alias("source"), n.alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
@@ -86,10 +86,10 @@ def tilts(histogram: DataFrame, goal: DataFrame, most: float = 3, rounds: int =
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, buckets: int = 1024) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (times it is taken), for every document."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, buckets: int = 1024, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """ids, source, size, source_size, target, taken, copies (times it is taken), for every document."""
     spark = docs.sparkSession
-    sized = stash(sizes(docs), "sizes")
+    sized = stash(sizes(docs, ids), "sizes")
     goal = stash(targets(sized, weights, most), "targets")
     histogram = stash(sized.where("size > 0").groupBy(F.col("source").alias("key"), "size").agg(F.count("*").alias("n")), "histogram")
     state = tilts(histogram, goal, most).select("source", "source_size", "target", "scale", "full", "tilt")
@@ -100,18 +100,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     grouped = grouped.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("part")).over(along), F.lit(0)))
     rates = grouped.select("key", "size", "source_size", "target", "whole", "part", "before")
     # places inside (source, size)
-    own = sized.where("size > 0").withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    own = sized.where("size > 0").withColumn("hash", F.xxhash64(*ids)).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     counts = own.groupBy("source", "size", "bucket").agg(F.count("*").alias("in_bucket"))
     to_here = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("earlier", F.coalesce(F.sum("in_bucket").over(to_here), F.lit(0))).drop("in_bucket")
     rates = counts.join(rates, counts["source"].eqNullSafe(rates["key"]) & (counts["size"] == rates["size"])).select(counts["source"].alias("key"), counts["size"].alias("of"), F.col("bucket").alias("b"), "source_size", "target", "whole", "part", (F.col("before") + F.col("earlier") * F.col("part")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("hash", *ids))
     ranked = own.withColumn("rank", rank)
     placed = ranked.join(rates, ranked["source"].eqNullSafe(rates["key"]) & (ranked["size"] == rates["of"]) & (ranked["bucket"] == rates["b"]))
     half = UNIT // 2
     copies = F.expr(f"whole + ((base + rank * part + {half}) div {UNIT}) - ((base + (rank - 1) * part + {half}) div {UNIT})")
-    some = placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    some = placed.withColumn("copies", copies).select(*ids, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
     none = sized.where("size = 0")
     goal = goal.withColumnRenamed("source", "key")
-    none = none.join(goal, none["source"].eqNullSafe(goal["key"])).select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"))
+    none = none.join(goal, none["source"].eqNullSafe(goal["key"])).select(*ids, "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"))
     return some.unionByName(none)

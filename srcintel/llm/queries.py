@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcintel.llm import kneser_ney, langid, lines, mixing, mjpeg, neardup, packing, repair, repetition
+from srcintel.llm import kneser_ney, langid, lines, mixing, mjpeg, neardup, packing, repair, repetition, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mjpeg": op4_mjpeg,
     "op5_repetition": op5_repetition,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_repair": op10_repair,
