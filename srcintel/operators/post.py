@@ -132,9 +132,9 @@ COUNTERS = {
 def score(issues: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """value, grade, deduction and the counters; one row, or one for each group."""
     counts = [F.count_if(F.col("rule").isin(*rules)).alias(name) for name, rules in COUNTERS.items()]
-    total = issues.groupBy(*by).agg(F.coalesce(F.sum(weight()), F.lit(0.0)).alias("deduction"), *counts)
-    value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.col("deduction")))).cast("int")
-    return total.select(*by, value.alias("value"), grade(value).alias("grade"), "deduction", *COUNTERS)
+    total = issues.groupBy(*by).agg(F.coalesce(F.sum(weight().cast("decimal(20,6)")), F.lit(0)).alias("deduction"), *counts)
+    value = F.round(F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("deduction")))).cast("int")  # in decimals, so that halves round as they should
+    return total.select(*by, value.alias("value"), grade(value).alias("grade"), F.col("deduction").cast("double").alias("deduction"), *COUNTERS)
 
 
 def trend(now: DataFrame, before: DataFrame) -> DataFrame:
