@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,6 +54,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
+_task: list[str] = []
+_caches: list = []
+
+
+def enter(name: str) -> None:
+    """Called where an operator's function begins in a worker. Workers outlive their tasks: what another operator kept in
+    this process (a cache, freed but unreturned memory) is given back before this one needs its own."""
+    if _task == [name]:
+        return
+    _task[:] = [name]
+    for clear in _caches:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def at_change(clear) -> None:
+    """Registers what enter() calls."""
+    _caches.append(clear)
+
+
 def as_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty), and each row's offset in them."""
     if isinstance(col, pa.ChunkedArray):

@@ -1,7 +1,7 @@
 """Toxicity by classifier chains: one linear model after another, each fed the earlier categories' probabilities.
 
-Training, on at most `most_rows` distinct labelled texts (those of least hash of doc_id; a documented bound), in one
-task: features are the presence of words (runs of letters, lower case), the `most_words` with the highest G2 against the category among those in
+Training, on at most `most_rows` labelled texts (those of least hash of doc_id; a documented bound; copies count once),
+in one task: features are the presence of words (runs of letters, lower case), the `most_words` with the highest G2 against the category among those in
 `least_docs` texts or more, and a few shares of the text (symbols, capitals, digits, distinct words). A category's
 model is logistic regression with an L1 penalty (FISTA), refitted on the words that it kept. Probabilities that train
 the later models are out of fold (`folds` folds by hash), so they have the spread that they'll have on new texts;
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from srcintel.llm.repetition import SYMBOL
 from srcintel.llm.shared import ship
-from srcintel.llm.text import SPACE, U, as_bytes, per_text, range_hash, runs, steps
+from srcintel.llm.text import SPACE, U, as_bytes, enter, per_text, range_hash, runs, steps
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -158,29 +158,34 @@ def fit_chain(word: np.ndarray, row: np.ndarray, dense: np.ndarray, labels: np.n
     return out
 
 
-def train(labelled: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, folds: int = 5, l1: float = 3e-4, least_docs: int = 3, most_words: int = 4096) -> list[tuple[np.ndarray, np.ndarray]]:
-    """labelled: doc_id, text and the label columns. categories: name -> 0/1 column, in the order of the chain."""
-    spark = labelled.sparkSession
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, folds: int = 5, l1: float = 3e-4, least_docs: int = 3, most_words: int = 4096) -> list[tuple[np.ndarray, np.ndarray]]:
+    """docs: doc_id, text; labels: doc_id and the label columns. categories: name -> 0/1 column of labels, in the order of the chain."""
+    spark = docs.sparkSession
     ship(spark)
     names = list(categories)
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), *[c.cast("double").alias(f"y{k}") for k, c in enumerate(categories.values())])
-    rows = rows.dropna().withColumn("hash", F.xxhash64("doc_id"))
-    ids = rows.groupBy(F.xxhash64("text").alias("content")).agg(F.min(F.struct("hash", "doc_id")).alias("one")).select("one.*").orderBy("hash", "doc_id").limit(most_rows)
-    sample = rows.join(ids.distinct(), ["hash", "doc_id"], "left_semi").select("hash", "text", *[f"y{k}" for k in range(len(names))])
+    y = [c.cast("double").alias(f"y{k}") for k, c in enumerate(categories.values())]
+    sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("hash"), *y).dropna().orderBy("hash", "doc_id", *[f"y{k}" for k in range(len(names))]).limit(most_rows)
+    # most_rows small rows at most are broadcast: the documents stay where they are, only the sample's words travel
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = texts.join(F.broadcast(sample), "doc_id").select("hash", F.xxhash64("text").alias("content"), "text", *[f"y{k}" for k in range(len(names))])
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in steps(batches):
             word, off, dense = extract(batch.column("text"))
             raw, bound = word.astype("<u8").tobytes(), (8 * off).tolist()
             y = np.stack([batch.column(f"y{k}").to_numpy() for k in range(len(names))], 1)
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([raw[a:b] for a, b in zip(bound, bound[1:])], pa.binary()), pa.array(dense.tolist()), pa.array(y.tolist())], ["hash", "words", "dense", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("content"), pa.array([raw[a:b] for a, b in zip(bound, bound[1:])], pa.binary()), pa.array(dense.tolist()), pa.array(y.tolist())], ["hash", "content", "words", "dense", "y"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got)
         each = table.column("words").to_pylist()
+        once = np.sort(np.unique(table.column("content").to_numpy(), return_index=True)[1]).tolist()  # copies of a text count once
+        table, each = table.take(once), [each[k] for k in once]
         word = np.frombuffer(b"".join(each), "<u8").astype(U)
         row = np.repeat(np.arange(len(each)), [len(x) // 8 for x in each])
         fold = np.array(table.column("hash").to_pylist(), np.int64) % folds
@@ -189,7 +194,7 @@ def train(labelled: DataFrame, categories: dict[str, Column], most_rows: int = 2
         np.savez(buffer, **{f"{part}{k}": a for k, pair in enumerate(chain) for part, a in zip("cw", pair)})
         yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], ["model"])
 
-    shrunk = sample.mapInArrow(shrink, "hash long, words binary, dense array<double>, y array<double>")
+    shrunk = sample.mapInArrow(shrink, "hash long, content long, words binary, dense array<double>, y array<double>")
     found = shrunk.repartition(1).sortWithinPartitions("hash").mapInArrow(fit, "model binary").first()  # most_rows rows at most
     if found is None:
         return [(np.zeros(0, U), np.zeros(0)) for _ in names]
@@ -204,6 +209,7 @@ def predict(docs: DataFrame, chain: list[tuple[np.ndarray, np.ndarray]], names:
     shared = spark.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         chain = shared.value
         for batch in steps(batches):
             word, off, dense = extract(batch.column("text"))
@@ -226,6 +232,5 @@ def predict(docs: DataFrame, chain: list[tuple[np.ndarray, np.ndarray]], names:
 def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """doc_id, p_low_quality, p_toxic, toxic: the chain low quality -> toxic over the labels table."""
     categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality", "toxic"), "doc_id")
-    found = predict(docs, train(labelled, categories, **how), list(categories))
+    found = predict(docs, train(docs, labels, categories, **how), list(categories))
     return found.withColumn("toxic", F.col("p_toxic") >= threshold)
