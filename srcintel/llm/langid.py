@@ -1,7 +1,8 @@
 """Language ID of mixed-language text: script ranges, per-word scores, and Viterbi with a switching penalty.
 
 Model: counts of byte trigrams inside words (with a blank on either side, A-Z lowered, other ASCII as blank)
-per language, over all training documents, in 2**18 hash slots, as smoothed log probabilities; and how many
+per language, over all training documents, in 2**18 hash slots, as log probabilities smoothed towards those of all
+languages together; and how many
 of each script's words each language has. A word's script is that of its first letter's lead byte (the UTF-8
 lead byte fixes the block); only languages with at least `script_share` of their words in the script compete
 for it (all of them, where none has). A word's score for a language is the sum over its trigrams. Viterbi
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcintel.llm.shared import ship
-from srcintel.llm.text import LOWER, as_bytes, runs, steps
+from srcintel.llm.text import LOWER, as_bytes, enter, runs, steps
 
 SLOTS = 1 << 18
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian_hebrew", "arabic", "indic", "kana", "han", "hangul", "other")
@@ -65,6 +67,7 @@ def train(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         seen: dict[str, np.ndarray] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -100,8 +103,10 @@ def model(counts: DataFrame, script_share: float = 0.001) -> tuple[list[str], np
     index = {x: k for k, x in enumerate(langs)}
     np.add.at(n, (rows["slot"].to_numpy(), rows["lang"].map(index).to_numpy().astype(np.int64)), rows["n"].to_numpy())
     grams, scripts = n[:SLOTS], n[SLOTS:]
-    used = max(1, int((grams.sum(1) > 0).sum()))
-    logs = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * (used + 1)))
+    # what a language hasn't shown weighs as in all languages together, so that small ones gain nothing by it
+    every = grams.sum(1, keepdims=True)
+    pooled = (every + 0.5) / (every.sum() + 0.5 * (int((every > 0).sum()) + 1))
+    logs = np.log(0.9 * grams / np.maximum(1, grams.sum(0)) + 0.1 * pooled)
     allowed = scripts >= script_share * np.maximum(1, scripts.sum(0))
     allowed[~allowed.any(1)] = True
     return langs, logs.astype(np.float32), allowed
@@ -186,14 +191,16 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, allowed: np
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((languages, logs, allowed))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in id_columns] + ["lang_pred string", "score double"] + ["spans array<struct<lang: string, start: long, end: long>>"] * spans)
+    schema = T.StructType([docs.schema[c] for c in id_columns]).add("lang_pred", "string").add("score", "double")
+    if spans:
+        schema = schema.add("spans", T.ArrayType(T.StructType().add("lang", "string").add("start", "long").add("end", "long")))
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         languages, logs, allowed = shared.value
         names = np.array([*languages, "und"], object)
-        for batch in steps(batches, "_text", 8 << 20):
+        for batch in steps(batches, "_text", 6 << 20):
             col = batch.column("_text")
             label, ptr, start, end = label_words(col, logs, allowed, penalty)
             size, n, wide = np.diff(ptr), batch.num_rows, max(1, len(languages))
