@@ -74,7 +74,7 @@ def tilts(histogram: DataFrame, goal: DataFrame, most: float = 3, rounds: int =
         new = joined.groupBy(*keep, "tilt", "low", "high").agg(got.alias("got"), slope.alias("slope"))
         miss = F.log(F.col("got") / F.col("target"))
         low, high = F.when(miss < 0, F.col("tilt")).otherwise(F.col("low")), F.when(miss > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - miss * F.col("got") / F.col("slope")
+        newton = F.coalesce(F.col("tilt") - miss * F.try_divide("got", "slope"), F.lit(float("nan")))
         new = new.withColumns({"off": F.when(F.col("full"), F.lit(0.0)).otherwise(F.abs(miss)), "low": low, "high": high, "newton": newton})
         inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")) & ~F.isnan("newton")
         middle = F.when(F.col("low") == float("-inf"), F.col("high") * 2 - 1).when(F.col("high") == float("inf"), F.col("low") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
