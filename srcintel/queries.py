@@ -56,11 +56,11 @@ def clones_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _document_pairs(spark, sf).select(*long)
 
 
-@query(f"WITH {_WINDOWS} SELECT path_a, path_b FROM pairs WHERE (path_a % 10 = 1 AND m.sa <= 60 AND m.sa + 49 >= 60) OR (path_b % 10 = 1 AND m.sb <= 60 AND m.sb + 49 >= 60)")
+@query(f"WITH {_WINDOWS} SELECT path_a, path_b FROM pairs WHERE (path_a % 2 = 1 AND m.sa <= 40 AND m.sa + 49 >= 40) OR (path_b % 2 = 1 AND m.sb <= 40 AND m.sb + 49 >= 40)")
 def clones_trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Clones that cover word 60 of a document whose id ends in 1: the predicate of `--trace`, on many files at once."""
+    """Clones that cover word 40 of a document of odd id: the predicate of `--trace`, on many files at once."""
     issue = clones.issues(_document_pairs(spark, sf)).withColumn("path", F.col("path").cast("string"))
-    hit = F.exists("occurrences", lambda o: (o["path"] % 10 == 1) & (o["start_line"] <= 60) & (o["end_line"] >= 60))
+    hit = F.exists("occurrences", lambda o: (o["path"] % 2 == 1) & (o["start_line"] <= 40) & (o["end_line"] >= 40))
     return issue.where(hit).select(F.col("occurrences")[0]["path"].alias("path_a"), F.col("occurrences")[1]["path"].alias("path_b"))
 
 
