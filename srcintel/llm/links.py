@@ -47,10 +47,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def _cells(buckets: DataFrame) -> DataFrame:
+def _cells(buckets: DataFrame, most: int = CELL) -> DataFrame:
     """(cell, key) of (bucket, key): large buckets become triangles of salted cells."""
     size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
+    parts = F.ceil(F.col("n") / most).cast("int")
     joined = buckets.join(size, "bucket").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = joined.withColumn("other", other)
@@ -123,30 +123,27 @@ def _rows(rows: list[tuple], kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(a, arrow), pa.array(b, arrow)], ["run", "a", "b"])
 
 
-def group(items: DataFrame, buckets: DataFrame, width: str, near: Callable, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """items: (key, signature), distinct keys; buckets: (bucket, key). near(signature, signatures) -> mask, on
+def group_cells(cells: DataFrame, width: str, near: Callable, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """cells: (run, key, signature), a row for each item of each bucket, in a table. near(signature, signatures) -> mask, on
     numpy arrays of dtype `width`. verify: (a, b) -> its rows that are true links.
     Returns ((node, root) of all items in links, the verified links)."""
-    spark = items.sparkSession
+    spark = cells.sparkSession
     ship(spark)
-    kind = dict(items.dtypes)["key"]
+    kind = dict(cells.dtypes)["key"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = _cells(buckets)
-    cells = stash(cells.select(F.xxhash64("cell.bucket", "cell.i", "cell.j").alias("run"), "key").distinct(), "cells")
 
     def ready(some: DataFrame) -> DataFrame:
         return some.repartition(n, "run").sortWithinPartitions("run", "key")
 
-    found = stash(_links(ready(cells.join(items, "key")), kind, width, near, False), "links")
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    pairs = found.select(*ordered).distinct()
-    good = stash(verify(pairs), "verified")
+    found = stash(_links(ready(cells), kind, width, near, False).select("run", *ordered), "links")
+    good = stash(verify(found.select("a", "b").distinct()), "verified")
     labels = stash(components(good), "components")
-    bad = found.select("run", *ordered).join(good, ["a", "b"], "left_anti").select("run").distinct()
-    again = cells.join(bad, "run", "left_semi").join(items, "key")
+    bad = found.join(good, ["a", "b"], "left_anti").select("run").distinct()
+    again = cells.join(bad, "run", "left_semi")
     again = again.join(labels, again["key"] == labels["node"], "left").select("run", "key", "signature", F.coalesce("root", "key").alias("root"))
-    more = _links(ready(again), kind, width, near, True).select(*ordered).distinct().join(good, ["a", "b"], "left_anti")
-    more = stash(more, "pairs")
+    more = _links(ready(again), kind, width, near, True).select(*ordered).distinct()
+    more = stash(more.join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return labels, good
     extra = stash(verify(more), "verified")
@@ -154,3 +151,71 @@ def group(items: DataFrame, buckets: DataFrame, width: str, near: Callable, veri
         return labels, good
     both = good.unionByName(extra)
     return stash(components(both), "components"), both
+
+
+def _spanning(signature: np.ndarray, payload: list, likeness: Callable, enough: float, similar: Callable) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of the exact graph: pairs whose signatures promise enough are tried, the likeliest
+    first, unless they're connected already."""
+    parent = list(range(len(signature)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b, value = [], [], []
+    for i in range(len(signature) - 1):
+        like = likeness(signature[i], signature[i + 1 :])
+        hit = np.flatnonzero(like >= enough)
+        a.append(np.full(len(hit), i))
+        b.append(hit + i + 1)
+        value.append(like[hit])
+    if not a:
+        return
+    a, b, value = np.concatenate(a), np.concatenate(b), np.concatenate(value)
+    order = np.argsort(-value, kind="stable")
+    left = len(signature) - 1
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = find(i), find(j)
+        if x != y and similar(payload, i, j):
+            parent[x] = y
+            yield i, j
+            left -= 1
+            if not left:
+                return
+
+
+def group_by_content(items: DataFrame, buckets: DataFrame, width: str, likeness: Callable, enough: float, contents: Callable[[DataFrame], DataFrame], similar: Callable, cell: int = 1024) -> DataFrame:
+    """As group_cells(), for links that only the contents tell and whose candidates often fail: (node, root) of all linked items.
+
+    The bucket cells give spanning links of promising pairs; their components hold every promising pair of a bucket. Each
+    component's contents go once to a cell of its own (a large one's to a triangle of cells of at most 2 x `cell` items),
+    where pairs are verified in place: neither pairs nor their texts are exchanged.
+    likeness(signature, signatures) -> promise; contents(keys) -> (key, content); similar(contents, i, j) may replace contents by what it computes of them."""
+    spark = items.sparkSession
+    ship(spark)
+    kind = dict(items.dtypes)["key"]
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = _cells(buckets)
+    cells = cells.select(F.xxhash64("cell.bucket", "cell.i", "cell.j").alias("run"), "key").distinct()
+    ready = cells.join(items, "key").repartition(n, "run").sortWithinPartitions("run", "key")
+
+    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return likeness(one, many) >= enough
+
+    promised = stash(components(_links(ready, kind, width, near, False).select("a", "b")), "promised")
+    members = _cells(promised.select(F.col("root").alias("bucket"), F.col("node").alias("key")), cell)
+    members = members.select(F.xxhash64("cell.bucket", "cell.i", "cell.j").alias("run"), "key")
+    texts = stash(contents(promised.select(F.col("node").alias("key"))), "contents")
+    full = members.join(items, "key").join(texts, "key").repartition(n, "run").sortWithinPartitions("run", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in _by_cell(batches):
+            keys = one.column("key").to_pylist()
+            signature = np.frombuffer(b"".join(one.column("signature").to_pylist()), width).reshape(len(keys), -1)
+            found = [(0, keys[i], keys[j]) for i, j in _spanning(signature, one.column("content").to_pylist(), likeness, enough, similar)]
+            if found:
+                yield _rows(found, kind)
+
+    return stash(components(full.mapInArrow(run, f"run long, a {kind}, b {kind}").select("a", "b")), "components")

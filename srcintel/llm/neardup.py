@@ -9,8 +9,7 @@ probability J_P, the probability Jaccard similarity (for equal weights the plain
 `bands` bands of `rows` registers give candidates (at J_P 0.8, 16 bands of 4 miss 1 pair in 4,500); nearby
 signatures are verified on the exact J_P >= `least`.
 
-Returned: one row for each document: class_id (least doc_id of its class), class_size, n_links (verified links
-of its content to others). Copies share a content. Nulls, empty texts: no shingles, each row a class of its
+Returned: one row for each document: class_id (least doc_id of its class) and class_size. Copies share a content. Nulls, empty texts: no shingles, each row a class of its
 own. A null doc_id has the class of its content. Repeated rows are copies.
 """
 
@@ -21,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcintel.llm.links import group
+from srcintel.llm import keyset
+from srcintel.llm.links import group_by_content
 from srcintel.llm.shared import row_key, ship, stash
-from srcintel.llm.text import U, Words, mix, steps, words
+from srcintel.llm.text import U, Words, enter, mix, steps, words
 
 REGISTERS = 64
 
@@ -112,6 +113,7 @@ def signatures(docs: DataFrame, width: int = 5, id_columns: tuple[str, ...] = ("
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("neardup")
         for batch in steps(batches, "_text"):
             w = words(batch.column("_text"), lower=True)
             doc, shingle, weight = weighted(*shingles(w.hash, w.ptr, width))
@@ -125,76 +127,69 @@ def signatures(docs: DataFrame, width: int = 5, id_columns: tuple[str, ...] = ("
     return docs.select(*id_columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _verifier(texts: DataFrame, width: int, least: float):
-    """(a, b) -> the pairs whose texts have J_P >= least."""
+def _similar(width: int, least: float):
+    """Whether two of the texts have J_P >= least; texts turn into weighted sets when they're first needed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_set = None, None
-
-        def weighted_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-            w = words(pa.array([text]), lower=True)
-            return np.unique(shingles(w.hash, w.ptr, width)[0], return_counts=True)
-
-        for batch in steps(batches, "text_a", 4 << 20):
-            keep = np.zeros(batch.num_rows, bool)
-            rows = zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
-            for k, (a, text_a, text_b) in enumerate(rows):
-                if a != last_key:
-                    last_key, last_set = a, weighted_set(text_a)
-                keep[k] = similarity(last_set, weighted_set(text_b)) >= least
-            if keep.any():
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        some = stash(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]), "texts")
-        side_b = pairs.join(some.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        return side_b.join(some.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a binary, b binary")
-
-    return verify
-
-
-def content_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4, margin: float = 0.25) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id columns and key of each row of docs, (node, root) of the keys in links, links). docs: _k1, _k2, doc_id, text."""
+    def similar(contents: list, i: int, j: int) -> bool:
+        for k in (i, j):
+            if isinstance(contents[k], str):
+                w = words(pa.array([contents[k]]), lower=True)
+                key, count = np.unique(shingles(w.hash, w.ptr, width)[0], return_counts=True)
+                contents[k] = (key, count / count.sum())
+        (a, x), (b, y) = contents[i], contents[j]
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        both = b[at] == a
+        # J_P is at most the overlap of the two distributions
+        return bool(np.minimum(x[both], y[at[both]]).sum() >= least) and similarity(contents[i], contents[j]) >= least
+
+    return similar
+
+
+def content_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4, margin: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(id columns and key of each row of docs, (node, root) of the keys in links). docs: _k1, _k2, doc_id, text.
+    margin: signatures that agree in less than least - margin (4 standard deviations) aren't verified."""
     if bands * rows > REGISTERS:
         raise ValueError(f"bands * rows must not exceed {REGISTERS}")
-    ids = ("doc_id", "_k1", "_k2")
-    signed = stash(signatures(docs, width, ids), "signatures")
-    items = signed.where("key is not null").groupBy("key").agg(F.first("signature").alias("signature"))
-    items = stash(items, "items")
+    signed = stash(signatures(docs, width, ("doc_id", "_k1", "_k2")), "signatures")
+    items = stash(signed.where("key is not null").groupBy("key").agg(F.first("signature").alias("signature")), "items")
     band = [F.struct(F.xxhash64(F.lit(k), F.substring("signature", 4 * rows * k + 1, 4 * rows)).alias("bucket")) for k in range(bands)]
     buckets = items.select(F.explode(F.array(*band)).alias("band"), "key").select("band.bucket", "key")
-    enough = int(np.ceil((least - margin) * REGISTERS))
 
-    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return (many == one).sum(1) >= enough
+    def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return (many == one).mean(1)
+
+    def contents(keys: DataFrame) -> DataFrame:
+        folder = keyset.write(keys.select(F.xxhash64("key").alias("key")))
+        return _texts(docs, folder).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("content"))
 
-    labels, links = group(items, buckets, "<u4", near, _verifier(_texts(docs, width), width, least))
-    return signed.drop("signature"), labels, links
+    labels = group_by_content(items, buckets, "<u4", likeness, least - margin, contents, _similar(width, least))
+    return signed.drop("signature"), labels
 
 
-def _texts(docs: DataFrame, width: int) -> DataFrame:
-    """(key, text) of each row, keys as signatures() makes them."""
+def _texts(docs: DataFrame, folder: str) -> DataFrame:
+    """(key, text) of the rows whose keys, as signatures() makes them, are in the set: a mapped file, so that the other texts aren't exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = keyset.KeySet(folder)
         for batch in steps(batches):
-            w = words(batch.column("text"), lower=True)
-            keys = content_keys(w)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text")], ["key", "text"])
+            keys = content_keys(words(batch.column("text"), lower=True))
+            some = [k for k, x in enumerate(keys) if x is not None]
+            hit = wanted.contains(np.array([xxhash.xxh64_intdigest(keys[k], 42) for k in some], U))
+            at = [k for k, h in zip(some, hit.tolist()) if h]
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in at], pa.binary()), batch.column("text").take(pa.array(at))], ["key", "text"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, text string").where("key is not null")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, text string")
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, class_id, class_size, n_links and whether it is the one that stays (keep), with the row keys _k1, _k2."""
+    """doc_id, class_id, class_size and whether it is the one that stays (keep), with the row keys _k1, _k2."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(docs))
-    rows, labels, links = content_groups(keyed, **how)
-    sides = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    rows, labels = content_groups(keyed, **how)
     contents = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("stays"))
-    contents = contents.join(labels.withColumnRenamed("node", "key"), "key", "left").join(sides.withColumnRenamed("a", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    contents = contents.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     whole = contents.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min("stays").alias("stays"))
-    contents = contents.drop("least", "copies", "stays").join(whole, "root").select("key", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("stays._k1").alias("s1"), F.col("stays._k2").alias("s2"))
+    contents = contents.drop("least", "copies", "stays").join(whole, "root").select("key", "class_id", "class_size", F.col("stays._k1").alias("s1"), F.col("stays._k2").alias("s2"))
     out = rows.join(contents, "key", "left")
     keep = F.col("key").isNull() | ((F.col("_k1") == F.col("s1")) & (F.col("_k2") == F.col("s2")))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), keep.alias("keep"), "_k1", "_k2")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), keep.alias("keep"), "_k1", "_k2")

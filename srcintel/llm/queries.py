@@ -30,7 +30,7 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op4_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
