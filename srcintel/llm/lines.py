@@ -1,158 +1,353 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
-A line's normal form keeps its letters: lower case, every other character a blank, blanks collapsed. Lines of
-at least `min_chars` characters in normal form take part; equal normal forms are one item. SimHash: 128 bits, of the
-line's words. Two items are linked when their SimHashes differ in at most
-`distance` bits and their edit similarity, 1 - Levenshtein / longer length, is at least `least`. With
-distance + 1 blocks, two such SimHashes agree on one block at least (pigeonhole), so the join on blocks finds
-every link of this definition. Of each connected group of lines over all documents one occurrence stays: that of
-the least (doc_id, row key, line number). The others are cut out of their documents; other lines stay as they are.
-
-Documents left without any text, after they had some, are dropped by dedup(); all other rows stay, with all their
+A line's normal form keeps its letters: A-Z and the capitals of Latin-1 in lower case, all other ASCII and Latin-1
+signs blank, other scripts as they are; its words are what blanks part. Lines of `min_chars` bytes or more in normal
+form take part; equal normal forms (64 bits of hash) are one item. SimHash: 128 bits, of the line's words. Two items are
+linked when their SimHashes differ in at most `distance` bits and their edit similarity, 1 - Levenshtein / longer
+length, is at least `least`. With distance + 1 blocks, two such SimHashes agree on one block at least (pigeonhole), so
+the join on blocks finds every link of this definition. Of each connected group of lines over all documents one
+occurrence stays: that of the least (doc_id, row key, line number). The others are cut out of their documents.
+
+Occurrences travel as arrays, merged by ranges of their keys: a step of a task sends a line once, however often it
+has it, and the merging keeps only the least occurrence of each line, so a line that a third of the corpus shares is
+no hot group. Only lines that occur again or have a neighbour turn into rows.
+
+Documents left without any word, after they had some, are dropped by dedup(); all other rows stay, with all their
 columns. Nulls and empty texts stay as they are. Rows equal in all columns are one document given twice: both
 keep the same lines. A null doc_id sorts last.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcintel.llm.links import group
+from srcintel.llm import keyset
+from srcintel.llm.links import group_cells
 from srcintel.llm.shared import row_key, ship, stash
-from srcintel.llm.text import U, mix, steps, words
+from srcintel.llm.text import U, as_bytes, enter, mix, range_hash, runs, steps
 
 BITS = 128
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+RANGES = 4  # for each shuffle partition
+OCCURRENCE = np.dtype([("key", "<u8"), ("none", "u1"), ("doc", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("line", "<i4"), ("s1", "<u8"), ("s2", "<u8")])
+ORDER = ["key", "none", "doc", "k1", "k2", "line"]
+BUCKET = np.dtype([("bucket", "<u8"), ("key", "<u8"), ("s1", "<u8"), ("s2", "<u8")])
+
+_SHOWN = np.full(256, 32, np.uint8)
+_SHOWN[97:123] = np.arange(97, 123)
+_SHOWN[65:91] = np.arange(97, 123)
+_SHOWN[128:] = np.arange(128, 256)
+#: Eight 8-bit (four 16-bit) counters, with one more in each whose bit is set.
+_SPREAD8 = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint8).reshape(256, 8).copy().view("<u8")[:, 0]
 
 
-def normal(line: str) -> str:
-    """Letters in lower case, single blanks between."""
-    return _NOT_LETTERS.sub(" ", line).strip().lower()
+def shown(data: np.ndarray) -> np.ndarray:
+    """The normal form's bytes, blanks for what it leaves out."""
+    out = _SHOWN[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    capital = lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)] + 1
+    out[capital] += 0x20
+    sign = lead[(second == 0x97) | (second == 0xB7)]
+    sign = np.concatenate([sign, np.flatnonzero(data[:-1] == 0xC2)])
+    out[sign] = out[sign + 1] = 32
+    return out
 
 
-def simhash(col: pa.Array) -> np.ndarray:
-    """len(col) x 2 of 64 bits: each bit is the majority, over the line's words, of that bit of their hashes."""
-    w = words(col)
-    n = len(col)
-    feature, owner = w.hash, w.doc
-    first = np.searchsorted(owner, np.arange(n + 1))
-    out = np.zeros((n, 2), U)
-    full = np.flatnonzero(np.diff(first))
-    if not len(full):
-        return out
-    half = np.diff(first)[full]
+def simhash(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """len(first) x 2 of 64 bits: each bit is the majority of that bit of the words' hashes. first: each line's first word; no line is empty."""
+    size = np.diff(np.append(first, len(word)))
+    out = np.zeros((len(first), 2), "<u8")
     for side in range(2):
-        bits = np.unpackbits(mix(feature + U(side * 0x9E37 + 1)).view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first[:-1][full], axis=0, dtype=np.int32)
-        out[full, side] = np.packbits(2 * ones > half[:, None], axis=1).view(U)[:, 0]
+        raw = mix(word + U(side * 0x9E37 + 1)).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.zeros((len(first), 8, 8), np.int32)
+        # sums of at most 255 words fit the 8-bit counters: longer lines are summed in parts
+        parts = np.minimum(size, 255)
+        extra = -(-size // 255)
+        starts = np.repeat(first, extra) + 255 * (np.arange(int(extra.sum())) - np.repeat(np.cumsum(extra) - extra, extra)) if (parts != size).any() else first
+        owner = np.cumsum(extra) - extra
+        for k in range(8):
+            total = np.add.reduceat(_SPREAD8[raw[:, k]], starts).view(np.uint8).reshape(-1, 8)
+            ones[:, k] = total if starts is first else np.add.reduceat(total.astype(np.int32), owner, axis=0)
+        out[:, side] = np.packbits(2 * ones.reshape(-1, 64) > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def blocks(signature: np.ndarray, count: int) -> np.ndarray:
-    """len x count of 64 bits: the signature cut into `count` blocks of BITS / count bits, each with its number."""
-    bits = np.unpackbits(signature.view(np.uint8).reshape(len(signature), -1), axis=1)
-    out = np.zeros((len(signature), count), U)
-    cuts = np.linspace(0, BITS, count + 1).astype(int)
-    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        padded = np.zeros((len(signature), 64), np.uint8)
-        padded[:, : hi - lo] = bits[:, lo:hi]
-        out[:, k] = np.packbits(padded, axis=1).view(U)[:, 0] + U(k * 0x9E3779B97F4A7C15 & (2**64 - 1))
-    return mix(out)
+class Lines:
+    """The lines of a text column that take part."""
+
+    def __init__(self, col: pa.Array, min_chars: int):
+        data, off = as_bytes(col)
+        self.form = shown(data) if len(data) else data
+        ends = np.flatnonzero(data == 10)
+        # a line is between line ends, within its text
+        bound = np.sort(np.concatenate([off[:-1], ends + 1]), kind="stable")
+        text = np.searchsorted(off[1:-1], bound, "right") if len(off) > 2 else np.zeros(len(bound), np.int64)
+        fresh = np.zeros(len(bound), bool)
+        # starts that coincide belong to empty texts and lines; the last is that of the text with words
+        fresh[np.searchsorted(bound, off[:-1], "right") - 1] = True
+        begun = np.maximum.accumulate(np.where(fresh, np.arange(len(bound)), 0))
+        number = np.arange(len(bound)) - begun
+        breaks = np.append(bound, len(data))
+        start, end, ptr = runs(self.form != 32, breaks)
+        n = np.diff(ptr)
+        length = np.zeros(len(end) + 1, np.int64)
+        np.cumsum(end - start, out=length[1:])
+        size = length[ptr[1:]] - length[ptr[:-1]] + np.maximum(0, n - 1)
+        keep = (size >= min_chars) & (n > 0)
+        self.text, self.number = text[keep], number[keep]
+        inside = np.repeat(keep, n)
+        self.start, self.end = start[inside], end[inside]
+        self.word = range_hash(self.form, self.start, self.end)
+        n = n[keep]
+        self.first = np.cumsum(n) - n
+        # an order-sensitive hash of the words
+        place = np.arange(len(self.word)) - np.repeat(self.first, n)
+        self.key = mix(np.add.reduceat(mix(self.word + place.astype(U) * U(0x9E3779B97F4A7C15)), self.first)) if len(n) else np.zeros(0, U)
+
+    def text_of(self, k: int) -> str:
+        stop = self.first[k + 1] if k + 1 < len(self.first) else len(self.start)
+        raw = self.form[self.start[self.first[k]] : self.end[stop - 1]].tobytes()
+        return b" ".join(raw.split()).decode("utf-8", "replace")
+
+
+def _parts(records: np.ndarray, by: str, ranges: int) -> pa.RecordBatch | None:
+    """Records sorted by a key as a row for each range of it."""
+    bound = [0, *np.searchsorted(records[by], np.array([((r << 64) // ranges) for r in range(1, ranges)], U)).tolist(), len(records)]
+    rows = [(r, records[a:b].tobytes()) for r, (a, b) in enumerate(zip(bound, bound[1:])) if b > a]
+    if not rows:
+        return None
+    part, raw = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(raw, pa.binary())], ["part", "records"])
+
+
+def _least(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the least occurrence of each key, ascending by key; all others, but for the same place in a row given twice)."""
+    records = records[np.lexsort([records[c] for c in reversed(ORDER)])]
+    first = np.ones(len(records), bool)
+    first[1:] = records["key"][1:] != records["key"][:-1]
+    kept = records[first]
+    own = kept[np.cumsum(first) - 1]
+    return kept, records[(records["k1"] != own["k1"]) | (records["k2"] != own["k2"]) | (records["line"] != own["line"])]
+
+
+CUT = "part int, records binary, _k1 long, _k2 long, line int"
 
 
-def line_rows(docs: DataFrame, min_chars: int, distance: int) -> DataFrame:
-    """(doc_id, _k1, _k2, line, key, signature, blocks, form) of every line that takes part. docs: doc_id, _k1, _k2, text."""
+def _cut_rows(gone: np.ndarray) -> pa.RecordBatch:
+    n = len(gone)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(gone["k1"].copy()), pa.array(gone["k2"].copy()), pa.array(gone["line"].copy())], [c.split()[0] for c in CUT.split(", ")])
+
+
+def _kept_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], [c.split()[0] for c in CUT.split(", ")])
+
+
+def occurrences(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
+    """Rows of two kinds: arrays of the least occurrences of a step's lines, and the step's other occurrences, which go for sure."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
         for batch in steps(batches):
-            texts = batch.column("text").to_pylist()
-            owner, number, forms = [], [], []
-            for k, text in enumerate(texts):
-                for i, line in enumerate((text or "").split("\n")):
-                    form = normal(line)
-                    if len(form) >= min_chars:
-                        owner.append(k)
-                        number.append(i)
-                        forms.append(form)
-            if not forms:
+            lines = Lines(batch.column("text"), min_chars)
+            if not len(lines.key):
                 continue
-            coded = pa.array(forms, pa.string()).dictionary_encode()
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            signature = simhash(coded.dictionary)
-            keys = pa.array([hashlib.blake2b(f.encode(), digest_size=16).digest() for f in coded.dictionary.to_pylist()], pa.binary())
-            raw = signature.astype("<u8").tobytes()
-            sig = pa.array([raw[16 * k : 16 * k + 16] for k in range(len(signature))], pa.binary())
-            block = blocks(signature, distance + 1).view(np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * (distance + 1)), pa.array(block.reshape(-1)))
-            # the item's own columns come once in a step, with its first line
-            seen = np.zeros(len(keys), bool)
-            first_at = np.unique(which, return_index=True)[1]
-            again = np.ones(len(which), bool)
-            again[first_at] = False
-            mask = pa.array(again)
-            at = pa.array(owner, pa.int32())
-            pick = coded.indices
-            once = pc.if_else(mask, pa.scalar(None, pa.int32()), pick)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("_k1").take(at), batch.column("_k2").take(at), pa.array(number, pa.int32()), keys.take(pick), sig.take(once), flat.take(once), coded.dictionary.take(once)],
-                ["doc_id", "_k1", "_k2", "line", "key", "signature", "blocks", "form"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, _k1 long, _k2 long, line int, key binary, signature binary, blocks array<long>, form string")
+            doc = batch.column("doc_id")
+            records = np.zeros(len(lines.key), OCCURRENCE)
+            records["key"], records["line"] = lines.key, lines.number
+            for name, values in (("none", doc.is_null().to_numpy(zero_copy_only=False)), ("doc", doc.fill_null(0).to_numpy(zero_copy_only=False)), ("k1", batch.column("_k1").to_numpy()), ("k2", batch.column("_k2").to_numpy())):
+                records[name] = values[lines.text]
+            sketch = simhash(lines.word, lines.first)
+            records["s1"], records["s2"] = sketch[:, 0], sketch[:, 1]
+            kept, gone = _least(records)
+            yield _kept_rows(_parts(kept, "key", ranges))
+            if len(gone):
+                yield _cut_rows(gone)
+
+    return docs.mapInArrow(run, CUT)
+
+
+def merged(arrays: DataFrame, parts: int) -> DataFrame:
+    """The same over the whole corpus: arrays of all distinct lines, and the occurrences that go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
+        part, held, size = None, [], 0
+
+        def reduce() -> np.ndarray:
+            nonlocal held, size
+            kept, gone = _least(np.concatenate(held))
+            held, size = [kept], 0
+            return gone
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if part is not None:
+                gone = reduce()
+                if len(gone):
+                    yield _cut_rows(gone)
+                for lo in range(0, len(held[0]), 200_000):
+                    piece = held[0][lo : lo + 200_000]
+                    yield _kept_rows(pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["part", "records"]))
+
+        for b in batches:
+            for p, raw in zip(b.column("part").to_pylist(), b.column("records").to_pylist()):
+                if p != part:
+                    yield from close()
+                    part, held, size = p, [], 0
+                held.append(np.frombuffer(raw, OCCURRENCE))
+                size += len(held[-1])
+                if size > 500_000:
+                    gone = reduce()
+                    if len(gone):
+                        yield _cut_rows(gone)
+        yield from close()
+
+    return arrays.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, CUT)
+
+
+def _has_near(r: np.ndarray, new: np.ndarray, distance: int, reach: int = 32) -> np.ndarray:
+    """The records, sorted by bucket, that have a near one in their bucket; all of a bucket too large to compare here."""
+    run = np.cumsum(new) - 1
+    keep = np.bincount(run)[run] > reach + 1 if len(r) else new
+    for d in range(1, reach + 1):
+        i = np.flatnonzero((run[:-d] == run[d:]) & ~(keep[:-d] & keep[d:]))
+        if not len(i):
+            break
+        far = np.bitwise_count(r["s1"][i] ^ r["s1"][i + d]) + np.bitwise_count(r["s2"][i] ^ r["s2"][i + d])
+        i = i[far <= distance]
+        keep[i] = keep[i + d] = True
+    return keep
+
+
+def block_cells(items: DataFrame, distance: int, ranges: int, parts: int) -> DataFrame:
+    """(run, key, signature) of the lines that share a block of their SimHash with another line. items: arrays of distinct lines."""
+    cuts = np.linspace(0, BITS, distance + 2).astype(int)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("records").to_pylist():
+                r = np.frombuffer(raw, OCCURRENCE)
+                bits = np.unpackbits(np.stack([r["s1"], r["s2"]], 1).view(np.uint8), axis=1)
+                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    block = np.zeros((len(r), 64), np.uint8)
+                    block[:, : hi - lo] = bits[:, lo:hi]
+                    out = np.zeros(len(r), BUCKET)
+                    out["bucket"] = mix(np.packbits(block, axis=1).view(U)[:, 0] + U((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+                    out["key"], out["s1"], out["s2"] = r["key"], r["s1"], r["s2"]
+                    yield _parts(np.sort(out, order="bucket"), "bucket", ranges)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if held:
+                r = np.concatenate(held)
+                r = r[np.argsort(r["bucket"], kind="stable")]
+                new = np.ones(len(r), bool)
+                new[1:] = r["bucket"][1:] != r["bucket"][:-1]
+                r = r[_has_near(r, new, distance)]
+                for lo in range(0, len(r), 50_000):
+                    x = r[lo : lo + 50_000]
+                    raw = np.stack([x["s1"], x["s2"]], 1).astype("<u8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(x["bucket"].view(np.int64)), pa.array(x["key"].view(np.int64)), pa.array([raw[16 * i : 16 * i + 16] for i in range(len(x))], pa.binary())], ["run", "key", "signature"])
+
+        part, held = None, []
+        for b in batches:
+            for p, raw in zip(b.column("part").to_pylist(), b.column("records").to_pylist()):
+                if p != part:
+                    yield from close(held)
+                    part, held = p, []
+                held.append(np.frombuffer(raw, BUCKET))
+        yield from close(held)
+
+    blobs = items.select("records").mapInArrow(spread, "part int, records binary")
+    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "run long, key long, signature binary")
+
+
+def forms(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
+    """(key, form) of the lines with these keys, from another pass over the texts that a mapped set of keys filters."""
+    folder = keyset.write(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
+        wanted = keyset.KeySet(folder)
+        for batch in steps(batches):
+            lines = Lines(batch.column("text"), min_chars)
+            key, at = np.unique(lines.key, return_index=True)
+            at = at[wanted.contains(key)] if len(key) else at
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[at].view(np.int64)), pa.array([lines.text_of(int(k)) for k in at], pa.string())], ["key", "form"])
+
+    return docs.select("text").mapInArrow(run, "key long, form string").groupBy("key").agg(F.first("form").alias("form"))
 
 
 def removals(docs: DataFrame, least: float = 0.8, distance: int = 4, min_chars: int = 20) -> DataFrame:
     """(_k1, _k2, lines): the line numbers to cut from each document that has any. docs: doc_id, _k1, _k2, text."""
-    rows = stash(line_rows(docs, min_chars, distance), "lines")
-    items = stash(rows.where("signature is not null").groupBy("key").agg(F.first("signature").alias("signature"), F.first("blocks").alias("blocks")), "items")
-    forms = rows.where("form is not null").select("key", "form")
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = RANGES * parts
+    one = stash(occurrences(docs, min_chars, ranges), "lines")
+    two = stash(merged(one.where("part is not null").select("part", "records"), parts), "lines")
+    items = two.where("part is not null").select("part", "records")
+    gone = one.where("part is null").select("_k1", "_k2", "line").unionByName(two.where("part is null").select("_k1", "_k2", "line"))
+    cells = stash(block_cells(items, distance, ranges, parts), "cells")
 
-    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(many ^ one).sum(1) <= distance
+    def near(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(many ^ first).sum(1) <= distance
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        some = stash(forms.join(needed, "key", "left_semi").dropDuplicates(["key"]), "forms")
+        some = stash(forms(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), min_chars), "forms")
         both = pairs.join(some.select(F.col("key").alias("a"), F.col("form").alias("x")), "a").join(some.select(F.col("key").alias("b"), F.col("form").alias("y")), "b")
         # the limit lets levenshtein() stop early; it gives -1 beyond it
         return both.where(F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {1 - least!r} + 1e-9) as int)) >= 0")).select("a", "b")
 
-    buckets = items.select(F.explode("blocks").alias("bucket"), "key")
-    labels, _ = group(items.select("key", "signature"), buckets, "<u8", near, verify)
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "line")
-    grouped = rows.select("key", place.alias("place")).join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    grouped = stash(grouped.select("root", "place"), "grouped")
-    kept = grouped.groupBy("root").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    cut = grouped.join(kept, "root").where("place != kept").select("place._k1", "place._k2", "place.line")
-    return cut.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    labels, links = group_cells(cells, "<u8", near, verify)
+    if not links.isEmpty():
+        folder = keyset.write(labels.select(F.col("node").alias("key")))
 
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = keyset.KeySet(folder)
+            for b in batches:
+                for raw in b.column("records").to_pylist():
+                    r = np.frombuffer(raw, OCCURRENCE)
+                    r = r[wanted.contains(r["key"])]
+                    if len(r):
+                        doc = pa.array(r["doc"].copy(), mask=r["none"].astype(bool))
+                        yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64) if r["key"].flags.contiguous else r["key"].copy().view(np.int64)), doc, *(pa.array(r[c].copy()) for c in ("k1", "k2", "line"))], ["key", "doc_id", "_k1", "_k2", "line"])
 
-def cleaned(docs: DataFrame, **how) -> DataFrame:
-    """docs, every row, with text without the lines to cut, and n_lines, n_removed."""
+        first = items.select("records").mapInArrow(linked, "key long, doc_id long, _k1 long, _k2 long, line int")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "line")
+        first = stash(first.join(labels.withColumnRenamed("node", "key"), "key").select("root", place.alias("place")), "places")
+        kept = first.groupBy("root").agg(F.min("place").alias("kept"))
+        gone = gone.unionByName(first.join(kept, "root").where("place != kept").select("place._k1", "place._k2", "place.line"))
+    return gone.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+
+
+def _cleaned(docs: DataFrame, **how) -> DataFrame:
+    """docs with text without the lines to cut, and the counts under names that no table has."""
     keys = row_key(docs)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.col("text").cast("string").alias("text"))
-    cut = removals(plain, **how)
-    joined = keyed.join(cut, ["_k1", "_k2"], "left")
+    cut = removals(plain, **how).withColumnRenamed("lines", "_cut_lines")
+    joined = docs.select(*columns, *keys).join(cut, ["_k1", "_k2"], "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("lines", i)), "\n")
-    counted = joined.withColumns({"n_lines": F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)), "n_removed": F.coalesce(F.size(F.when(F.col("lines").isNotNull(), F.col("lines"))), F.lit(0))})
-    counted = counted.withColumns({"n_lines": F.greatest("n_lines", F.lit(0)).cast("long"), "n_removed": F.greatest("n_removed", F.lit(0)).cast("long")})
-    return counted.withColumn("text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_cut_lines", i)), "\n")
+    out = joined.withColumns({"_all_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "_n_cut": F.when(F.col("_cut_lines").isNull(), 0).otherwise(F.size("_cut_lines")).cast("long")})
+    return out.withColumn("text", F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(left)).select(*columns, "_all_lines", "_n_cut")
+
+
+def cleaned(docs: DataFrame, **how) -> DataFrame:
+    """docs, every row, with text without the lines to cut, and n_lines, n_removed (which replace columns of these names)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _cleaned(docs, **how).select(*rest, F.col("_all_lines").alias("n_lines"), F.col("_n_cut").alias("n_removed"))
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """The columns of docs; documents of which no word is left go."""
-    out = cleaned(docs, **how)
-    gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = (F.col("_n_cut") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return _cleaned(docs, **how).where(~gone).select(*[F.col(f"`{c}`") for c in docs.columns])
