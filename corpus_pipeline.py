@@ -27,10 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the texts and langs of the stage's own input."""
     languages, logs, allowed = langid.model(langid.train(docs))
-    rest = [c for c in docs.columns if c not in ("lang", "text")]
-    found = langid.predict(docs, languages, logs, allowed, id_columns=(*rest, "text"))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the table's columns are called
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col("text"))
+    found = langid.predict(plain, languages, logs, allowed, id_columns=tuple(names))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    return kept.withColumnRenamed("lang_pred", "lang").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

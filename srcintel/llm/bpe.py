@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from srcintel.llm.text import at_change
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -126,3 +128,11 @@ class ChunkEncoder:
         ids, ptr = self.encode(col)
         at = ptr[1:]
         return np.insert(ids, at, np.uint32(end)), ptr + np.arange(len(ptr))
+
+
+@at_change
+def forget() -> None:
+    """Drops what the encoders of this process remember."""
+    for e in ChunkEncoder._of.values():
+        e.cache.clear()
+        e.pieces.clear()

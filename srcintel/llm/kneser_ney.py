@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcintel.llm.shared import fresh, ship
-from srcintel.llm.text import U, mix, per_text, steps, unmix, words
+from srcintel.llm.text import U, enter, mix, per_text, steps, unmix, words
 
 END = U(0x5EED0E4D0F7E87)
 #: Ids in a file of dense arrays.
@@ -248,6 +248,7 @@ def train(docs: DataFrame, folder: str, ranges: int = 0) -> Model:
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def count_unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("kneser_ney")
         counter = _Counter(ranges, 2_000_000)
         for batch in steps(batches):
             keys, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
@@ -268,6 +269,7 @@ def train(docs: DataFrame, folder: str, ranges: int = 0) -> Model:
         return m
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("kneser_ney")
         reader, counter = Reader(m), _Counter(ranges, 6_000_000)
         for batch in steps(batches):
             token, context, _, _ = _text_ids(reader, batch.column("text"))
@@ -377,6 +379,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(m)  # names, range ends, discounts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("kneser_ney")
         m = shared.value
         reader = Reader(m)
         for batch in steps(batches, limit=4 << 20):

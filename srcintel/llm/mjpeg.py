@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcintel.llm.shared import ship
-from srcintel.llm.text import as_bytes, steps
+from srcintel.llm.text import as_bytes, enter, steps
 
 WIDE, HIGH = 16, 12
 FRAME = WIDE * HIGH
@@ -275,6 +275,7 @@ def clips(docs: DataFrame, media: bool = False) -> DataFrame:
     shot_type = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("mjpeg")
         for batch in steps(batches):
             samples, ptr, size = payloads(batch.column("text"))
             coded = encode_frames(samples)

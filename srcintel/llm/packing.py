@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from srcintel.llm.bpe import ChunkEncoder, tokenizer_path
 from srcintel.llm.shared import ship
-from srcintel.llm.text import steps
+from srcintel.llm.text import enter, steps
 
 WINDOW = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
@@ -147,11 +147,12 @@ def pack(docs: DataFrame, path: str = "", window: int = WINDOW, end: int = 1, se
         raise ValueError("run must not exceed the window")
 
     def run_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("encode")
         from pyspark import TaskContext
 
         encoder = ChunkEncoder.at(path)
         packer = _Packer(TaskContext.get().partitionId(), sentence_ids(path), window, sentence_cost, run, run_cost)
-        for batch in steps(batches, limit=6 << 20):
+        for batch in steps(batches, limit=4 << 20):
             ids, ptr = encoder.encode_closed(batch.column("text"), end)
             doc_ids = batch.column("doc_id").to_pylist()
             lo = 0

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from srcintel.llm.bpe import ChunkEncoder, tokenizer_path
 from srcintel.llm.shared import fresh, ship, stash
-from srcintel.llm.text import steps
+from srcintel.llm.text import enter, steps
 
 MAGIC = b"RPG1"
 BLOCK = 2 << 20
@@ -173,6 +173,7 @@ def write_shards(docs: DataFrame, to: str, path: str = "", end: int = 1, base: i
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("encode")
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
@@ -210,6 +211,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     placed = shards.withColumn("before", F.coalesce(F.sum("ids").over(w), F.lit(0).cast("long"))).select("path", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("encode")
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 for b in blocks(np.memmap(path, np.uint8, "r").data):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcintel.llm.shared import ship
-from srcintel.llm.text import SPACE, Words, per_text, steps, words
+from srcintel.llm.text import SPACE, Words, enter, per_text, steps, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -141,6 +141,7 @@ def score(docs: DataFrame, shortest: int = 5, most_covered: float = 0.3, longest
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("repetition")
         for batch in steps(batches):
             col = batch.column("text")
             found = features(words(col), shortest)
