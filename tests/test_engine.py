@@ -261,14 +261,12 @@ def test_source_reads_hidden_names(spark, tree):
 
 
 def test_commands(spark, tree, capsys):
-    assert commands.main(["check", str(tree), "--format", "json", "--score", "--save-baseline", str(tree / "base.json")], spark) == 1
+    (tree / "src/app/used.py").write_text("x = 1\nprint(x)\n")
+    base = str(tree / "base.json")
+    assert commands.main(["smells", str(tree), "--format", "json", "--score", "--save-baseline", base], spark) == 1
     out = capsys.readouterr()
-    got = {(i["type"], i.get("path")) for i in json.loads(out.out)["issues"]}
-    assert got == {("unused-file", "src/app/_orphan.py"), ("unused-import", "src/app/main.py"), ("unused-dep", "pyproject.toml")} and "score" in out.err
-    assert commands.main(["check", str(tree), "--baseline", str(tree / "base.json")], spark) == 0
-    assert commands.main(["fix", str(tree), "--write"], spark) == 0
-    assert "remove: os" in capsys.readouterr().out
-    assert "import os" not in (tree / "src/app/main.py").read_text()
+    assert [(i["type"], i["rule"], i["line"]) for i in json.loads(out.out)["issues"]] == [("smell", "stray-print", 2)] and "score" in out.err
+    assert json.loads((tree / "base.json").read_text())["fingerprints"] == ["smell:stray-print:src/app/used.py:2"]
     assert commands.main(["init", str(tree)]) == 0
     with pytest.raises(FileExistsError):
         commands.main(["init", str(tree)])
@@ -286,7 +284,7 @@ def test_audit_and_git(spark, tree):
     run("commit", "-am", "2")
     assert sorted(r["churn"] for r in health.churn(projects.commits(spark, tree)).collect())[-1] == 2
     w = commands.Workspace(spark, tree)
-    assert rules(w.audit("main"), "path") == [("mutable-default", "src/app/used.py")]
+    assert rules(post.in_scope(w.smells(), projects.changed(spark, tree, "main")), "path") == [("mutable-default", "src/app/used.py")]
     with pytest.raises(RuntimeError):
         projects.changed(spark, tree, "nope")
 
