@@ -1,11 +1,12 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: MinHash bands of normalised lines, edit similarity, connected groups.
 
 A line's normal form keeps its letters: A-Z and the capitals of Latin-1 in lower case, all other ASCII and Latin-1
 signs blank, other scripts as they are; its words are what blanks part. Lines of `min_chars` bytes or more in normal
-form take part; equal normal forms (64 bits of hash) are one item. SimHash: 128 bits, of the line's words. Two items are
-linked when their SimHashes differ in at most `distance` bits and their edit similarity, 1 - Levenshtein / longer
-length, is at least `least`. With distance + 1 blocks, two such SimHashes agree on one block at least (pigeonhole), so
-the join on blocks finds every link of this definition. Of each connected group of lines over all documents one
+form take part; equal normal forms (64 bits of hash) are one item. Two items are linked when their edit similarity,
+1 - Levenshtein / longer length, is at least `least`. Candidates are lines that share a bucket: BANDS bands of ROWS
+minima of the hashes of their runs of GRAM bytes. A pair with a share J of its runs in common meets with probability
+1 - (1 - J^ROWS)^BANDS; lengths and 28 other minima then tell most chance meetings. The README gives the recall
+measured against brute force. Of each connected group of lines over all documents one
 occurrence stays: that of the least (doc_id, row key, line number). The others are cut out of their documents.
 
 Occurrences travel as arrays, merged by ranges of their keys: a step of a task sends a line once, however often it
@@ -19,6 +20,7 @@ keep the same lines. A null doc_id sorts last.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,19 @@ from srcintel.llm.links import group_cells
 from srcintel.llm.shared import row_key, ship, stash
 from srcintel.llm.text import U, as_bytes, enter, mix, range_hash, runs, steps
 
-BITS = 128
 RANGES = 4  # for each shuffle partition
-OCCURRENCE = np.dtype([("key", "<u8"), ("none", "u1"), ("doc", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("line", "<i4"), ("s1", "<u8"), ("s2", "<u8")])
+OCCURRENCE = np.dtype([("key", "<u8"), ("none", "u1"), ("doc", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("line", "<i4")])
 ORDER = ["key", "none", "doc", "k1", "k2", "line"]
-BUCKET = np.dtype([("bucket", "<u8"), ("key", "<u8"), ("s1", "<u8"), ("s2", "<u8")])
+#: A line in a bucket: the bucket's lower 32 bits (the upper ones choose the range).
+MEMBER = np.dtype([("low", "<u4"), ("key", "<u8"), ("signature", "<u8")])
+GRAM = 6  # bytes
+BANDS, ROWS = 16, 4
+REGISTERS = BANDS * ROWS
+AGREE = 11
+LOG_STEPS = 12  # of length, for each doubling
+SMALL = 16  # lines of a bucket whose pairs are compared where the bucket is put together
+_NONE = np.uint32(0xFFFFFFFF)
+_ORDER_OF_REGISTERS = np.argsort(mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=U)).reshape(REGISTERS, REGISTERS), axis=1)
 
 _SHOWN = np.full(256, 32, np.uint8)
 _SHOWN[97:123] = np.arange(97, 123)
@@ -59,7 +69,7 @@ def shown(data: np.ndarray) -> np.ndarray:
 
 
 def simhash(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """len(first) x 2 of 64 bits: each bit is the majority of that bit of the words' hashes. first: each line's first word; no line is empty."""
+    """len(first) x 2 of 64 bits: each bit is the majority of that bit of the words' hashes. Not a part of the query any more. first: each line's first word; no line is empty."""
     size = np.diff(np.append(first, len(word)))
     out = np.zeros((len(first), 2), "<u8")
     for side in range(2):
@@ -163,8 +173,6 @@ def occurrences(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
             records["key"], records["line"] = lines.key, lines.number
             for name, values in (("none", doc.is_null().to_numpy(zero_copy_only=False)), ("doc", doc.fill_null(0).to_numpy(zero_copy_only=False)), ("k1", batch.column("_k1").to_numpy()), ("k2", batch.column("_k2").to_numpy())):
                 records[name] = values[lines.text]
-            sketch = simhash(lines.word, lines.first)
-            records["s1"], records["s2"] = sketch[:, 0], sketch[:, 1]
             kept, gone = _least(records)
             yield _kept_rows(_parts(kept, "key", ranges))
             if len(gone):
@@ -211,61 +219,145 @@ def merged(arrays: DataFrame, parts: int) -> DataFrame:
     return arrays.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, CUT)
 
 
-def _has_near(r: np.ndarray, new: np.ndarray, distance: int, reach: int = 32) -> np.ndarray:
-    """The records, sorted by bucket, that have a near one in their bucket; all of a bucket too large to compare here."""
-    run = np.cumsum(new) - 1
-    keep = np.bincount(run)[run] > reach + 1 if len(r) else new
-    for d in range(1, reach + 1):
-        i = np.flatnonzero((run[:-d] == run[d:]) & ~(keep[:-d] & keep[d:]))
-        if not len(i):
+def grams(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each run of GRAM bytes, how many each line has, each line's length in characters), over lines whose words are parted and framed by one blank."""
+    n_words = np.diff(np.append(lines.first, len(lines.start)))
+    step = np.zeros(len(lines.form) + 1, np.int8)
+    step[lines.start] += 1
+    step[lines.end] -= 1
+    inside = np.cumsum(step, dtype=np.int8)[:-1].astype(bool)
+    stop = np.cumsum(lines.end - lines.start + 1)  # the blank after each word; one is before the first word
+    buf = np.full(int(stop[-1]) + 1 + 16, 32, np.uint8)
+    filled = np.ones(int(stop[-1]) + 1, bool)
+    filled[0] = filled[stop] = False
+    buf[: len(filled)][filled] = lines.form[inside]
+    begin = np.append(0, stop)[lines.first]
+    size = np.append(0, stop)[lines.first + n_words] + 1 - begin
+    letters = np.add.reduceat(((buf[: len(filled) - 1] & 0xC0) != 0x80).astype(np.int64), begin) - 1
+    value = np.empty(-(-len(filled) // 8) * 8, U)
+    for k in range(8):
+        raw = buf[k : k + (len(buf) - k) // 8 * 8].view("<u8")
+        value[k::8] = raw[: len(value) // 8]
+    n = np.maximum(1, size - GRAM + 1)
+    owner = np.cumsum(n) - n
+    value = value[np.repeat(begin - owner, n) + np.arange(int(n.sum()))] & U((1 << 8 * GRAM) - 1)
+    short = np.flatnonzero(size < GRAM)
+    value[owner[short]] &= (U(1) << (U(8) * size[short].astype(U))) - U(1)
+    return mix(value + U(1)), n, letters
+
+
+def minima(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Lines x REGISTERS: the least hash of those that fall to each register; an empty register takes another's, the first in its own order that has one (Shrivastava 2017), so that two lines agree on a register as often as their sets overlap."""
+    out = np.full(len(n) * REGISTERS, _NONE, np.uint32)
+    np.minimum.at(out, np.repeat(np.arange(len(n)) * REGISTERS, n) + (hashes >> U(58)).astype(np.int64), (hashes & U(0xFFFFFFFE)).astype(np.uint32) >> np.uint32(1))
+    out = out.reshape(-1, REGISTERS)
+    some = np.flatnonzero((out == _NONE).any(1))
+    given, part = out[some], out[some]
+    for source in _ORDER_OF_REGISTERS.T:
+        empty = part == _NONE
+        if not empty.any():
             break
-        far = np.bitwise_count(r["s1"][i] ^ r["s1"][i + d]) + np.bitwise_count(r["s2"][i] ^ r["s2"][i + d])
-        i = i[far <= distance]
-        keep[i] = keep[i + d] = True
-    return keep
+        part = np.where(empty, given[:, source], part)
+    out[some] = part
+    return out
+
+
+def bands(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each line and band, signature of the same). A signature has the length's logarithm in its upper 8 bits, and
+    2 bits each of 28 registers, none of which belong to the band."""
+    hashes, n, letters = grams(lines)
+    least = minima(hashes, n)
+    pair = np.ascontiguousarray(least).view("<u8").reshape(-1, BANDS, ROWS // 2)
+    bucket = np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)
+    for k in range(ROWS // 2):
+        bucket = mix(bucket + pair[:, :, k])
+    length = np.minimum(255, np.floor(LOG_STEPS * np.log2(np.maximum(1, letters)))).astype(U) << U(56)
+    half = (least & np.uint32(3)).astype(U).reshape(-1, 2, REGISTERS // 2)[:, :, :28]
+    half = np.bitwise_or.reduce(half << (U(2) * np.arange(28, dtype=U)), axis=2) | length[:, None]
+    return bucket, np.repeat(half[:, ::-1], BANDS // 2, axis=1)
+
 
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether signatures may be of lines of edit similarity `least`: the lengths allow it, and AGREE of 28 registers agree."""
+    x = a ^ b
+    gap = np.abs((a >> U(56)).astype(np.int64) - (b >> U(56)).astype(np.int64))
+    return (np.bitwise_count((x | x >> U(1)) & U(0x0055555555555555)) <= 28 - AGREE) & (gap <= math.ceil(-LOG_STEPS * math.log2(least)))
 
-def block_cells(items: DataFrame, distance: int, ranges: int, parts: int) -> DataFrame:
-    """(run, key, signature) of the lines that share a block of their SimHash with another line. items: arrays of distinct lines."""
-    cuts = np.linspace(0, BITS, distance + 2).astype(int)
+
+MET = "run long, key long, signature binary, other long"
+
+
+def meetings(docs: DataFrame, least: float, min_chars: int, ranges: int, parts: int, small: int = SMALL) -> DataFrame:
+    """Rows of two kinds: (key, other), the like pairs of the buckets of at most `small` lines; (run, key, signature), the lines of larger buckets."""
+    ship(docs.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("records").to_pylist():
-                r = np.frombuffer(raw, OCCURRENCE)
-                bits = np.unpackbits(np.stack([r["s1"], r["s2"]], 1).view(np.uint8), axis=1)
-                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    block = np.zeros((len(r), 64), np.uint8)
-                    block[:, : hi - lo] = bits[:, lo:hi]
-                    out = np.zeros(len(r), BUCKET)
-                    out["bucket"] = mix(np.packbits(block, axis=1).view(U)[:, 0] + U((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-                    out["key"], out["s1"], out["s2"] = r["key"], r["s1"], r["s2"]
-                    yield _parts(np.sort(out, order="bucket"), "bucket", ranges)
+        enter("lines")
+        for batch in steps(batches):
+            lines = Lines(batch.column("text"), min_chars)
+            if not len(lines.key):
+                continue
+            _, once = np.unique(lines.key, return_index=True)
+            bucket, signature = bands(lines)
+            bucket, signature = bucket[once].ravel(), signature[once].ravel()
+            part = ((bucket >> U(32)) * U(ranges)) >> U(32)
+            order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.uint32), kind="stable")
+            out = np.zeros(len(order), MEMBER)
+            out["low"], out["key"], out["signature"] = bucket[order].astype(np.uint32), np.repeat(lines.key[once], BANDS)[order], signature[order]
+            cut = np.searchsorted(part[order], np.arange(ranges + 1, dtype=U))
+            some = [r for r in range(ranges) if cut[r + 1] > cut[r]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([out[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["part", "records"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if held:
-                r = np.concatenate(held)
-                r = r[np.argsort(r["bucket"], kind="stable")]
-                new = np.ones(len(r), bool)
-                new[1:] = r["bucket"][1:] != r["bucket"][:-1]
-                r = r[_has_near(r, new, distance)]
-                for lo in range(0, len(r), 50_000):
-                    x = r[lo : lo + 50_000]
-                    raw = np.stack([x["s1"], x["s2"]], 1).astype("<u8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(x["bucket"].view(np.int64)), pa.array(x["key"].view(np.int64)), pa.array([raw[16 * i : 16 * i + 16] for i in range(len(x))], pa.binary())], ["run", "key", "signature"])
+        enter("lines")
+
+        def rows(run, key, signature, other) -> pa.RecordBatch:
+            n = len(key)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if run is None else pa.array(run), pa.array(key.view(np.int64)), pa.nulls(n, pa.binary()) if signature is None else pa.array(signature, pa.binary()), pa.nulls(n, pa.int64()) if other is None else pa.array(other.view(np.int64))], ["run", "key", "signature", "other"])
+
+        def close(part: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            r = np.concatenate(held)
+            low, key, signature = (np.ascontiguousarray(r[c]) for c in ("low", "key", "signature"))
+            order = np.argsort(low.astype(U) << U(32) | key >> U(32))
+            low, key, signature = low[order], key[order], signature[order]
+            # a line comes from each step that has it
+            once = np.append(True, (low[1:] != low[:-1]) | (key[1:] != key[:-1]))
+            low, key, signature = low[once], key[once], signature[once]
+            run = np.cumsum(np.append(True, low[1:] != low[:-1])) - 1
+            size = np.bincount(run)[run]
+            some = (size > 1) & (size <= small)
+            k, s, at = key[some], signature[some], run[some]
+            found = []
+            for d in range(1, small):
+                i = np.flatnonzero(at[:-d] == at[d:])
+                if not len(i):
+                    break
+                i = i[alike(s[i], s[i + d], least)]
+                found.append(np.stack([np.minimum(k[i], k[i + d]), np.maximum(k[i], k[i + d])], 1))
+            if found:
+                found = np.concatenate(found)
+                for lo in range(0, len(found), 100_000):
+                    piece = found[lo : lo + 100_000]
+                    yield rows(None, piece[:, 0].copy(), None, piece[:, 1].copy())
+            many = np.flatnonzero(size > small)
+            for lo in range(0, len(many), 50_000):
+                i = many[lo : lo + 50_000]
+                raw = signature[i].astype("<u8").tobytes()
+                yield rows((np.int64(part) << 32) | low[i].astype(np.int64), key[i], [raw[8 * j : 8 * j + 8] for j in range(len(i))], None)
 
         part, held = None, []
         for b in batches:
             for p, raw in zip(b.column("part").to_pylist(), b.column("records").to_pylist()):
                 if p != part:
-                    yield from close(held)
+                    yield from close(part, held)
                     part, held = p, []
-                held.append(np.frombuffer(raw, BUCKET))
-        yield from close(held)
+                held.append(np.frombuffer(raw, MEMBER))
+        yield from close(part, held)
 
-    blobs = items.select("records").mapInArrow(spread, "part int, records binary")
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "run long, key long, signature binary")
+    blobs = docs.select("text").mapInArrow(spread, "part int, records binary")
+    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, MET)
 
 
 def forms(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
@@ -285,7 +377,7 @@ def forms(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, form string").groupBy("key").agg(F.first("form").alias("form"))
 
 
-def removals(docs: DataFrame, least: float = 0.8, distance: int = 4, min_chars: int = 20) -> DataFrame:
+def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 20) -> DataFrame:
     """(_k1, _k2, lines): the line numbers to cut from each document that has any. docs: doc_id, _k1, _k2, text."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -294,19 +386,22 @@ def removals(docs: DataFrame, least: float = 0.8, distance: int = 4, min_chars:
     two = stash(merged(one.where("part is not null").select("part", "records"), parts), "lines")
     items = two.where("part is not null").select("part", "records")
     gone = one.where("part is null").select("_k1", "_k2", "line").unionByName(two.where("part is null").select("_k1", "_k2", "line"))
-    cells = stash(block_cells(items, distance, ranges, parts), "cells")
+    met = stash(meetings(docs, least, min_chars, ranges, parts), "cells")
+    cells = met.where("run is not null").select("run", "key", "signature")
+    direct = met.where("run is null").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
 
     def near(first: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(many ^ first).sum(1) <= distance
+        return alike(many[:, 0], first[0], least)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
         some = stash(forms(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), min_chars), "forms")
         both = pairs.join(some.select(F.col("key").alias("a"), F.col("form").alias("x")), "a").join(some.select(F.col("key").alias("b"), F.col("form").alias("y")), "b")
-        # the limit lets levenshtein() stop early; it gives -1 beyond it
-        return both.where(F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {1 - least!r} + 1e-9) as int)) >= 0")).select("a", "b")
+        # a limit lets levenshtein() stop early, at -1 beyond it; most links are far below the last limit, and cost little at a lower one
+        last = f"cast(floor(greatest(length(x), length(y)) * {1 - least!r} + 1e-9) as int)"
+        return both.where(" or ".join(f"levenshtein(x, y, {limit}) >= 0" for limit in (f"least(16, {last})", f"least(128, {last})", last))).select("a", "b")
 
-    labels, links = group_cells(cells, "<u8", near, verify)
+    labels, links = group_cells(cells, "<u8", near, verify, direct)
     if not links.isEmpty():
         folder = keyset.write(labels.select(F.col("node").alias("key")))
 

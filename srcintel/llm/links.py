@@ -123,9 +123,9 @@ def _rows(rows: list[tuple], kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(a, arrow), pa.array(b, arrow)], ["run", "a", "b"])
 
 
-def group_cells(cells: DataFrame, width: str, near: Callable, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def group_cells(cells: DataFrame, width: str, near: Callable, verify: Callable[[DataFrame], DataFrame], direct: DataFrame) -> tuple[DataFrame, DataFrame]:
     """cells: (run, key, signature), a row for each item of each bucket, in a table. near(signature, signatures) -> mask, on
-    numpy arrays of dtype `width`. verify: (a, b) -> its rows that are true links.
+    numpy arrays of dtype `width`. direct: (a, b), a < b, pairs to verify besides. verify: (a, b) -> its rows that are true links.
     Returns ((node, root) of all items in links, the verified links)."""
     spark = cells.sparkSession
     ship(spark)
@@ -137,13 +137,14 @@ def group_cells(cells: DataFrame, width: str, near: Callable, verify: Callable[[
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     found = stash(_links(ready(cells), kind, width, near, False).select("run", *ordered), "links")
-    good = stash(verify(found.select("a", "b").distinct()), "verified")
+    tried = found.select("a", "b").union(direct.select("a", "b")).distinct()
+    good = stash(verify(tried), "verified")
     labels = stash(components(good), "components")
     bad = found.join(good, ["a", "b"], "left_anti").select("run").distinct()
     again = cells.join(bad, "run", "left_semi")
     again = again.join(labels, again["key"] == labels["node"], "left").select("run", "key", "signature", F.coalesce("root", "key").alias("root"))
     more = _links(ready(again), kind, width, near, True).select(*ordered).distinct()
-    more = stash(more.join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
+    more = stash(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return labels, good
     extra = stash(verify(more), "verified")
