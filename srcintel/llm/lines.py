@@ -377,7 +377,7 @@ def forms(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, form string").groupBy("key").agg(F.first("form").alias("form"))
 
 
-def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 20) -> DataFrame:
+def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 1) -> DataFrame:
     """(_k1, _k2, lines): the line numbers to cut from each document that has any. docs: doc_id, _k1, _k2, text."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

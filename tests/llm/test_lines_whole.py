@@ -50,3 +50,9 @@ def test_one_word_edits_go(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute(texts)
     assert len(want) == 24 and removed(df) == want
+
+
+def test_short_lines_take_part(spark):
+    texts = ["All rights reserved.\nsome words of one", "other words of two\nall rights reserved", "ok\nmore", "ok\nnone of these 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert removed(df) == {(1, 1), (3, 0)}
