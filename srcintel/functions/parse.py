@@ -22,7 +22,7 @@ import io
 import keyword
 import re
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 WALK, DEEP, MAIN, PLAIN, TOP = 1, 2, 4, 8, 16
 EXITS = (ast.Return, ast.Raise, ast.Break, ast.Continue)
@@ -118,9 +118,15 @@ def expressions(roots: list[ast.expr]) -> Iterator[ast.expr]:
     while todo:
         e = todo.pop()
         yield e
-        if isinstance(e, ast.FormattedValue):
+        kind = type(e)
+        if kind is ast.Name or kind is ast.Constant:
+            continue
+        if kind is ast.Attribute:
+            todo.append(e.value)
+            continue
+        if kind is ast.FormattedValue:
             inside: list = [e.value]
-        elif isinstance(e, ast.Lambda):
+        elif kind is ast.Lambda:
             inside = [*_arguments(e.args), e.body]
         else:
             inside = []
@@ -131,7 +137,8 @@ def expressions(roots: list[ast.expr]) -> Iterator[ast.expr]:
                     inside += [child.iter, child.target, *child.ifs]
                 elif isinstance(child, ast.keyword):
                     inside.append(child.value)
-        todo += reversed(inside)
+        inside.reverse()
+        todo += inside
 
 
 def tail_name(e: ast.expr, subscripts: bool = False) -> str | None:
@@ -256,16 +263,27 @@ def _targets(s: ast.stmt) -> list[str]:
     return [t.id for t in found if isinstance(t, ast.Name)]
 
 
+#: Expressions that have sites of their own.
+_TOLD = {ast.Compare, ast.Call, ast.Subscript}
+
+
 class _Module:
     def __init__(self, source: str):
         self.source = source
         self.tree = ast.parse(source)
         raw = source.encode("utf-8", "surrogatepass")
-        self.newlines = [i for i, b in enumerate(raw) if b == 10]
+        self.newlines = [m.start() for m in re.finditer(rb"\n", raw)]
         # a line of the tree starts after any line end; offsets count bytes
         self.starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", raw))]
         self.sites: list[tuple] = []
         self.lines = source.split("\n")
+        self._walked: list[tuple] = []
+
+    def walk(self) -> list[tuple[ast.stmt, int, list[ast.expr]]]:
+        """Each statement with its scope and its own expressions, and all inside them."""
+        if not self._walked:
+            self._walked = [(s, scope, list(expressions(own_expressions(s)))) for s, scope in statements(self.tree.body)]
+        return self._walked
 
     def offset(self, node: ast.AST) -> int:
         return self.starts[node.lineno - 1] + node.col_offset
@@ -296,9 +314,9 @@ class _Module:
 
     def references(self) -> Iterator[tuple[str, int]]:
         """(name, offset): names, identifiers in the strings of annotations, and what __all__ lists."""
-        for s, _ in statements(self.tree.body):
-            for e in expressions(own_expressions(s)):
-                if isinstance(e, ast.Name):
+        for s, _, own in self.walk():
+            for e in own:
+                if type(e) is ast.Name:
                     yield e.id, self.offset(e)
             if isinstance(s, ast.AnnAssign):
                 hints = [s.annotation]
@@ -324,12 +342,13 @@ class _Module:
                 if (t := _text(e)) is not None:
                     yield t, self.offset(e)
 
-    def collect(self) -> None:
+    def collect(self) -> list[tuple]:
         """All sites."""
-        self._block(self.tree.body, False)
-        for s, scope in statements(self.tree.body):
-            for e in expressions(own_expressions(s)):
-                self._expression(e)
+        self._block(self.tree.body, None)
+        for s, scope, own in self.walk():
+            for e in own:
+                if type(e) in _TOLD:
+                    self._expression(e)
             if isinstance(s, (ast.Assign, ast.AnnAssign)) and s.value is not None:
                 self._value("value", scope, s.value)
             if scope & TOP:
@@ -350,14 +369,15 @@ class _Module:
                     for x in h.body:
                         if isinstance(x, ast.Raise) and isinstance(x.cause, ast.Constant) and x.cause.value is None:
                             self.site("raise_from_none", scope, x)
-            generator = isinstance(s, FUNCTIONS) and any(isinstance(e, (ast.Yield, ast.YieldFrom)) for x, _ in statements(s.body) for e in expressions(own_expressions(x)))
             for slot, body in bodies(s):
                 if not (isinstance(s, LOOPS) and slot == "orelse") and not isinstance(s, ast.TryStar):
-                    self._block(body, generator)
+                    self._block(body, s)
+        return self.sites
 
-    def _block(self, block: list[ast.stmt], generator: bool) -> None:
+    def _block(self, block: list[ast.stmt], of: ast.stmt | None) -> None:
         """The statements of blocks in which something may follow an exit."""
         if any(isinstance(s, EXITS) for s in block[:-1]):
+            generator = isinstance(of, FUNCTIONS) and any(isinstance(e, (ast.Yield, ast.YieldFrom)) for x, _ in statements(of.body) for e in expressions(own_expressions(x)))
             number = len(self.sites)
             for k, s in enumerate(block):
                 self.site("stmt", WALK, s, name=type(s).__name__, n=len(block), flag=isinstance(s, EXITS), flag2=generator, block=number, order=k)
@@ -467,23 +487,30 @@ def module_name_parts(error: BaseException) -> tuple[str, int]:
     return str(getattr(error, "msg", None) or error or type(error).__name__), int(getattr(error, "lineno", None) or 1)
 
 
-def parse(source: str | None) -> dict:
-    """All facts of a source; with `error` set, only those that need no syntax tree."""
+EMPTY: dict = {"is_script": False, "has_getattr": False, "imports": [], "bindings": [], "refs": [], "functions": [], "sites": [], "tokens": [], "exports": []}
+
+
+def parse(source: str | None, parts: Iterable[str] = tuple(EMPTY)) -> dict:
+    """The error, if there is one, and the facts asked for; with an error only those that need no syntax tree."""
     source = source or ""
-    facts: dict = {"error": None, "is_script": False, "has_getattr": False, "imports": [], "bindings": [], "refs": [], "functions": [], "sites": [], "exports": []}
-    facts["tokens"] = tokens(source)
+    facts: dict = {"error": None, **{p: EMPTY[p] for p in parts}}
+    if "tokens" in facts:
+        facts["tokens"] = tokens(source)
     try:
         m = _Module(source)
         body = m.tree.body
-        facts["is_script"] = any(map(_is_main_guard, body))
-        facts["has_getattr"] = any(isinstance(s, FUNCTIONS) and s.name == "__getattr__" or "__getattr__" in _targets(s) for s in body)
-        facts["imports"] = list(_imports(body))
-        facts["bindings"] = list(m.bindings())
-        facts["refs"] = list(m.references()) if facts["bindings"] else []
-        facts["functions"] = [(f.name, m.line(m.offset(f)), *complexity(f.body)) for f in _functions(body)]
-        facts["exports"] = [s.name for s in body if isinstance(s, (*FUNCTIONS, ast.ClassDef))] + [n for s in body for n in _targets(s)]
-        m.collect()
-        facts["sites"] = m.sites
+        told = {
+            "is_script": lambda: any(map(_is_main_guard, body)),
+            "has_getattr": lambda: any(isinstance(s, FUNCTIONS) and s.name == "__getattr__" or "__getattr__" in _targets(s) for s in body),
+            "imports": lambda: list(_imports(body)),
+            "bindings": lambda: list(m.bindings()),
+            "refs": lambda: list(m.references()),
+            "functions": lambda: [(f.name, m.line(m.offset(f)), *complexity(f.body)) for f in _functions(body)],
+            "sites": m.collect,
+            "exports": lambda: [s.name for s in body if isinstance(s, (*FUNCTIONS, ast.ClassDef))] + [n for s in body for n in _targets(s)],
+        }
+        facts.update({p: told[p]() for p in facts if p in told})
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        facts["error"] = module_name_parts(e)[0]
+        kept = {"tokens": facts["tokens"]} if "tokens" in facts else {}
+        facts = {**facts, **{p: EMPTY[p] for p in facts if p in EMPTY}, **kept, "error": module_name_parts(e)[0]}
     return facts

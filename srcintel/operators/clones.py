@@ -1,24 +1,36 @@
 """Copy-paste detection: sliding windows of tokens, shared by files.
 
-Works on any (path, keys, lines): a row for each sequence, with its token keys and a line for each. Windows are made
-inside the row (array functions, no window operator, no shuffle), reduced to 128-bit hashes and places; those with
-fewer than `min_unique` distinct keys are dropped before anything is exchanged. One exchange brings equal windows together.
+Works on any (path, keys, lines): a row for each sequence, with its token keys and a line for each. Windows are hashed in
+one pass inside the row (rolling hashes over Arrow batches): those with fewer than `min_unique` distinct keys, and repeats of a
+window in its own sequence, are dropped before anything is exchanged. One exchange, of sums by window, tells which are shared. Of those, a
+window whose every place follows a place of one and the same shared window is left out: a copied passage of n tokens
+is the places of its first window, not n - window + 1 of them. A second pass of hashing finds the places of the windows that are
+left (most windows are nobody else's, so hashing twice costs less than exchanging every window's place). members() has a row for
+each such place, linear in the input; pairs() joins the places of a window, and splits the windows of many places over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcintel.functions.names import directory, is_test_adjacent
-from srcintel.operators.facts import Facts
+from srcintel.operators.facts import Facts, ship
+from srcintel.storage import stash
 
 MODES = ("strict", "mild", "weak", "semantic")
+#: Places of a window that one task pairs at once.
+PLACES = 1000
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def sequences(f: Facts, mode: str = "mild", skip_tests: bool = True) -> DataFrame:
     """(path, keys, lines) of a corpus."""
-    rows = f.all.where(~is_test_adjacent(F.col("path"))) if skip_tests else f.all
+    rows = f.all("tokens").where(~is_test_adjacent(F.col("path"))) if skip_tests else f.all("tokens")
     kinds = {"strict": [], "mild": [], "weak": ["number", "string"], "semantic": ["number", "string", "name"]}
     if mode not in kinds:
         raise ValueError(f"mode must be one of {MODES}")
@@ -30,27 +42,93 @@ def sequences(f: Facts, mode: str = "mild", skip_tests: bool = True) -> DataFram
     return rows.select("path", F.transform("tokens", key).alias("keys"), F.col("tokens.line").alias("lines"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _rolling(k: np.ndarray, window: int, base: int) -> np.ndarray:
+    """Mixed polynomial hashes of all windows, modulo 2**64; k: hashes of the tokens."""
+    power = np.full(len(k), np.uint64(base))
+    power[0] = 1
+    np.cumprod(power, out=power)
+    total = np.zeros(len(k) + 1, np.uint64)
+    np.cumsum(_mix(k ^ np.uint64(base)) * power, out=total[1:])
+    inverse = np.full(len(k), np.uint64(pow(base, -1, 1 << 64)))
+    inverse[0] = 1
+    np.cumprod(inverse, out=inverse)
+    n = len(k) - window + 1
+    return _mix((total[window:] - total[:n]) * inverse[:n])
+
+
+def _distinct(k: np.ndarray, window: int) -> np.ndarray:
+    """The number of different tokens in each window: a token counts in the windows that hold it and not the same one earlier."""
+    order = np.argsort(k, kind="stable")
+    before = np.full(len(k), -1, np.int64)
+    same = k[order][1:] == k[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    at = np.arange(len(k))
+    first, size = np.maximum(before + 1, at - window + 1).clip(0), len(k) + 1
+    return np.cumsum(np.bincount(first, minlength=size) - np.bincount(at + 1, minlength=size))[: len(k) - window + 1]
+
+
 def windows(seqs: DataFrame, window: int = 50, min_unique: int = 6) -> DataFrame:
-    """path, h1, h2 (128 bits of the window), start, end lines."""
+    """path, h1, h2 (128 bits of the window), start, end lines and prior (64 bits of the window that begins one token earlier; null
+    where that one doesn't count, or isn't its sequence's first of its kind), of each sequence's different windows, the first place of each."""
     if window < 1:
         raise ValueError("window must be at least 1")
-    hashed = seqs.select("path", "lines", F.transform("keys", lambda k: F.xxhash64(k)).alias("k")).where(F.size("k") >= window)
-    at = F.explode(F.sequence(F.lit(1), F.size("k") - (window - 1)))
-    part = hashed.select("path", "k", "lines", at.alias("i")).select("path", F.slice("k", F.col("i"), F.lit(window)).alias("w"), F.element_at("lines", F.col("i")).alias("start"), F.element_at("lines", F.col("i") + (window - 1)).alias("end"))
-    return part.where(F.size(F.array_distinct("w")) >= min_unique).select("path", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), "start", "end")
+    ship(seqs.sparkSession)
+    kind, line = dict(seqs.dtypes)["path"], dict(seqs.dtypes)["lines"].removeprefix("array<").removesuffix(">")
+    names = ["path", "h1", "h2", "start", "end", "prior"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines = batch.column("k"), batch.column("lines")
+            for row in range(batch.num_rows):
+                k = keys[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                if len(k) < window:
+                    continue
+                h1 = _rolling(k, window, _ODD[0])
+                good = np.flatnonzero(_distinct(k, window) >= min_unique)
+                first = np.sort(good[np.unique(h1[good], return_index=True)[1]])
+                h2 = _rolling(k, window, _ODD[1])
+                counts = np.zeros(len(h1), bool)
+                counts[first] = True
+                none = ~np.concatenate([[False], counts])[first]
+                prior = np.concatenate([[np.uint64(0)], h1])[first]
+                where = lines[row].values
+                out = [batch.column("path").take(pa.array(np.full(len(first), row))), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), where.take(pa.array(first)), where.take(pa.array(first + window - 1)), pa.array(prior.view(np.int64), mask=none)]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    hashed = seqs.select("path", F.transform("keys", lambda k: F.xxhash64(k)).alias("k"), "lines").where(F.size("k") >= window)
+    return hashed.mapInArrow(run, f"path {kind}, h1 long, h2 long, start {line}, end {line}, prior long")
+
+
+def members(seqs: DataFrame, window: int = 50, min_unique: int = 6) -> DataFrame:
+    """h1, h2, path, start, end, n: the places of each shared window, n of them; without the windows all of whose places follow
+    a place of one other window, whose pairs of places are the same and earlier."""
+    found = windows(seqs, window, min_unique)
+    stats = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.count("prior").alias("n_prior"), F.min("prior").alias("a"), F.max("prior").alias("b"))
+    kept = stash(stats.where("n > 1 and not (n_prior = n and a = b)").select("h1", "h2", "n"), "windows")
+    return stash(found.select("h1", "h2", "path", "start", "end").join(kept, ["h1", "h2"]), "places")
 
 
 def pairs(seqs: DataFrame, window: int = 50, min_unique: int = 6) -> DataFrame:
     """path_a, path_b, start_a, end_a, start_b, end_b, token_count: one row for each pair of paths that share a window, with
     the earliest shared one. Of a window's places in a path, the first counts; repeats inside one path are none."""
-    first = windows(seqs, window, min_unique).groupBy("h1", "h2", "path").agg(F.min(F.struct("start", "end")).alias("at"))
-    shared = first.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    first = first.join(shared, ["h1", "h2"], "left_semi")
-    a = first.select("h1", "h2", F.col("path").alias("path_a"), F.col("at").alias("a"))
-    b = first.select("h1", "h2", F.col("path").alias("path_b"), F.col("at").alias("b"))
-    best = F.min(F.struct(F.col("a.start").alias("sa"), F.col("b.start").alias("sb"), F.col("a.end").alias("ea"), F.col("b.end").alias("eb")))
-    both = a.join(b, ["h1", "h2"]).where("path_a < path_b").groupBy("path_a", "path_b").agg(best.alias("m"))
-    return both.select("path_a", "path_b", F.col("m.sa").alias("start_a"), F.col("m.ea").alias("end_a"), F.col("m.sb").alias("start_b"), F.col("m.eb").alias("end_b"), F.lit(window).alias("token_count"))
+    places = members(seqs, window, min_unique)
+    few, many = places.where(F.col("n") <= PLACES), places.where(F.col("n") > PLACES).withColumn("parts", F.ceil(F.col("n") / PLACES).cast("int"))
+
+    def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+        return rows.select("h1", "h2", *more, F.col("path").alias(f"path_{s}"), F.col("start").alias(f"s{s}"), F.col("end").alias(f"e{s}"))
+
+    own = many.withColumn("salt", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    every = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = side(few, "a").join(side(few, "b"), ["h1", "h2"]).unionByName(side(own, "a", "salt").join(side(every, "b", "salt"), ["h1", "h2", "salt"]).drop("salt"))
+    best = F.min(F.struct("sa", "sb", "ea", "eb"))
+    found = both.where("path_a < path_b").groupBy("path_a", "path_b").agg(best.alias("m"))
+    return found.select("path_a", "path_b", F.col("m.sa").alias("start_a"), F.col("m.ea").alias("end_a"), F.col("m.sb").alias("start_b"), F.col("m.eb").alias("end_b"), F.lit(window).alias("token_count"))
 
 
 def issues(found: DataFrame) -> DataFrame:
@@ -62,9 +140,22 @@ def issues(found: DataFrame) -> DataFrame:
     return found.select(F.lit("duplicate").alias("rule"), F.col("path_a").alias("path"), F.col("token_count").cast("int").alias("token_count"), F.array(place("a"), place("b")).alias("occurrences"))
 
 
+def covers(path: Column, line: Column | int) -> Column:
+    """On issues: a place of the clone lies in the file `path` and covers the line."""
+    return F.exists("occurrences", lambda o: (o["path"] == path) & (o["start_line"] <= line) & (o["end_line"] >= line))
+
+
 def trace(issue: DataFrame, path: str, line: int) -> DataFrame:
     """Clones that cover a line of a file."""
-    return issue.where(F.exists("occurrences", lambda o: (o["path"] == path) & (o["start_line"] <= line) & (o["end_line"] >= line)))
+    return issue.where(covers(F.lit(path), line))
+
+
+def trace_all(issue: DataFrame, places: DataFrame) -> DataFrame:
+    """The same for many places at once, each clone once. places: path, line. An equi-join on the path."""
+    named = places.select(F.col("path").alias("at"), "line").distinct()
+    keyed = issue.withColumn("_id", F.xxhash64("occurrences", "token_count"))
+    hit = keyed.select("_id", "occurrences", F.explode(F.array_distinct("occurrences.path")).alias("at")).join(named, "at").where(covers(F.col("at"), F.col("line")))
+    return keyed.join(hit.select("_id").distinct(), "_id", "left_semi").drop("_id")
 
 
 def skip_local(issue: DataFrame) -> DataFrame:

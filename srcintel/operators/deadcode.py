@@ -45,11 +45,12 @@ def wide(df: DataFrame) -> DataFrame:
 
 
 def unused_imports(f: Facts) -> DataFrame:
-    """Bindings without a reference outside their own statement; package files and lines with noqa are exempt."""
-    bound = f.bindings.where(~is_init(F.col("path")) & ~F.col("noqa"))
-    refs = f.refs.withColumnRenamed("name", "ref").withColumnRenamed("path", "in")
-    free = bound.join(refs, (F.col("path") == F.col("in")) & (F.col("name") == F.col("ref")) & ((F.col("offset") < F.col("start")) | (F.col("offset") >= F.col("end"))), "left_anti")
-    return free.select(F.lit("unused-import").alias("rule"), "path", "line", "name", "module")
+    """Bindings without a reference; package files and lines with noqa are exempt. All inside a module's own row."""
+    spare = F.array_except("bindings.name", "refs.name")  # an import statement has no references of its own
+    # the array of one element holds the spare names, so that they're found once a row, not once a binding
+    free = F.transform(F.array(spare), lambda names: F.filter("bindings", lambda b: ~b["noqa"] & F.array_contains(names, b["name"])))[0]
+    rows = f.modules("bindings", "refs").where(~is_init(F.col("path"))).select("path", F.inline(free))
+    return rows.select(F.lit("unused-import").alias("rule"), "path", "line", "name", "module")
 
 
 def library_candidates(name: str) -> list[str]:
@@ -62,7 +63,7 @@ def static_entries(f: Facts, mods: DataFrame, project: Project) -> DataFrame:
     """path, source_kind, label of the entries that aren't a plugin's."""
     spark = mods.sparkSession
     config = mods.where(F.col("path").isin(*project.entry_points) if project.entry_points else F.lit(False)).select("path", F.lit("config").alias("source_kind"), F.lit("config").alias("label"))
-    lazy = f.modules.where("has_getattr").select("path", F.lit("module-getattr").alias("source_kind"), F.lit("module __getattr__").alias("label"))
+    lazy = f.modules("has_getattr").where("has_getattr").select("path", F.lit("module-getattr").alias("source_kind"), F.lit("module __getattr__").alias("label"))
     found = config.unionByName(lazy)
     if project.scripts is not None:
         named = project.scripts.join(graph.targets(mods), F.col("module") == F.col("dotted"))
@@ -102,9 +103,10 @@ def unused_dependencies(f: Facts, reached: DataFrame, declared: DataFrame) -> Da
     declared: owner_path, name, source."""
     lower = F.lower("name")
     skip = lower.startswith("types-") | lower.endswith("-stubs") | lower.isin(*sorted(NEVER_FLAGGED))
-    wanted = declared.where(~skip).withColumn("owner", F.when(F.col("owner_path") == ".", "").otherwise(F.rtrim(F.col("owner_path"), F.lit("/"))))
+    placed = declared.withColumn("owner", F.when(F.col("owner_path") == ".", "").otherwise(F.rtrim(F.col("owner_path"), F.lit("/"))))
+    wanted = placed.where(~skip)  # a member that declares only such distributions owns its files all the same
     used = f.imports.where("kind = 'absolute' and not is_type_only").join(reached, "path", "left_semi").select("path", F.substring_index("raw", ".", 1).alias("top")).distinct()
-    owned = owners(used.select("path").distinct(), wanted.select("owner"))
+    owned = owners(used.select("path").distinct(), placed.select("owner"))
     seen = used.join(owned, "path").select(F.col("owner").alias("at"), "top").distinct()
     tries = wanted.withColumn("tops", import_names(F.col("name")))
     # candidates are one or two: exploded, an equi-join on (owner, name)
@@ -113,6 +115,16 @@ def unused_dependencies(f: Facts, reached: DataFrame, declared: DataFrame) -> Da
     return free.select(F.lit("unused-dep").alias("rule"), F.when(F.col("owner") == "", "pyproject.toml").otherwise(F.concat("owner", F.lit("/pyproject.toml"))).alias("path"), "name", "source")
 
 
+#: What the dead-code query needs of a parse.
+CHECKED = ("is_script", "has_getattr", "imports", "bindings", "refs", "sites")
+
+
+def circular(f: Facts, roots: list[str]) -> DataFrame:
+    """The cycles alone: only imports are parsed, nothing else is built."""
+    found = graph.cycles(graph.edges(graph.modules(f, roots)))
+    return wide(found.select(F.lit("circular-dependency").alias("rule"), F.element_at("cycle", 1).alias("path"), "cycle"))
+
+
 @dataclass
 class Analysis:
     facts: Facts
@@ -126,9 +138,9 @@ class Analysis:
 def analyse(corpus: DataFrame, project: Project | None = None, facts: Facts | None = None) -> Analysis:
     """The whole query. The parse is shared; each part is its own plan."""
     project = project or Project()
-    f = facts or Facts(corpus)
+    f = facts or Facts(corpus, parts=CHECKED)
     mods = graph.modules(f, project.roots)
-    edge = graph.edges(f, mods)
+    edge = graph.edges(mods)
     start = entries(f, mods, project)
     free, reached = graph.unreachable(mods, edge, start.select("path").distinct())
     found = [

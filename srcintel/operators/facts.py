@@ -22,7 +22,6 @@ REFS = "array<struct<name: string, offset: int>>"
 FUNCTIONS = "array<struct<name: string, line: int, cyclomatic: int, cognitive: int>>"
 SITES = "array<struct<role: string, scope: int, line: int, name: string, tail: string, text: string, n: int, flag: boolean, flag2: boolean, block: int, ord: int>>"
 TOKENS = "array<struct<kind: string, text: string, line: int>>"
-SCHEMA = f"path string, source string, error string, is_script boolean, has_getattr boolean, imports {IMPORTS}, bindings {BINDINGS}, refs {REFS}, functions {FUNCTIONS}, sites {SITES}, tokens {TOKENS}, exports array<string>"
 
 _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
 
@@ -31,6 +30,7 @@ def _structs(**fields: pa.DataType) -> tuple[list[str], pa.DataType]:
     return list(fields), pa.list_(pa.struct(list(fields.items())))
 
 
+_FLAT = {"is_script": _B, "has_getattr": _B}
 _NESTED = {
     "imports": _structs(raw=_S, kind=_S, level=_I, is_conditional=_B, is_type_only=_B),
     "bindings": _structs(name=_S, module=_S, line=_I, start=_I, end=_I, noqa=_B),
@@ -66,37 +66,70 @@ def _nested(rows: list[list[tuple]], name: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), inner)
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(min(limit, 1000))
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):  # rows hold whole files
-            part = batch.slice(lo, 256)
-            found = [parse(s) for s in part.column("source").to_pylist()]
-            simple = [pa.array([f["error"] for f in found], _S), pa.array([f["is_script"] for f in found], _B), pa.array([f["has_getattr"] for f in found], _B)]
-            nested = [_nested([f[n] for f in found], n) for n in _NESTED]
-            exports = pa.array([f["exports"] for f in found], pa.list_(_S))
-            yield pa.RecordBatch.from_arrays([part.column("path"), part.column("source"), *simple, *nested, exports], ["path", "source", "error", "is_script", "has_getattr", *_NESTED, "exports"])
+#: What parse() can be asked for, besides the error.
+PARTS = (*_FLAT, *_NESTED, "exports")
+_KINDS = dict(zip(["is_script", "has_getattr", *_NESTED, "exports"], ["boolean", "boolean", IMPORTS, BINDINGS, REFS, FUNCTIONS, SITES, TOKENS, "array<string>"]))
 
 
-def facts(corpus: DataFrame) -> DataFrame:
-    """A row for each file, with nested facts. corpus: path, source."""
+def spread(corpus: DataFrame, by: str = "path") -> DataFrame:
+    """corpus over all cores. A scan with enough tasks stays as it is; what comes out of exchanges may have been put together to few
+    partitions by its size in bytes, and parsing costs far more than moving the text."""
+    spark = corpus.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = corpus._jdf.queryExecution().executedPlan()
+    if plan.nodeName() != "AdaptiveSparkPlan" and plan.execute().getNumPartitions() >= cores:
+        return corpus
+    return corpus.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
+def facts(corpus: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """path, source, error and the parts: a row for each file, with nested facts. corpus: path, source. Only what is asked for is computed."""
+    unknown = set(parts) - set(PARTS)
+    if unknown:
+        raise ValueError(f"no such facts: {sorted(unknown)}")
     ship(corpus.sparkSession)
-    return corpus.select("path", "source").mapInArrow(_facts, SCHEMA)
+    parts = tuple(p for p in PARTS if p in parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(min(limit, 1000))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):  # rows hold whole files
+                part = batch.slice(lo, 256)
+                found = [parse(s, parts) for s in part.column("source").to_pylist()]
+                columns = [pa.array([f["error"] for f in found], _S)]
+                for n in parts:
+                    values = [f[n] for f in found]
+                    columns.append(_nested(values, n) if n in _NESTED else pa.array(values, _FLAT.get(n, pa.list_(_S))))
+                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("source"), *columns], ["path", "source", "error", *parts])
+
+    schema = ", ".join(["path string", "source string", "error string", *(f"{n} {_KINDS[n]}" for n in parts)])
+    return spread(corpus.select("path", "source")).mapInArrow(run, schema)
 
 
 class Facts:
-    """The tables of one corpus over one parse. keep: persist the parse (MEMORY_AND_DISK), for several analyses."""
+    """The tables of one corpus. keep: one parse of `parts`, persisted (MEMORY_AND_DISK) until release(), for several analyses;
+    what isn't kept is parsed by each table for itself, and only what it needs."""
 
-    def __init__(self, corpus: DataFrame, keep: bool = True):
+    def __init__(self, corpus: DataFrame, keep: bool = True, parts: tuple[str, ...] = PARTS):
         self.corpus = corpus.select("path", "source")
-        self.all = facts(corpus)
-        if keep:
-            self.all = self.all.persist()
-        self.modules = self.all.where("error is null")
+        self.parts = parts
+        self.kept = facts(corpus, parts).persist() if keep else None
+
+    def release(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+
+    def all(self, *parts: str) -> DataFrame:
+        """path, source, error and at least these parts of each file."""
+        return self.kept if self.kept is not None and set(parts) <= set(self.parts) else facts(self.corpus, parts)
+
+    def modules(self, *parts: str) -> DataFrame:
+        """The same of the files that could be parsed."""
+        return self.all(*parts).where("error is null")
 
     def table(self, name: str) -> DataFrame:
-        return self.modules.select("path", F.inline(name))
+        return self.modules(name).select("path", F.inline(name))
 
     @property
     def imports(self) -> DataFrame:
@@ -117,16 +150,16 @@ class Facts:
     def sites(self, *roles: str) -> DataFrame:
         """The sites with one of the roles; others are dropped inside the array, before it is exploded."""
         wanted = F.filter("sites", lambda s: s["role"].isin(*roles))
-        return self.modules.select("path", F.inline(wanted))
+        return self.modules("sites").select("path", F.inline(wanted))
 
     @property
     def tokens(self) -> DataFrame:
         """path, pos, kind, text, line. Files with errors have tokens, too."""
-        return self.all.select("path", F.posexplode("tokens").alias("pos", "t")).select("path", "pos", "t.kind", "t.text", "t.line")
+        return self.all("tokens").select("path", F.posexplode("tokens").alias("pos", "t")).select("path", "pos", "t.kind", "t.text", "t.line")
 
     @property
     def parse_errors(self) -> DataFrame:
-        return self.all.where("error is not null").select("path", F.col("error").alias("message"))
+        return self.all().where("error is not null").select("path", F.col("error").alias("message"))
 
 
 def imports_any(prefixes: list[str], absolute: bool = True) -> Column:

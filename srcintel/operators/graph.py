@@ -10,26 +10,17 @@ from pyspark.sql import functions as F
 
 from srcintel.functions.names import dotted, is_init
 from srcintel.operators.facts import Facts, ship
+from srcintel.storage import stash
 
 #: Edges that one task may hold (some tens of bytes each); larger graphs take the distributed way.
 LOCAL_EDGES = 1_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, which ends the lineage."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        at = sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="srcintel-checkpoint-")
-        sc.setCheckpointDir(at)
-    return df.checkpoint()
-
-
 def modules(f: Facts, roots: list[str]) -> DataFrame:
-    """path, dotted, kind of the parsed modules."""
+    """path, dotted, kind, imports of the parsed modules; written once, where the parse isn't kept."""
     path = F.col("path")
-    return f.modules.select("path", dotted(path, roots).alias("dotted"), F.when(is_init(path), "package").otherwise("module").alias("kind"))
+    rows = f.modules("imports").select("path", dotted(path, roots).alias("dotted"), F.when(is_init(path), "package").otherwise("module").alias("kind"), "imports")
+    return rows if f.kept is not None else stash(rows, "modules")
 
 
 def targets(mods: DataFrame) -> DataFrame:
@@ -37,44 +28,41 @@ def targets(mods: DataFrame) -> DataFrame:
     return mods.where("dotted != ''").groupBy("dotted").agg(F.max("path").alias("target"))
 
 
-def resolve(f: Facts, mods: DataFrame) -> DataFrame:
+def resolve(mods: DataFrame) -> DataFrame:
     """src, dst, is_type_only of each import that names a module of the corpus. A relative import starts at the
     package (of a module: its parent) less level - 1 parts; one that goes too far up resolves to nothing."""
-    rows = f.imports.join(mods, "path")
+    rows = mods.select("path", "dotted", F.col("kind").alias("kind_of_module"), F.inline("imports"))
     parts = F.split("dotted", r"\.")
     parts = F.when(F.col("dotted") == "", F.array().cast("array<string>")).otherwise(parts)
-    keep = F.size(parts) - F.when(F.col("kind") == "package", 0).otherwise(1) - (F.col("level") - 1)
+    keep = F.size(parts) - F.when(F.col("kind_of_module") == "package", 0).otherwise(1) - (F.col("level") - 1)
     base = F.array_join(F.slice(parts, 1, F.greatest(keep, F.lit(0)).cast("int")), ".")
     relative = F.when(keep >= 0, F.concat_ws(".", F.when(base != "", base), "raw"))
-    name = F.when(F.col("kind_of_import") == "relative", relative).otherwise(F.col("raw"))
-    rows = f.imports.withColumnRenamed("kind", "kind_of_import").join(mods, "path").withColumn("dotted", name)
-    return rows.select(F.col("path").alias("src"), "dotted", "is_type_only").join(targets(mods), "dotted").select("src", F.col("target").alias("dst"), "is_type_only")
+    name = F.when(F.col("kind") == "relative", relative).otherwise(F.col("raw"))
+    return rows.select(F.col("path").alias("src"), name.alias("dotted"), "is_type_only").join(targets(mods), "dotted").select("src", F.col("target").alias("dst"), "is_type_only")
 
 
-def edges(f: Facts, mods: DataFrame) -> DataFrame:
-    """Distinct src, dst; imports for type checkers only, and of a module itself, are none."""
-    return resolve(f, mods).where("src != dst and not is_type_only").select("src", "dst").distinct()
+def edges(mods: DataFrame) -> DataFrame:
+    """Distinct src, dst; imports for type checkers only, and of a module itself, are none. A table: every question about the graph reads it."""
+    return stash(resolve(mods).where("src != dst and not is_type_only").select("src", "dst").distinct(), "edges")
 
 
-def _is_small(edge: DataFrame) -> bool:
-    return edge.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+def _is_small(rows: DataFrame) -> bool:
+    return rows.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
 
 
 def reachable(edge: DataFrame, start: DataFrame) -> DataFrame:
-    """(path) of all nodes that the starts reach, and the starts. edge: src, dst; start: path."""
-    edge = edge.persist()
-    try:
-        if _is_small(edge):
-            return _cut(_reach_in_one_task(edge, start))
-        found = _cut(start.select("path").distinct())
-        frontier = found
-        while not frontier.isEmpty():
-            step = frontier.join(edge, frontier["path"] == edge["src"]).select(F.col("dst").alias("path")).distinct()
-            frontier = _cut(step.join(found, "path", "left_anti"))
-            found = _cut(found.union(frontier))
-        return found
-    finally:
-        edge.unpersist()
+    """(path) of all nodes that the starts reach, and the starts. edge: src, dst, a table or cheap to compute; start: path."""
+    start = stash(start.select("path").distinct(), "start")
+    if _is_small(edge) and _is_small(start):
+        return stash(_reach_in_one_task(edge, start), "reached")
+    found, frontier, level = start, start, 0
+    while not frontier.isEmpty():
+        step = frontier.join(edge, frontier["path"] == edge["src"]).select(F.col("dst").alias("path")).distinct()
+        frontier = stash(step.join(found, "path", "left_anti"), "frontier")
+        found, level = found.union(frontier), level + 1
+        if level % 16 == 0:  # else the plan would grow with every level
+            found = stash(found, "reached")
+    return found
 
 
 def _reach_in_one_task(edge: DataFrame, start: DataFrame) -> DataFrame:
@@ -100,7 +88,7 @@ def _reach_in_one_task(edge: DataFrame, start: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), type_)], ["path"])
 
     rows = edge.select("src", "dst").unionByName(start.select(F.lit(None).cast(kind).alias("src"), F.col("path").alias("dst")))
-    return rows.coalesce(1).mapInArrow(run, f"path {kind}")
+    return rows.repartition(1).mapInArrow(run, f"path {kind}")
 
 
 def unreachable(mods: DataFrame, edge: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,65 +143,62 @@ def _tarjan(adjacent: dict) -> Iterator[list]:
 
 
 def components(edge: DataFrame) -> DataFrame:
-    """(node, root) of all nodes on cycles: root is the least node of the strongly connected component."""
+    """(node, root) of all nodes on cycles: root is the least node of the strongly connected component. edge: src, dst, a table or cheap to compute."""
     ship(edge.sparkSession)
     kind = dict(edge.dtypes)["src"]
-    edge = edge.where("src != dst").select("src", "dst").distinct().persist()
-    try:
-        if not _is_small(edge):
-            return _components_distributed(edge)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            adjacent: dict = {}
-            type_ = None
-            for b in batches:
-                type_ = b.schema.field("src").type
-                for s, d in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
-                    adjacent.setdefault(s, []).append(d)
-            rows = [(x, min(part)) for part in _tarjan(adjacent) for x in part]
-            if rows:
-                a, b = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], ["node", "root"])
-
-        return _cut(edge.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}"))
-    finally:
-        edge.unpersist()
+    edge = edge.where("src != dst").select("src", "dst")
+    if not _is_small(edge):
+        return _components_distributed(edge.distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adjacent: dict = {}
+        type_ = None
+        for b in batches:
+            type_ = b.schema.field("src").type
+            for s, d in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+                adjacent.setdefault(s, []).append(d)
+        rows = [(x, min(part)) for part in _tarjan(adjacent) for x in part]
+        if rows:
+            a, b = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], ["node", "root"])
+
+    return stash(edge.repartition(1).mapInArrow(run, f"node {kind}, root {kind}"), "components")
 
 
 def _components_distributed(edge: DataFrame) -> DataFrame:
     """Colouring: trim nodes without edges in or out; the greatest label that reaches a node colours it; the nodes of a
     colour that reach its owner, inside the colour, are the owner's component; repeat on the rest."""
     found = None
-    edge = _cut(edge)
+    edge = stash(edge)
     while True:
         while True:  # trim
             inner = edge.join(edge.select(F.col("src").alias("n")).distinct(), F.col("dst") == F.col("n"), "left_semi")
-            inner = _cut(inner.join(edge.select(F.col("dst").alias("n")).distinct(), F.col("src") == F.col("n"), "left_semi"))
+            inner = stash(inner.join(edge.select(F.col("dst").alias("n")).distinct(), F.col("src") == F.col("n"), "left_semi"))
             if inner.count() == edge.count():
                 break
             edge = inner
         if edge.isEmpty():
             break
-        colour = _cut(edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct().withColumn("colour", F.col("node")))
+        colour = stash(edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct().withColumn("colour", F.col("node")))
         while True:
             pushed = edge.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("new"))
             both = colour.join(pushed, F.col("node") == F.col("dst"), "left").select("node", "colour", F.greatest("colour", F.coalesce("new", "colour")).alias("better"))
-            both = _cut(both)
+            both = stash(both)
             changed = not both.where("better != colour").isEmpty()
             colour = both.select("node", F.col("better").alias("colour"))
             if not changed:
                 break
         inside = edge.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
-        inside = _cut(inside)
-        members = _cut(colour.where("node = colour"))
+        inside = stash(inside)
+        members = stash(colour.where("node = colour"))
         frontier = members
         while not frontier.isEmpty():  # backwards from the owners
             back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = _cut(back.join(members, "node", "left_anti"))
-            members = _cut(members.union(frontier))
-        found = members if found is None else _cut(found.union(members))
+            frontier = stash(back.join(members, "node", "left_anti"))
+            members = stash(members.union(frontier))
+        found = members if found is None else stash(found.union(members))
         edge = edge.join(members.select(F.col("node").alias("src")), "src", "left_anti")
-        edge = _cut(edge.join(members.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        edge = stash(edge.join(members.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if found is None:
         return edge.select(F.col("src").alias("node"), F.col("src").alias("root"))
     whole = Window.partitionBy("colour")

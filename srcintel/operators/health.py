@@ -37,7 +37,7 @@ def files(f: Facts) -> DataFrame:
     """path, total_cyclomatic, n_functions, avg_cyclomatic, loc, mi of each module: one row in, one row out."""
     total = F.aggregate("functions", F.lit(0), lambda a, x: a + x["cyclomatic"])
     n = F.size("functions")
-    rows = f.modules.select("path", total.alias("total_cyclomatic"), n.alias("n_functions"), loc(F.col("source")).alias("loc"), volume(F.col("tokens")).alias("volume"))
+    rows = f.modules("functions", "tokens").select("path", total.alias("total_cyclomatic"), n.alias("n_functions"), loc(F.col("source")).alias("loc"), volume(F.col("tokens")).alias("volume"))
     rows = rows.withColumn("avg_cyclomatic", F.when(F.col("n_functions") > 0, F.col("total_cyclomatic") / F.col("n_functions")).otherwise(1.0))
     return rows.withColumn("mi", maintainability(F.col("volume"), F.col("avg_cyclomatic"), F.col("loc")))
 

@@ -89,10 +89,10 @@ def entries(f: Facts, enabled: dict[str, bool] | None = None) -> DataFrame:
     take one pass and no shuffle; only env.py files look for a versions directory beside them."""
     on = [p for p in PLUGINS if (enabled or {}).get(p, True)]
     path = F.col("path")
-    mods = f.modules
+    mods = f.modules("imports", "sites", "is_script")
     if "alembic" in on:
-        folders = f.all.where(path.contains("versions/")).select(F.regexp_extract(path, r"^(.*/|)versions/", 1).alias("folder")).distinct()
-        env = f.all.where(path.rlike(r"(^|/)env\.py$")).select("path", F.regexp_extract(path, r"^(.*/|)env\.py$", 1).alias("folder")).join(folders, "folder", "left_semi").select("path", F.lit(True).alias("beside"))
+        folders = f.corpus.where(path.contains("versions/")).select(F.regexp_extract(path, r"^(.*/|)versions/", 1).alias("folder")).distinct()
+        env = f.corpus.where(path.rlike(r"(^|/)env\.py$")).select("path", F.regexp_extract(path, r"^(.*/|)env\.py$", 1).alias("folder")).join(folders, "folder", "left_semi").select("path", F.lit(True).alias("beside"))
         mods = mods.join(env, "path", "left").withColumn("beside_versions", F.coalesce("beside", F.lit(False)))
     found: dict[str, list[Column]] = {p: [] for p in on}
     special = {"script": lambda: F.col("is_script") | (file_name(path) == "__main__.py"), "pytest": lambda: is_pytest_entry(path), "django": lambda: _django(path), "alembic": lambda: _alembic(path)}

@@ -44,7 +44,7 @@ def comment(line: Column) -> Column:
 
 def suppressions(f: Facts) -> DataFrame:
     """path, line (null: the file), rule (null: all): what noqa comments name."""
-    rows = f.all.where(F.lower("source").contains("noqa")).select("path", F.posexplode(lines(F.col("source"))).alias("i", "text"))
+    rows = f.corpus.where(F.lower("source").contains("noqa")).select("path", F.posexplode(lines(F.col("source"))).alias("i", "text"))
     rows = rows.where(F.lower("text").contains("noqa")).withColumn("c", comment(F.col("text"))).where("c is not null")
     head = r"(?i)^(?:ruff:|flake8:)\s*(?=noqa)"
     whole = F.col("c").rlike(head)
@@ -202,7 +202,7 @@ def verdict(count: int, most: int = 0) -> str:
 
 def fixable(f: Facts, unused: DataFrame) -> DataFrame:
     """path, line, fix: whether an unused import is alone on a line that can go whole."""
-    text = f.modules.select("path", F.posexplode(F.split("source", "\n", -1)).alias("i", "text")).withColumn("line", F.col("i") + 1)
+    text = f.corpus.select("path", F.posexplode(F.split("source", "\n", -1)).alias("i", "text")).withColumn("line", F.col("i") + 1)
     single = F.trim("text").rlike(r"^(import|from)\s") & ~F.col("text").rlike(r"[,()\;]")
     return unused.select("path", "line", "name").join(text, ["path", "line"]).select("path", "line", "name", single.alias("fix"))
 
@@ -211,7 +211,7 @@ def fixed(f: Facts, unused: DataFrame) -> DataFrame:
     """path, source: the files that change, without the lines that fixable() allows to go."""
     gone = fixable(f, unused).where("fix").groupBy("path").agg(F.collect_set("line").alias("gone"))
     left = F.filter(F.split("source", "\n", -1), lambda _, i: ~F.array_contains("gone", i + 1))
-    return f.modules.select("path", "source").join(gone, "path").select("path", F.array_join(left, "\n").alias("source"))
+    return f.corpus.join(gone, "path").select("path", F.array_join(left, "\n").alias("source"))
 
 
 # --- report rows -------------------------------------------------------------------------------------------

@@ -62,7 +62,7 @@ def passthrough(f: Facts) -> DataFrame:
 
 def stray_print(f: Facts) -> DataFrame:
     """Not in test modules, nor in files that are scripts."""
-    library = f.modules.where(~F.col("is_script")).select("path", F.inline(F.filter("sites", lambda s: (s["role"] == "call") & (s["name"] == "print"))))
+    library = f.modules("sites", "is_script").where(~F.col("is_script")).select("path", F.inline(F.filter("sites", lambda s: (s["role"] == "call") & (s["name"] == "print"))))
     return _issues(_product(library), "stray-print", "print() in a library module; use logging")
 
 
@@ -74,7 +74,7 @@ def single_method_class(f: Facts) -> DataFrame:
 def todo_density(f: Facts, threshold: int = 5) -> DataFrame:
     """Lines with a marker after their first #."""
     count = F.size(F.filter(lines(F.col("source")), lambda x: x.rlike(rf"^[^#]*#.*({MARKERS})")))
-    rows = f.modules.select("path", count.alias("n")).where(F.col("n") >= threshold)
+    rows = f.modules().select("path", count.alias("n")).where(F.col("n") >= threshold)
     return _issues(rows, "high-todo-density", F.format_string(f"%d TODO/FIXME markers (threshold {threshold})", "n"), F.lit(1))
 
 
@@ -119,7 +119,7 @@ PROVIDERS = {"launchdarkly": ("variation", "variation_detail", "bool_variation")
 
 def flags(f: Facts) -> DataFrame:
     """Feature flags: path, line, flag, provider. Modules without an import of a flag source are skipped whole."""
-    gated = f.modules.where(imports_any(GATE, absolute=False))
+    gated = f.modules("imports", "sites").where(imports_any(GATE, absolute=False))
     rows = gated.select("path", F.inline(F.filter("sites", lambda s: s["role"].isin("method", "subscript"))))
     method, name = F.col("role") == "method", F.col("name")
     provider = F.when(method & (name == "get") & (F.col("tail") == "environ") & F.col("text").rlike("^(FEATURE_|FF_|ENABLE_|DISABLE_)"), "env-var")

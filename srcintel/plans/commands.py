@@ -31,8 +31,9 @@ class Workspace:
         self.facts = Facts(self.corpus)
 
     def check(self, circular_only: bool = False) -> DataFrame:
-        found = deadcode.analyse(self.corpus, self.project, self.facts).issues
-        return found.where("rule = 'circular-dependency'") if circular_only else found
+        if circular_only:
+            return deadcode.circular(self.facts, self.project.roots)
+        return deadcode.analyse(self.corpus, self.project, self.facts).issues
 
     def dupes(self, window: int = 50, min_unique: int = 6, mode: str = "mild", trace: str | None = None, skip_local: bool = False) -> DataFrame:
         found = clones.detect(self.facts, window, min_unique, mode)
@@ -270,7 +271,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = w.audit(args.base)
     found = apply_post(w, found, args).persist()
     n = found.count()
-    stats = {"files_scanned": w.facts.modules.count(), "elapsed_ms": int(1000 * (time.time() - began))}
+    stats = {"files_scanned": w.facts.modules().count(), "elapsed_ms": int(1000 * (time.time() - began))}
     print(render(found, args.format, stats))
     extras(w, found, args, sys.stderr if args.format in ("json", "sarif") else sys.stdout)
     if args.command == "audit":

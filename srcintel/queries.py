@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from srcintel.functions.names import is_pytest_entry
 from srcintel.operators import clones, deadcode, graph, health, plugins, post, smells
-from srcintel.operators.facts import Facts
+from srcintel.operators.facts import Facts, spread
 from srcintel.plans import report
 from srcintel.sources import corpus
 from srcintel.sources.corpus import table
@@ -46,7 +46,8 @@ pairs AS (SELECT a.path AS path_a, b.path AS path_b, min(struct_pack(sa := a.s,
 
 def _document_pairs(spark: SparkSession, sf: str) -> DataFrame:
     keys = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    seqs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), keys.alias("keys")).withColumn("lines", F.when(F.size("keys") > 0, F.sequence(F.lit(1), F.size("keys"))))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    seqs = docs.select(F.col("doc_id").alias("path"), keys.alias("keys")).withColumn("lines", F.when(F.size("keys") > 0, F.sequence(F.lit(1), F.size("keys"))))
     return clones.pairs(seqs)
 
 
@@ -58,10 +59,10 @@ def clones_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_WINDOWS} SELECT path_a, path_b FROM pairs WHERE (path_a % 2 = 1 AND m.sa <= 40 AND m.sa + 49 >= 40) OR (path_b % 2 = 1 AND m.sb <= 40 AND m.sb + 49 >= 40)")
 def clones_trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Clones that cover word 40 of a document of odd id: the predicate of `--trace`, on many files at once."""
-    issue = clones.issues(_document_pairs(spark, sf)).withColumn("path", F.col("path").cast("string"))
-    hit = F.exists("occurrences", lambda o: (o["path"] % 2 == 1) & (o["start_line"] <= 40) & (o["end_line"] >= 40))
-    return issue.where(hit).select(F.col("occurrences")[0]["path"].alias("path_a"), F.col("occurrences")[1]["path"].alias("path_b"))
+    """Clones that cover word 40 of a document of odd id."""
+    issue = clones.issues(_document_pairs(spark, sf))
+    found = clones.trace_all(issue, table(spark, sf, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("path"), F.lit(40).alias("line")))
+    return found.select(F.col("occurrences")[0]["path"].alias("path_a"), F.col("occurrences")[1]["path"].alias("path_b"))
 
 
 @query(f"WITH {_WINDOWS} SELECT path_a, path_b FROM pairs WHERE path_a // 100 <> path_b // 100")
@@ -97,7 +98,7 @@ def unused_imports(spark: SparkSession, sf: str) -> DataFrame:
 SELECT 'p' || l_partkey || '.py' AS path, count(*) AS n_imports, sum(used::INT)::BIGINT AS n_references FROM u GROUP BY 1""")
 def import_facts(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(corpus.unused_import_modules(spark, sf), keep=False)
-    return f.modules.select("path", F.size("imports").cast("long").alias("n_imports"), F.size("refs").cast("long").alias("n_references"))
+    return f.modules("imports", "refs").select("path", F.size("imports").cast("long").alias("n_imports"), F.size("refs").cast("long").alias("n_references"))
 
 
 _GRAPH = """
@@ -113,9 +114,9 @@ SELECT x || '.py' AS path FROM every WHERE x NOT IN (SELECT x FROM reach)
 
 
 def _unreached(spark: SparkSession, sf: str, hints: bool) -> DataFrame:
-    f = Facts(corpus.supply_modules(spark, sf, hints))
+    f = Facts(corpus.supply_modules(spark, sf, hints), keep=False)
     mods = graph.modules(f, ["."])
-    edge = graph.edges(f, mods)
+    edge = graph.edges(mods)
     start = mods.where(F.col("path").rlike(r"^n\d+\.py$")).select("path")
     return graph.unreachable(mods, edge, start)[0]
 
@@ -141,18 +142,18 @@ UNION ALL SELECT d || '/base.py' FROM folders WHERE d NOT IN (SELECT d FROM hit
 UNION ALL SELECT 'base.py' WHERE NOT EXISTS (SELECT 1 FROM hit WHERE s_suppkey % 3 = 2)
 UNION ALL SELECT '__init__.py'""")
 def parent_packages(spark: SparkSession, sf: str) -> DataFrame:
-    f = Facts(corpus.package_modules(spark, sf))
+    f = Facts(corpus.package_modules(spark, sf), keep=False)
     mods = graph.modules(f, ["."])
     good = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("name"))
     start = mods.withColumn("name", F.substring_index("path", "/", -1)).join(good, "name", "left_semi").select("path")
-    return graph.unreachable(mods, graph.edges(f, mods), start)[0]
+    return graph.unreachable(mods, graph.edges(mods), start)[0]
 
 
 @query(f"""WITH {_PLACES} SELECT d || '/s' || s_suppkey || '.py' AS src,
 CASE s_suppkey % 3 WHEN 0 THEN d || '/base.py' WHEN 1 THEN r || '/base.py' ELSE 'base.py' END AS dst FROM places""")
 def relative_imports(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(corpus.package_modules(spark, sf), keep=False)
-    return graph.edges(f, graph.modules(f, ["."]))
+    return graph.edges(graph.modules(f, ["."]))
 
 
 _CYCLES = """
@@ -180,7 +181,7 @@ def cycle_issues(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.col("dst").isNotNull(), F.concat(F.lit("import p"), F.col("dst").cast("string"), F.lit("\n"))).otherwise("x = 1\n")
     c = table(spark, sf, "part").join(e, F.col("p_partkey") == F.col("src"), "left").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("source"))
     f = Facts(c, keep=False)
-    found = graph.cycles(graph.edges(f, graph.modules(f, ["."])))
+    found = graph.cycles(graph.edges(graph.modules(f, ["."])))
     return found.select(F.array_join("cycle", "|").alias("cycle"), F.size("cycle").cast("long").alias("n"))
 
 
@@ -409,7 +410,7 @@ def audit_scope(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT l_partkey, l_suppkey AS o, 'import m_' || l_suppkey AS x FROM u WHERE used UNION ALL SELECT l_partkey, l_suppkey + 1000000000, 'm_' || l_suppkey || '.run()' FROM u WHERE used)
 SELECT 'p' || l_partkey || '.py' AS path, coalesce(string_agg(x || chr(10), '' ORDER BY o), '') AS source FROM (SELECT DISTINCT l_partkey FROM u WHERE NOT used) LEFT JOIN t USING (l_partkey) GROUP BY l_partkey""")
 def fix_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    f = Facts(corpus.unused_import_modules(spark, sf))
+    f = Facts(corpus.unused_import_modules(spark, sf), keep=False)
     return post.fixed(f, deadcode.unused_imports(f))
 
 
@@ -432,7 +433,7 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'c' || c_custkey || '.py' AS path, c_custkey % 3 = 0 AS failed FROM customer")
 def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.when(F.col("c_custkey") % 3 == 0, "def\n").otherwise("def f(): ...\n").alias("source"))
-    return Facts(c, keep=False).all.select("path", F.col("error").isNotNull().alias("failed"))
+    return Facts(c, keep=False).all().select("path", F.col("error").isNotNull().alias("failed"))
 
 
 @query("SELECT url AS path, regexp_matches(url, '(^|/)(conftest\\.py|test_[^/]+\\.py|[^/]+_test\\.py)$') AS hit FROM (SELECT DISTINCT split_part(url, '?', 1) AS url FROM pages)")

@@ -66,6 +66,20 @@ def test_dependencies_by_owner(spark):
     assert sorted(map(tuple, got)) == [("a/pyproject.toml", "requests"), ("b/pyproject.toml", "numpy")]
 
 
+def test_members_own_their_files_whatever_they_declare(spark):
+    files = {"a.py": "import yaml\n", "pkg/b.py": "import requests\n"}
+    declared = spark.createDataFrame([(".", "requests", "d"), (".", "pyyaml", "d"), ("pkg", "uvicorn", "d")], "owner_path string, name string, source string")
+    c = of(spark, files)
+    got = deadcode.unused_dependencies(Facts(c), c.select("path"), declared).select("path", "name").collect()
+    assert sorted(map(tuple, got)) == [("pyproject.toml", "requests")]
+
+
+def test_cycles_alone(spark):
+    files = {"a.py": "import b\n", "b.py": "import a, c\n", "c.py": "", "d.py": "import d\n"}
+    got = deadcode.circular(Facts(of(spark, files), keep=False), ["."]).select("rule", "path", "cycle").collect()
+    assert [tuple(r) for r in got] == [("circular-dependency", "a.py", ["a.py", "b.py"])]
+
+
 def test_parents_of_reached_files(spark):
     files = {"a/__init__.py": "import z\n", "a/b/__init__.py": "", "a/b/c.py": "", "z.py": ""}
     a = deadcode.analyse(of(spark, files), deadcode.Project(entry_points=["a/b/c.py"]))
@@ -157,6 +171,25 @@ def test_clones_against_brute_force(spark):
         clones.pairs(df, 0)
 
 
+def test_windows_of_many_places_are_split(spark, monkeypatch):
+    monkeypatch.setattr(clones, "PLACES", 3)
+    seqs = {f"f{k}": list("xabcdefg" if k % 2 else "yabcdefgz") for k in range(11)}
+    df = spark.createDataFrame([(p, k, list(range(len(k)))) for p, k in seqs.items()], "path string, keys array<string>, lines array<int>")
+    got = {(r["path_a"], r["path_b"], r["start_a"], r["start_b"]) for r in clones.pairs(df, 5, 3).collect()}
+    assert got == brute_pairs(seqs, 5, 3) and len(got) == 55
+    # a passage is the places of its first windows
+    assert clones.members(df, 5, 3).groupBy("h1").count().count() < 5
+
+
+def test_trace(spark):
+    df = spark.createDataFrame([("a", list("vabcdefw"), list(range(8))), ("b", list("abcdef"), list(range(6))), ("c", list("pqabcdef"), list(range(8)))], "path string, keys array<string>, lines array<int>")
+    issue = clones.issues(clones.pairs(df, 5, 3))
+    assert issue.count() == 3
+    assert {tuple(o["path"] for o in r["occurrences"]) for r in clones.trace(issue, "b", 2).collect()} == {("a", "b"), ("b", "c")}
+    places = spark.createDataFrame([("b", 2), ("c", 1), ("a", 99)], "path string, line int")
+    assert {tuple(o["path"] for o in r["occurrences"]) for r in clones.trace_all(issue, places).collect()} == {("a", "b"), ("b", "c")}
+
+
 def test_clone_modes(spark):
     body = "def f(a):\n    x = a + {}\n    y = x * 'k'\n    return g(x, y, {})\n"
     files = {"a.py": body.format(1, 2), "b.py": body.format(3, 4), "c.py": body.format(1, 2).replace("a", "q"), "tests/t.py": body.format(1, 2)}
