@@ -1,8 +1,8 @@
 """Token ids in binary shards, compressed by Re-Pair grammars, with random access to each document.
 
 A shard file is a sequence of blocks. A block holds about BLOCK ids of whole documents and a grammar of its
-own: rounds of counting the adjacent pairs inside documents and replacing the frequent ones, left to right
-without overlap, by new symbols (nonterminals), until no pair repeats `least` times or symbols run out.
+own: rounds of counting the adjacent pairs inside documents and replacing the frequent ones (the most frequent `per_round` of
+a round), left to right without overlap, by new symbols (nonterminals), until no pair occurs `least` times or symbols run out.
 Symbols fit 16 bits while the vocabulary leaves room, else 32. Stored are the rules (pairs of symbols), each
 symbol's expansion length, the documents' ids, symbol offsets and id counts, and the symbols.
 
@@ -36,36 +36,49 @@ BLOCK = 2 << 20
 ENCODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _frequent(key: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The keys that occur `least` times or more, ascending; of more than `most`, the most frequent."""
-    key = np.sort(key)
+#: Bins that pairs are counted in first, by hash: a pair as frequent as is asked for lies in a bin that is.
+BINS = 20
+
+
+def _frequent(key: np.ndarray, bin_: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The keys that occur `least` times or more, ascending; of more than `most`, the most frequent; at most one of a bin (the others'
+    turn comes in the next round)."""
+    key = np.sort(key[(np.bincount(bin_, minlength=1 << BINS) >= least)[bin_]])
+    if not len(key):
+        return key
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     count = np.diff(np.r_[first, len(key)])
     often = np.flatnonzero(count >= least)
-    if len(often) > most:
-        often = often[np.argsort(-count[often], kind="stable")[:most]]
-    return np.sort(key[first[often]])
+    often = often[np.argsort(-count[often], kind="stable")]
+    often = often[np.sort(np.unique(_bin(key[first[often]]), return_index=True)[1])]
+    return np.sort(key[first[often[:most]]])
+
+
+def _bin(key: np.ndarray) -> np.ndarray:
+    return ((key * key.dtype.type(0x9E3779B1 if key.itemsize == 4 else 0x9E3779B97F4A7C15)) >> key.dtype.type(8 * key.itemsize - BINS)).astype(np.int32)
 
 
-def grammar(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, least: int = 24, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, last: np.ndarray, base: int, least: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, position flags of the documents' last symbols). last: true at each document's last id.
-    Symbol base + k stands for the pair rules[k]."""
+    Symbol base + k stands for the pair rules[k]. Rounds go on until no pair occurs `least` times (a rule takes 12 bytes and
+    saves 2 or 4 at each occurrence) or symbols run out: those of 16 bits where the vocabulary leaves some, else a million."""
     seq, rules = ids.astype(np.uint32), []
     room = 65536 - base if base < 65536 else 1 << 20
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= room:
-            break
-        often = np.bincount(seq, minlength=1) >= least
-        at = np.flatnonzero(often[seq[:-1]] & often[seq[1:]] & ~last[:-1])
-        if not len(at):
-            break
-        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        chosen = _frequent(key, least, min(per_round, room - n_rules))
+    while len(seq) > 1 and n_rules < room:
+        often = np.bincount(seq) >= least
+        n_often = int(often.sum())
+        rank = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)[seq]
+        at = np.flatnonzero((rank[:-1] >= 0) & (rank[1:] >= 0) & ~last[:-1])
+        kind = np.uint32 if n_often < 65536 else np.uint64
+        key = rank[at].astype(kind) * kind(n_often) + rank[at + 1].astype(kind)
+        bin_ = _bin(key)
+        chosen = _frequent(key, bin_, least, min(per_round, room - n_rules))
         if not len(chosen):
             break
-        rule = np.searchsorted(chosen, key)
-        rule[rule == len(chosen)] = 0
+        rule_of = np.zeros(1 << BINS, np.int32)
+        rule_of[_bin(chosen)] = np.arange(len(chosen))
+        rule = rule_of[bin_]
         hit = chosen[rule] == key
         at, rule = at[hit], rule[hit]
         # left to right without overlap: of a run of adjacent hits, every other one
@@ -73,13 +86,18 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, least
         begun = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         keep = (np.arange(len(at)) - begun) % 2 == 0
         at, rule = at[keep], rule[keep]
-        seq[at] = base + n_rules + rule
+        # a pair that mostly overlapped others may be left with less: its turn is over all the same, and its rule stays if it is used
+        used = np.bincount(rule, minlength=len(chosen)) > 0
+        number = np.cumsum(used) - 1
+        symbol = np.flatnonzero(often).astype(np.uint32)
+        pair = np.stack([symbol[chosen // kind(n_often)], symbol[chosen % kind(n_often)]], 1)
+        seq[at] = base + n_rules + number[rule]
         last[at] = last[at + 1]
         left = np.ones(len(seq), bool)
         left[at + 1] = False
         seq, last = seq[left], last[left]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        n_rules += len(chosen)
+        rules.append(pair[used])
+        n_rules += int(used.sum())
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), last
 
 
@@ -113,6 +131,25 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
+def expand_block(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, n_ids: int) -> np.ndarray:
+    """The same for a whole block: each rule is expanded once, and a symbol copies its rule's ids."""
+    size = lengths.astype(np.int64)
+    if int(size.sum()) > 4 * n_ids + 1024:  # rules of rules of rules, longer together than the block
+        return expand(seq, rules, base)
+    flat = expand(base + np.arange(len(rules), dtype=np.uint32), rules, base)
+    first = np.cumsum(size) - size
+    own = seq >= base
+    rule = np.where(own, seq, base).astype(np.int64) - base
+    if not len(rules):
+        return seq.astype(np.uint32)
+    each = np.where(own, size[rule], 1)
+    stop = np.cumsum(each)
+    # a plain symbol takes its id from the end of `flat`, which the plain ones are put to
+    plain = seq[~own].astype(np.uint32)
+    begin = np.where(own, first[rule], len(flat) + np.cumsum(~own) - 1)
+    return np.concatenate([flat, plain])[np.repeat(begin - (stop - each), each) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+
 def block_bytes(doc_ids: list, ids: np.ndarray, ptr: np.ndarray, base: int, **how) -> bytes:
     last = np.zeros(len(ids), bool)
     last[ptr[1:] - 1] = True
@@ -215,7 +252,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 for b in blocks(np.memmap(path, np.uint8, "r").data):
-                    raw = expand(b.symbols, b.rules, b.base).tobytes()
+                    raw = expand_block(b.symbols, b.rules, b.lengths, b.base, b.n_ids).tobytes()
                     size = b.size.astype(np.int64)
                     stop = np.cumsum(size)
                     crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(size.tolist(), stop.tolist())]

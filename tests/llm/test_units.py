@@ -51,6 +51,14 @@ def test_chunks_encode_as_the_whole(texts):
     assert [ids[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("'strevlmdSRÉéß×-1 <|\x7f", max_size=14), max_size=6))
+def test_contractions_and_pieces(texts):
+    e = ChunkEncoder.at(tokenizer_path())
+    ids, ptr = e.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=60), min_size=1, max_size=6))
 def test_repair_round_trip(docs):
@@ -71,6 +79,53 @@ def test_repair_compresses():
     assert len(seq) < len(ids) / 8 and (repair.expand(seq, rules, 50) == ids).all()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rnd = np.random.default_rng(1)
+    words = [rnd.integers(0, 90, rnd.integers(2, 300)) for _ in range(12)]
+    docs = [words[k] for k in rnd.integers(0, 12, 400)]
+    ids, ptr = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    last = np.zeros(len(ids), bool)
+    last[ptr[1:] - 1] = True
+    seq, rules, ends = repair.grammar(ids, last, 100, least=8)
+    pairs = np.stack([seq[:-1], seq[1:]], 1)[~ends[:-1]]
+    left = np.unique(pairs, axis=0, return_counts=True)[1] if len(pairs) else np.zeros(0)
+    assert not (left >= 8).any() and len(seq) < 500 and int(repair.expansion_lengths(rules, 100).max()) > 64
+    lengths = repair.expansion_lengths(rules, 100)
+    assert (repair.expand(seq, rules, 100) == ids).all() and (repair.expand_block(seq, rules, lengths, 100, len(ids)) == ids).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=80))
+def test_blocks_expand_as_symbols_do(ids):
+    seq, rules, _ = repair.grammar(np.array(ids, np.uint32), np.zeros(len(ids), bool), 5, least=2)
+    assert repair.expand_block(seq, rules, repair.expansion_lengths(rules, 5), 5, len(ids)).tolist() == ids
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import json
+
+    file = json.loads(open(tokenizer_path()).read())
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[^\s\p{L}]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file))
+    e = ChunkEncoder.at(str(path))
+    texts = ["it's 1234 é", None, "", "a b"]
+    ids, ptr = e.encode(pa.array(texts))
+    assert not e.known and [ids[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ChunkEncoder.at(tokenizer_path()).known
+
+
+def test_table():
+    from srcintel.llm.bpe import Table
+
+    rnd = np.random.default_rng(3)
+    keys = np.unique(rnd.integers(0, 2**63, 5000).astype(U) & ~U(0xFFFF) | U(7))  # many fall together
+    t = Table(4)
+    for lo in range(0, len(keys), 700):
+        t.add(keys[lo : lo + 700])
+    assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys + U(1)) == -1).all()
+
+
 def brute_cuts(at, cost, window):
     best = {0: 0}
     for j in range(1, len(at)):
