@@ -15,7 +15,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset, a temporary folder, which only a local master may use: on a cluster the executors wouldn't share it."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if at:
         return at.rstrip("/")
     master = spark.sparkContext.master
