@@ -11,17 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcintel.llm.shared import fresh, ship
+from srcintel.llm.shared import fresh, ship, tasks
 from srcintel.llm.text import U
 
-PARTS = 64
+#: Keys that a task holds, and a file has, about.
+EACH = 1 << 20
 
 
 def write(keys: DataFrame) -> str:
-    """The folder of the files; keys: key long."""
+    """The folder of the files; keys: key long, a table or cheap to compute. As many files, by the keys' upper bits, as their number needs."""
     spark = keys.sparkSession
     ship(spark)
     to = fresh(spark, "keys")
+    bits = min(30, max(0, (keys.count() // EACH).bit_length()))
+    with open(f"{to}/bits", "w") as f:
+        f.write(str(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def save(part: int, held: list[np.ndarray]) -> None:
@@ -44,8 +48,8 @@ def write(keys: DataFrame) -> str:
             save(at, held)
             yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32())})
 
-    part = F.shiftrightunsigned("key", 58).cast("int").alias("part")
-    n = min(PARTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    part = (F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)).alias("part")
+    n = min(1 << bits, tasks(spark))
     keys.select(part, "key").distinct().repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "part int").count()
     return to
 
@@ -53,6 +57,8 @@ def write(keys: DataFrame) -> str:
 class KeySet:
     def __init__(self, folder: str):
         self.folder = folder
+        with open(f"{folder}/bits") as f:
+            self.bits = int(f.read())
         self.maps: dict[int, np.ndarray | None] = {}
 
     def _map(self, part: int) -> np.ndarray | None:
@@ -66,9 +72,10 @@ class KeySet:
         out = np.zeros(len(keys), bool)
         order = np.argsort(keys)
         ascending = keys[order]
-        bound = [0, *np.searchsorted(ascending, np.arange(1, PARTS, dtype=U) << U(58)).tolist(), len(keys)]
-        for part, (a, b) in enumerate(zip(bound, bound[1:])):
-            if b > a and (known := self._map(part)) is not None:
+        part = ascending >> U(64 - self.bits) if self.bits else np.zeros(len(keys), U)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a and (known := self._map(int(part[a]))) is not None:
                 at = np.minimum(np.searchsorted(known, ascending[a:b]), len(known) - 1)
                 out[order[a:b]] = known[at] == ascending[a:b]
         return out

@@ -1,36 +1,38 @@
 """Fuzzy line deduplication: MinHash bands of normalised lines, edit similarity, connected groups.
 
-A line's normal form keeps its letters: A-Z and the capitals of Latin-1 in lower case, all other ASCII and Latin-1
-signs blank, other scripts as they are; its words are what blanks part. Lines of `min_chars` bytes or more in normal
-form take part; equal normal forms (64 bits of hash) are one item. Two items are linked when their edit similarity,
-1 - Levenshtein / longer length, is at least `least`. Candidates are lines that share a bucket: BANDS bands of ROWS
-minima of the hashes of their runs of GRAM bytes. A pair with a share J of its runs in common meets with probability
-1 - (1 - J^ROWS)^BANDS; lengths and 28 other minima then tell most chance meetings. The README gives the recall
-measured against brute force. Of each connected group of lines over all documents one
-occurrence stays: that of the least (doc_id, row key, line number). The others are cut out of their documents.
-
-Occurrences travel as arrays, merged by ranges of their keys: a step of a task sends a line once, however often it
-has it, and the merging keeps only the least occurrence of each line, so a line that a third of the corpus shares is
-no hot group. Only lines that occur again or have a neighbour turn into rows.
+A line's normal form keeps its letters and digits: A-Z and the capitals of Latin-1 in lower case, all other ASCII and
+Latin-1 signs blank, other scripts as they are; its words are what blanks part. Lines of `min_chars` characters or more in
+normal form take part (by default all that have one); equal normal forms (64 bits of hash) are one item. Two items are linked
+when their edit similarity, 1 - Levenshtein / longer length, is at least `least`. Candidates are lines that share a
+bucket: BANDS bands of ROWS minima of the hashes of their runs of GRAM bytes. A pair with a share J of its runs in common
+meets with probability 1 - (1 - J^ROWS)^BANDS; lengths and 28 other minima then tell most chance meetings. (SimHashes joined
+on pigeonhole blocks were measured first and miss most edited lines: see the README, which also gives the recall against brute force.)
+Of each connected group of lines over all documents one occurrence stays: that of the least (doc_id, row key, line
+number). The others are cut out of their documents.
+
+One pass over the texts sends, by ranges of their keys, the least occurrence of each of a step's lines and its buckets'
+members, as arrays; the merging keeps only the least occurrence of each line, so a line that a third of the corpus shares is
+no hot group. A bucket of more than links.CELL lines is split into salted cells. Only the texts of lines with a near
+neighbour are fetched, by a second pass, and compared where their component comes together (links.verified).
 
 Documents left without any word, after they had some, are dropped by dedup(); all other rows stay, with all their
-columns. Nulls and empty texts stay as they are. Rows equal in all columns are one document given twice: both
-keep the same lines. A null doc_id sorts last.
+columns, whatever these are called. Nulls and empty texts stay as they are. Rows equal in all columns are one document
+given twice: both keep the same lines. A null doc_id sorts last.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcintel.llm import keyset
-from srcintel.llm.links import group_cells
-from srcintel.llm.shared import row_key, ship, stash
+from srcintel.llm import keyset, links
+from srcintel.llm.shared import keyed, named, ship, stash, tasks
 from srcintel.llm.text import U, as_bytes, enter, mix, range_hash, runs, steps
 
 RANGES = 4  # for each shuffle partition
@@ -38,21 +40,28 @@ OCCURRENCE = np.dtype([("key", "<u8"), ("none", "u1"), ("doc", "<i8"), ("k1", "<
 ORDER = ["key", "none", "doc", "k1", "k2", "line"]
 #: A line in a bucket: the bucket's lower 32 bits (the upper ones choose the range).
 MEMBER = np.dtype([("low", "<u4"), ("key", "<u8"), ("signature", "<u8")])
+CUT = np.dtype([("_k1", "<i8"), ("_k2", "<i8"), ("line", "<i4")])
+MET = np.dtype([("run", "<i8"), ("key", "<i8")])
+ITEMS, CUTS, CELLS, CROWD = range(4)
 GRAM = 6  # bytes
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 AGREE = 11
+PROMISE = 0.3  # share of the registers in which two lines agree, to be compared
+#: A run of so many registers, in the order of a line, that don't agree is a part that the other line doesn't have; about every other character there is an edit.
+FOREIGN = 8
 LOG_STEPS = 12  # of length, for each doubling
-SMALL = 16  # lines of a bucket whose pairs are compared where the bucket is put together
+CHUNK = 512 << 10  # bytes of text whose lines are hashed at once, so that the arrays stay in the caches
+HELD = 50_000  # lines that a task gathers before it sends them on, sorted
+SMALL = 16  # lines of a bucket up to which those without a near one in it are told where the bucket is put together
 _NONE = np.uint32(0xFFFFFFFF)
 _ORDER_OF_REGISTERS = np.argsort(mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=U)).reshape(REGISTERS, REGISTERS), axis=1)
 
 _SHOWN = np.full(256, 32, np.uint8)
+_SHOWN[48:58] = np.arange(48, 58)
 _SHOWN[97:123] = np.arange(97, 123)
 _SHOWN[65:91] = np.arange(97, 123)
 _SHOWN[128:] = np.arange(128, 256)
-#: Eight 8-bit (four 16-bit) counters, with one more in each whose bit is set.
-_SPREAD8 = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint8).reshape(256, 8).copy().view("<u8")[:, 0]
 
 
 def shown(data: np.ndarray) -> np.ndarray:
@@ -68,25 +77,6 @@ def shown(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """len(first) x 2 of 64 bits: each bit is the majority of that bit of the words' hashes. Not a part of the query any more. first: each line's first word; no line is empty."""
-    size = np.diff(np.append(first, len(word)))
-    out = np.zeros((len(first), 2), "<u8")
-    for side in range(2):
-        raw = mix(word + U(side * 0x9E37 + 1)).astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones = np.zeros((len(first), 8, 8), np.int32)
-        # sums of at most 255 words fit the 8-bit counters: longer lines are summed in parts
-        parts = np.minimum(size, 255)
-        extra = -(-size // 255)
-        starts = np.repeat(first, extra) + 255 * (np.arange(int(extra.sum())) - np.repeat(np.cumsum(extra) - extra, extra)) if (parts != size).any() else first
-        owner = np.cumsum(extra) - extra
-        for k in range(8):
-            total = np.add.reduceat(_SPREAD8[raw[:, k]], starts).view(np.uint8).reshape(-1, 8)
-            ones[:, k] = total if starts is first else np.add.reduceat(total.astype(np.int32), owner, axis=0)
-        out[:, side] = np.packbits(2 * ones.reshape(-1, 64) > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
-
-
 class Lines:
     """The lines of a text column that take part."""
 
@@ -105,8 +95,11 @@ class Lines:
         breaks = np.append(bound, len(data))
         start, end, ptr = runs(self.form != 32, breaks)
         n = np.diff(ptr)
+        # characters, not bytes, so that the minimum is the same in all scripts
+        before = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=before[1:])
         length = np.zeros(len(end) + 1, np.int64)
-        np.cumsum(end - start, out=length[1:])
+        np.cumsum(before[end] - before[start], out=length[1:])
         size = length[ptr[1:]] - length[ptr[:-1]] + np.maximum(0, n - 1)
         keep = (size >= min_chars) & (n > 0)
         self.text, self.number = text[keep], number[keep]
@@ -145,78 +138,15 @@ def _least(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, records[(records["k1"] != own["k1"]) | (records["k2"] != own["k2"]) | (records["line"] != own["line"])]
 
 
-CUT = "part int, records binary, _k1 long, _k2 long, line int"
-
-
-def _cut_rows(gone: np.ndarray) -> pa.RecordBatch:
-    n = len(gone)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(gone["k1"].copy()), pa.array(gone["k2"].copy()), pa.array(gone["line"].copy())], [c.split()[0] for c in CUT.split(", ")])
-
-
-def _kept_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], [c.split()[0] for c in CUT.split(", ")])
-
-
-def occurrences(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
-    """Rows of two kinds: arrays of the least occurrences of a step's lines, and the step's other occurrences, which go for sure."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("lines")
-        for batch in steps(batches):
-            lines = Lines(batch.column("text"), min_chars)
-            if not len(lines.key):
-                continue
-            doc = batch.column("doc_id")
-            records = np.zeros(len(lines.key), OCCURRENCE)
-            records["key"], records["line"] = lines.key, lines.number
-            for name, values in (("none", doc.is_null().to_numpy(zero_copy_only=False)), ("doc", doc.fill_null(0).to_numpy(zero_copy_only=False)), ("k1", batch.column("_k1").to_numpy()), ("k2", batch.column("_k2").to_numpy())):
-                records[name] = values[lines.text]
-            kept, gone = _least(records)
-            yield _kept_rows(_parts(kept, "key", ranges))
-            if len(gone):
-                yield _cut_rows(gone)
+def _blob(kind: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(records), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([records[lo : lo + 100_000].tobytes()], pa.binary())], ["kind", "records"])
 
-    return docs.mapInArrow(run, CUT)
-
-
-def merged(arrays: DataFrame, parts: int) -> DataFrame:
-    """The same over the whole corpus: arrays of all distinct lines, and the occurrences that go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("lines")
-        part, held, size = None, [], 0
-
-        def reduce() -> np.ndarray:
-            nonlocal held, size
-            kept, gone = _least(np.concatenate(held))
-            held, size = [kept], 0
-            return gone
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if part is not None:
-                gone = reduce()
-                if len(gone):
-                    yield _cut_rows(gone)
-                for lo in range(0, len(held[0]), 200_000):
-                    piece = held[0][lo : lo + 200_000]
-                    yield _kept_rows(pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["part", "records"]))
-
-        for b in batches:
-            for p, raw in zip(b.column("part").to_pylist(), b.column("records").to_pylist()):
-                if p != part:
-                    yield from close()
-                    part, held, size = p, [], 0
-                held.append(np.frombuffer(raw, OCCURRENCE))
-                size += len(held[-1])
-                if size > 500_000:
-                    gone = reduce()
-                    if len(gone):
-                        yield _cut_rows(gone)
-        yield from close()
 
-    return arrays.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, CUT)
+def _cut(gone: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(gone), CUT)
+    out["_k1"], out["_k2"], out["line"] = gone["k1"], gone["k2"], gone["line"]
+    return out
 
 
 def grams(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,18 +173,24 @@ def grams(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = value[np.repeat(begin - owner, n) + np.arange(int(n.sum()))] & U((1 << 8 * GRAM) - 1)
     short = np.flatnonzero(size < GRAM)
     value[owner[short]] &= (U(1) << (U(8) * size[short].astype(U))) - U(1)
-    return mix(value + U(1)), n, letters
+    value *= U(0x9E3779B97F4A7C15)
+    value ^= value >> U(32)
+    value *= U(0xD6E8FEB86659FD93)
+    return value, n, letters
 
 
 def minima(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Lines x REGISTERS: the least hash of those that fall to each register; an empty register takes another's, the first in its own order that has one (Shrivastava 2017), so that two lines agree on a register as often as their sets overlap."""
     out = np.full(len(n) * REGISTERS, _NONE, np.uint32)
     np.minimum.at(out, np.repeat(np.arange(len(n)) * REGISTERS, n) + (hashes >> U(58)).astype(np.int64), (hashes & U(0xFFFFFFFE)).astype(np.uint32) >> np.uint32(1))
-    out = out.reshape(-1, REGISTERS)
-    some = np.flatnonzero((out == _NONE).any(1))
+    return _filled(out.reshape(-1, REGISTERS), _NONE)
+
+
+def _filled(out: np.ndarray, none) -> np.ndarray:
+    some = np.flatnonzero((out == none).any(1))
     given, part = out[some], out[some]
     for source in _ORDER_OF_REGISTERS.T:
-        empty = part == _NONE
+        empty = part == none
         if not empty.any():
             break
         part = np.where(empty, given[:, source], part)
@@ -284,125 +220,391 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return (np.bitwise_count((x | x >> U(1)) & U(0x0055555555555555)) <= 28 - AGREE) & (gap <= math.ceil(-LOG_STEPS * math.log2(least)))
 
 
-MET = "run long, key long, signature binary, other long"
-
-
-def meetings(docs: DataFrame, least: float, min_chars: int, ranges: int, parts: int, small: int = SMALL) -> DataFrame:
-    """Rows of two kinds: (key, other), the like pairs of the buckets of at most `small` lines; (run, key, signature), the lines of larger buckets."""
+def spread(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
+    """part, records: what each step has for each range: parts 0 to ranges - 1 the least occurrences of its lines by range of the key, the next
+    `ranges` the members of buckets by range of the bucket, one more for occurrences that go for sure."""
     ship(docs.sparkSession)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(places: list[np.ndarray], members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        kept, gone = _least(np.concatenate(places))
+        yield _parts(kept, "key", ranges)
+        if len(gone):
+            # with no range of their own: anywhere will do
+            yield pa.RecordBatch.from_arrays([pa.array([2 * ranges + int(gone["key"][0] % U(ranges))], pa.int32()), pa.array([_cut(gone).tobytes()], pa.binary())], ["part", "records"])
+        key, bucket, signature = (np.concatenate([m[k] for m in members]) for k in range(3))
+        _, once = np.unique(key, return_index=True)
+        bucket, signature = bucket[once].ravel(), signature[once].ravel()
+        part = ((bucket >> U(32)) * U(ranges)) >> U(32)
+        order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.uint32), kind="stable")
+        records = np.zeros(len(order), MEMBER)
+        records["low"], records["key"], records["signature"] = bucket[order].astype(np.uint32), np.repeat(key[once], BANDS)[order], signature[order]
+        cut = np.searchsorted(part[order], np.arange(ranges + 1, dtype=U)).tolist()
+        some = [r for r in range(ranges) if cut[r + 1] > cut[r]]
+        yield pa.RecordBatch.from_arrays([pa.array([ranges + r for r in some], pa.int32()), pa.array([records[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["part", "records"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("lines")
-        for batch in steps(batches):
+        places, members, held = [], [], 0
+        for batch in steps(batches, limit=CHUNK):
             lines = Lines(batch.column("text"), min_chars)
             if not len(lines.key):
                 continue
-            _, once = np.unique(lines.key, return_index=True)
-            bucket, signature = bands(lines)
-            bucket, signature = bucket[once].ravel(), signature[once].ravel()
-            part = ((bucket >> U(32)) * U(ranges)) >> U(32)
-            order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.uint32), kind="stable")
-            out = np.zeros(len(order), MEMBER)
-            out["low"], out["key"], out["signature"] = bucket[order].astype(np.uint32), np.repeat(lines.key[once], BANDS)[order], signature[order]
-            cut = np.searchsorted(part[order], np.arange(ranges + 1, dtype=U))
-            some = [r for r in range(ranges) if cut[r + 1] > cut[r]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([out[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["part", "records"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            doc = batch.column("doc_id")
+            records = np.zeros(len(lines.key), OCCURRENCE)
+            records["key"], records["line"] = lines.key, lines.number
+            for name, values in (("none", doc.is_null().to_numpy(zero_copy_only=False)), ("doc", doc.fill_null(0).to_numpy(zero_copy_only=False)), ("k1", batch.column("_k1").to_numpy()), ("k2", batch.column("_k2").to_numpy())):
+                records[name] = values[lines.text]
+            places.append(records)
+            members.append((lines.key, *bands(lines)))
+            held += len(lines.key)
+            if held > HELD:
+                yield from out(places, members)
+                places, members, held = [], [], 0
+        if held:
+            yield from out(places, members)
+
+    return docs.mapInArrow(run, "part int, records binary")
+
+
+def _meet(records: np.ndarray, part: int, near, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members of buckets that hold near lines, members of buckets too large for one task) of a range of buckets. The run that stands for a
+    bucket is a hash of its members, so that the same lines met in several bands are one."""
+    low, key, signature = (np.ascontiguousarray(records[c]) for c in ("low", "key", "signature"))
+    order = np.argsort(low.astype(U) << U(32) | key >> U(32))
+    low, key, signature = low[order], key[order], signature[order]
+    # a line comes from each step that has it; the keys of a bucket ascend but for their lower halves
+    once = np.append(True, (low[1:] != low[:-1]) | (key[1:] != key[:-1]))
+    low, key, signature = low[once], key[once], signature[once]
+    run = np.cumsum(np.append(True, low[1:] != low[:-1])) - 1
+    size = np.bincount(run)[run]
+    stays = (size > small) & (size <= links.CELL)
+    some = np.flatnonzero((size > 1) & (size <= small))
+    at, s = run[some], signature[some]
+    for d in range(1, small):
+        i = np.flatnonzero(at[:-d] == at[d:])
+        if not len(i):
+            break
+        i = i[near(s[i], s[i + d])]
+        stays[some[i]] = stays[some[i + d]] = True
+    many = size > links.CELL
+    crowd = np.zeros(int(many.sum()), MET)
+    crowd["run"], crowd["key"] = (np.int64(part) << 32) | low[many].astype(np.int64), key[many].view(np.int64)
+    key, run = key[stays], run[stays]
+    out = np.zeros(len(key), MET)
+    if len(key):
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        out["run"] = np.repeat(np.add.reduceat(mix(key ^ U(0x5851F42D4C957F2D)), first), np.diff(np.append(first, len(key)))).view(np.int64)
+    out["key"] = key.view(np.int64)
+    return out, crowd
+
+
+def merged(spread_: DataFrame, ranges: int, least: float, small: int = SMALL) -> DataFrame:
+    """kind, records: over the whole corpus the distinct lines' least occurrences (ITEMS), the occurrences that go (CUTS), the
+    members of buckets with near lines (CELLS), and those of crowded buckets (CROWD)."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return alike(b, a, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("lines")
+        part, held, size = None, [], 0
 
-        def rows(run, key, signature, other) -> pa.RecordBatch:
-            n = len(key)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if run is None else pa.array(run), pa.array(key.view(np.int64)), pa.nulls(n, pa.binary()) if signature is None else pa.array(signature, pa.binary()), pa.nulls(n, pa.int64()) if other is None else pa.array(other.view(np.int64))], ["run", "key", "signature", "other"])
+        def reduce() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            kept, gone = _least(np.concatenate(held))
+            held, size = [kept], 0
+            yield from _blob(CUTS, _cut(gone))
 
-        def close(part: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if not held:
+        def close() -> Iterator[pa.RecordBatch]:
+            if part is None or part >= 2 * ranges:
                 return
-            r = np.concatenate(held)
-            low, key, signature = (np.ascontiguousarray(r[c]) for c in ("low", "key", "signature"))
-            order = np.argsort(low.astype(U) << U(32) | key >> U(32))
-            low, key, signature = low[order], key[order], signature[order]
-            # a line comes from each step that has it
-            once = np.append(True, (low[1:] != low[:-1]) | (key[1:] != key[:-1]))
-            low, key, signature = low[once], key[once], signature[once]
-            run = np.cumsum(np.append(True, low[1:] != low[:-1])) - 1
-            size = np.bincount(run)[run]
-            some = (size > 1) & (size <= small)
-            k, s, at = key[some], signature[some], run[some]
-            found = []
-            for d in range(1, small):
-                i = np.flatnonzero(at[:-d] == at[d:])
-                if not len(i):
-                    break
-                i = i[alike(s[i], s[i + d], least)]
-                found.append(np.stack([np.minimum(k[i], k[i + d]), np.maximum(k[i], k[i + d])], 1))
-            if found:
-                found = np.concatenate(found)
-                for lo in range(0, len(found), 100_000):
-                    piece = found[lo : lo + 100_000]
-                    yield rows(None, piece[:, 0].copy(), None, piece[:, 1].copy())
-            many = np.flatnonzero(size > small)
-            for lo in range(0, len(many), 50_000):
-                i = many[lo : lo + 50_000]
-                raw = signature[i].astype("<u8").tobytes()
-                yield rows((np.int64(part) << 32) | low[i].astype(np.int64), key[i], [raw[8 * j : 8 * j + 8] for j in range(len(i))], None)
-
-        part, held = None, []
+            if part < ranges:
+                yield from reduce()
+                yield from _blob(ITEMS, held[0])
+            else:
+                met, crowd = _meet(np.concatenate(held), part - ranges, near, small)
+                yield from _blob(CELLS, met)
+                yield from _blob(CROWD, crowd)
+
         for b in batches:
             for p, raw in zip(b.column("part").to_pylist(), b.column("records").to_pylist()):
                 if p != part:
-                    yield from close(part, held)
-                    part, held = p, []
-                held.append(np.frombuffer(raw, MEMBER))
-        yield from close(part, held)
+                    yield from close()
+                    part, held, size = p, [], 0
+                if p >= 2 * ranges:
+                    yield from _blob(CUTS, np.frombuffer(raw, CUT))
+                    continue
+                held.append(np.frombuffer(raw, OCCURRENCE if p < ranges else MEMBER))
+                size += len(held[-1])
+                if p < ranges and size > 500_000:
+                    yield from reduce()
+        yield from close()
+
+    n = tasks(spread_.sparkSession)
+    return spread_.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "kind int, records binary")
 
-    blobs = docs.select("text").mapInArrow(spread, "part int, records binary")
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, MET)
 
+def _rows(blobs: DataFrame, kind: int, record: np.dtype) -> DataFrame:
+    """The records of one kind as rows."""
+    kinds = {"<i8": "long", "<i4": "int"}
+    names = list(record.names)
 
-def forms(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
-    """(key, form) of the lines with these keys, from another pass over the texts that a mapped set of keys filters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("records").to_pylist():
+                r = np.frombuffer(raw, record)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[c])) for c in names], names)
+
+    return blobs.where(F.col("kind") == kind).select("records").mapInArrow(run, ", ".join(f"{c} {kinds[record[c].str]}" for c in names))
+
+
+def sketches(forms: list[str]) -> list[bytes]:
+    """Of each normal form: a byte of each register's minimum, the registers in the order of their minima's places in the line, and the length."""
+    if not forms:
+        return []
+    hashes, n, letters = grams(Lines(pa.array(forms, pa.string()), 1))
+    place = np.arange(len(hashes), dtype=U) - np.repeat(np.cumsum(n) - n, n).astype(U)
+    least = np.full(len(n) * REGISTERS, ~U(0))
+    np.minimum.at(least, np.repeat(np.arange(len(n)) * REGISTERS, n) + (hashes >> U(58)).astype(np.int64), (hashes & U(0xFFFFFFFE)) << U(31) | place)
+    least = _filled(least.reshape(-1, REGISTERS), ~U(0))
+    out = np.zeros((len(n), 2 * REGISTERS + 4), np.uint8)
+    out[:, :REGISTERS] = (least >> U(32)).astype(np.uint8)
+    out[:, REGISTERS : 2 * REGISTERS] = np.argsort(least & U(0xFFFFFFFF), axis=1, kind="stable")
+    out[:, 2 * REGISTERS :] = letters.astype("<u4").view(np.uint8).reshape(-1, 4)
+    raw, width = out.tobytes(), out.shape[1]
+    return [raw[k * width : (k + 1) * width] for k in range(len(n))]
+
+
+def promise(one: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
+    """The share of registers in which each of the sketches agrees with the one; -1 where edit similarity of `least` isn't to be expected: by the
+    lengths, or because a large part of the one line is foreign to the other (lines of different texts that share a passage)."""
+    a, b = one[2 * REGISTERS :].view("<u4")[0], np.ascontiguousarray(many[:, 2 * REGISTERS :]).view("<u4")[:, 0]
+    same = many[:, :REGISTERS] == one[:REGISTERS]
+    u = ~np.packbits(np.take(same, one[REGISTERS : 2 * REGISTERS], axis=1), axis=1, bitorder="little").view("<u8")[:, 0]
+    x = u & (u >> U(1))
+    x &= x >> U(2)
+    x &= x >> U(4)  # where FOREIGN begin
+    x |= x << U(1)
+    x |= x << U(2)
+    x |= x << U(4)  # all places of such runs
+    foreign = np.bitwise_count(x) * (0.55 / REGISTERS)  # edits for each character of the line
+    fits = np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+    return np.where(fits & (foreign <= 1 - least), same.mean(1), -1.0)
+
+
+def contents(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
+    """(key, form, signature) of the lines with these keys, from another pass over the texts that a mapped set of keys filters. signature: the sketch."""
     folder = keyset.write(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("lines")
-        wanted = keyset.KeySet(folder)
-        for batch in steps(batches):
+        wanted, sent = keyset.KeySet(folder), np.zeros(0, U)
+        for batch in steps(batches, limit=CHUNK):
             lines = Lines(batch.column("text"), min_chars)
             key, at = np.unique(lines.key, return_index=True)
             at = at[wanted.contains(key)] if len(key) else at
+            at = at[~np.isin(lines.key[at], sent)]  # what this task has sent lately isn't sent again
+            sent = np.concatenate([sent[-HELD:], lines.key[at]])
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[at].view(np.int64)), pa.array([lines.text_of(int(k)) for k in at], pa.string())], ["key", "form"])
 
-    return docs.select("text").mapInArrow(run, "key long, form string").groupBy("key").agg(F.first("form").alias("form"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
+        for batch in steps(batches, "form", CHUNK):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("form"), pa.array(sketches(batch.column("form").to_pylist()), pa.binary())], ["key", "form", "signature"])
+
+    found = docs.select("text").mapInArrow(run, "key long, form string").groupBy("key").agg(F.first("form").alias("form"))
+    return found.mapInArrow(add, "key long, form string, signature binary")
+
+
+# --- edit similarity ---------------------------------------------------------------------------------------
+
+
+def _stripped(a: str, b: str) -> tuple[str, str]:
+    """Without the common beginning and end."""
+    for _ in range(2):
+        low, high = 0, min(len(a), len(b))
+        if a[:high] == b[:high]:
+            low = high
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+        a, b = a[low:][::-1], b[low:][::-1]
+    return a, b
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """The Levenshtein distance, or more than `most` where it is more: a column of the table at a time, as the bits of integers (Myers 1999).
+    Every 64 columns the least entry of the column, with what its place still costs, tells whether there is a way on."""
+    a, b = _stripped(a, b)
+    if len(a) > len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    if not a or n - m > most:
+        return n
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    find, check = where.get, m > 128
+    for k, c in enumerate(b, 1):
+        equal = find(c, 0)
+        horizontal = (((equal & up) + up) ^ up) | equal | down
+        plus = down | (horizontal | up) ^ full
+        minus = up & horizontal
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        plus = plus << 1 & full | 1
+        vertical = equal | down
+        up = minus << 1 & full | (vertical | plus) ^ full
+        down = plus & vertical
+        if check and not k & 63:
+            size = (m + 7) // 8
+            bits = [np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=m, bitorder="little").astype(np.int32) for x in (up, down)]
+            column = k + np.cumsum(bits[0] - bits[1])
+            best = int(min(k + abs(m - n + k), (column + np.abs(np.arange(m - 1, -1, -1) - (n - k))).min()))
+            if best > most:
+                return best
+    return score
+
+
+def _bound(a: str, b: str) -> int:
+    """No less than the distance: words that occur once in both lines, in their longest common order, stay; what lies between is compared by itself."""
+    places = []
+    for text in (a, b):
+        seen: dict[str, int] = {}
+        at = 0
+        for w in text.split(" "):
+            seen[w] = -1 if w in seen else at
+            at += len(w) + 1
+        places.append(seen)
+    common = [(x, places[1][w], len(w)) for w, x in places[0].items() if x >= 0 and w and places[1].get(w, -1) >= 0]
+    tails: list[int] = []  # the longest ascending chain
+    last: list[int] = []
+    back = []
+    for k, (_, y, _) in enumerate(common):
+        at = bisect.bisect_left(tails, y)
+        back.append(last[at - 1] if at else -1)
+        tails[at : at + 1], last[at : at + 1] = [y], [k]
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(common[k])
+        k = back[k]
+    total, i, j = 0, 0, 0
+    for x, y, n in [*chain[::-1], (len(a), len(b), 0)]:
+        p, q = a[i:x], b[j:y]
+        total += distance(p, q, max(len(p), len(q))) if len(p) * len(q) <= 250_000 else max(len(p), len(q))
+        i, j = x + n, y + n
+    return total
+
+
+#: Pairs that are compared together.
+ABREAST = 32
+
+
+def distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """The Levenshtein distances of many pairs: distance() with the columns of ABREAST pairs side by side in one integer, where an
+    operation on all costs little more than on one."""
+    out = [max(len(a), len(b)) for a, b in pairs]
+    order = sorted((k for k, (a, b) in enumerate(pairs) if a and b), key=lambda k: -out[k])
+    for lo in range(0, len(order), ABREAST):
+        some = order[lo : lo + ABREAST]
+        for k, d in zip(some, _abreast([pairs[k] if len(pairs[k][0]) <= len(pairs[k][1]) else pairs[k][::-1] for k in some])):
+            out[k] = d
+    return out
+
+
+def _abreast(pairs: list[tuple[str, str]]) -> list[int]:
+    """Of (shorter, longer), none empty, the longest longer ones first. A pair's field has a bit for each character of the shorter one, and one above or more that
+    stays empty, where carries end. A row of `equal` tells where the shorter ones have the next characters of the longer ones."""
+    width = [len(a) // 8 + 1 for a, _ in pairs]
+    begin = np.concatenate([[0], np.cumsum(width)]).tolist()
+    rows = np.zeros((len(pairs[0][1]), begin[-1]), np.uint8)
+    full = first = 0
+    for (a, b), lo, hi in zip(pairs, begin, begin[1:]):
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (a, b))
+        letters = np.unique(x)
+        at = np.minimum(np.searchsorted(letters, y), len(letters) - 1)
+        table = np.packbits(letters[:, None] == x, axis=1, bitorder="little")
+        block = table[at]
+        block[letters[at] != y] = 0
+        rows[: len(y), lo : lo + table.shape[1]] = block
+        full |= ((1 << len(a)) - 1) << 8 * lo
+        first |= 1 << 8 * lo
+    up, down, out, ended = full, 0, [0] * len(pairs), len(pairs)
+    raw, size = rows.tobytes(), begin[-1]
+    number = int.from_bytes
+    for j in range(len(rows)):
+        equal = number(raw[j * size : (j + 1) * size], "little")
+        vertical = equal | down
+        horizontal = ((((equal & up) + up) ^ up) | vertical) & full
+        plus = down | (horizontal | up) ^ full
+        plus = plus << 1 & full | first
+        up = (up & horizontal) << 1 & full | (vertical | plus) ^ full
+        down = plus & vertical
+        while ended and len(pairs[ended - 1][1]) == j + 1:  # the column's last entry is its first plus the steps between
+            ended -= 1
+            at, field = 8 * begin[ended], (1 << len(pairs[ended][0])) - 1
+            out[ended] = j + 1 + (up >> at & field).bit_count() - (down >> at & field).bit_count()
+    return out
+
+
+def edit_similar(pairs: list[tuple[str, str]], least: float) -> list[bool]:
+    """Whether the edit similarity of each pair is `least` or more."""
+    out = [False] * len(pairs)
+    rest: list[tuple[int, int, str, str]] = []
+    for k, (a, b) in enumerate(pairs):
+        longer = max(len(a), len(b))
+        most = int(longer * (1 - least) + 1e-9)
+        if longer - min(len(a), len(b)) > most:
+            continue
+        a, b = _stripped(a, b)
+        if max(len(a), len(b)) <= most:
+            out[k] = True
+            continue
+        x, y = a.split(" "), b.split(" ")
+        if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:  # words for words
+            out[k] = True
+        elif longer > 2000:  # the whole table would be large
+            out[k] = _bound(a, b) <= most or distance(a, b, most) <= most
+        else:
+            rest.append((k, most, a, b))
+    if len(rest) < 8:
+        for k, most, a, b in rest:
+            out[k] = distance(a, b, most) <= most
+    else:
+        for (k, most, _, _), d in zip(rest, distances([r[2:] for r in rest])):
+            out[k] = d <= most
+    return out
+
+
+def _links(least: float):
+    """Verified links of cells of (form): edit similarity of `least`, of pairs whose lengths and signatures promise it."""
+
+    def found(rows: pa.RecordBatch, cuts: list[int], parts: list | None) -> Iterator[tuple[int, int]]:
+        enter("lines")
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        texts = rows.column("form").to_pylist()
+        return links.spanning(cuts, lambda i, hi: promise(signature[i], signature[i + 1 : hi], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
+
+    return found
 
 
-def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 1) -> DataFrame:
+def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 1, cell: int = 1024) -> DataFrame:
     """(_k1, _k2, lines): the line numbers to cut from each document that has any. docs: doc_id, _k1, _k2, text."""
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = RANGES * parts
-    one = stash(occurrences(docs, min_chars, ranges), "lines")
-    two = stash(merged(one.where("part is not null").select("part", "records"), parts), "lines")
-    items = two.where("part is not null").select("part", "records")
-    gone = one.where("part is null").select("_k1", "_k2", "line").unionByName(two.where("part is null").select("_k1", "_k2", "line"))
-    met = stash(meetings(docs, least, min_chars, ranges, parts), "cells")
-    cells = met.where("run is not null").select("run", "key", "signature")
-    direct = met.where("run is null").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-
-    def near(first: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return alike(many[:, 0], first[0], least)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs, "pairs")
-        some = stash(forms(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), min_chars), "forms")
-        both = pairs.join(some.select(F.col("key").alias("a"), F.col("form").alias("x")), "a").join(some.select(F.col("key").alias("b"), F.col("form").alias("y")), "b")
-        # a limit lets levenshtein() stop early, at -1 beyond it; most links are far below the last limit, and cost little at a lower one
-        last = f"cast(floor(greatest(length(x), length(y)) * {1 - least!r} + 1e-9) as int)"
-        return both.where(" or ".join(f"levenshtein(x, y, {limit}) >= 0" for limit in (f"least(16, {last})", f"least(128, {last})", last))).select("a", "b")
-
-    labels, links = group_cells(cells, "<u8", near, verify, direct)
-    if not links.isEmpty():
+    ranges = RANGES * tasks(docs.sparkSession)
+    blobs = stash(merged(spread(docs.select("doc_id", "_k1", "_k2", "text"), min_chars, ranges), ranges, least), "lines")
+    gone = _rows(blobs, CUTS, CUT)
+    crowd = _rows(blobs, CROWD, MET).select(F.col("run").alias("bucket"), "key")
+    cells = stash(_rows(blobs, CELLS, MET).union(links.salted(crowd)).distinct(), "cells")
+    if not cells.isEmpty():
+        known = stash(contents(docs, cells.select("key").distinct(), min_chars), "contents")
+        near = links.promises(cells.join(known.select("key", "signature"), "key"), "u1", lambda one, many: promise(one, many, least) >= PROMISE)
+        promised = links.components(near)
+        labels = links.verified(promised, known, _links(least), [F.col("form"), F.reverse("form")], cell)
         folder = keyset.write(labels.select(F.col("node").alias("key")))
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,36 +615,38 @@ def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 1) -> DataFra
                     r = r[wanted.contains(r["key"])]
                     if len(r):
                         doc = pa.array(r["doc"].copy(), mask=r["none"].astype(bool))
-                        yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64) if r["key"].flags.contiguous else r["key"].copy().view(np.int64)), doc, *(pa.array(r[c].copy()) for c in ("k1", "k2", "line"))], ["key", "doc_id", "_k1", "_k2", "line"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["key"]).view(np.int64)), doc, *(pa.array(r[c].copy()) for c in ("k1", "k2", "line"))], ["key", "doc_id", "_k1", "_k2", "line"])
 
-        first = items.select("records").mapInArrow(linked, "key long, doc_id long, _k1 long, _k2 long, line int")
+        first = blobs.where(F.col("kind") == ITEMS).select("records").mapInArrow(linked, "key long, doc_id long, _k1 long, _k2 long, line int")
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "line")
         first = stash(first.join(labels.withColumnRenamed("node", "key"), "key").select("root", place.alias("place")), "places")
         kept = first.groupBy("root").agg(F.min("place").alias("kept"))
         gone = gone.unionByName(first.join(kept, "root").where("place != kept").select("place._k1", "place._k2", "place.line"))
-    return gone.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return gone.groupBy("_k1", "_k2").agg(F.collect_set("line").alias("lines"))
 
 
-def _cleaned(docs: DataFrame, **how) -> DataFrame:
-    """docs with text without the lines to cut, and the counts under names that no table has."""
-    keys = row_key(docs)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.col("text").cast("string").alias("text"))
-    cut = removals(plain, **how).withColumnRenamed("lines", "_cut_lines")
-    joined = docs.select(*columns, *keys).join(cut, ["_k1", "_k2"], "left")
+def _cleaned(docs: DataFrame, **how) -> tuple[DataFrame, list[str]]:
+    """keyed() docs with `left`, the text without the lines to cut, and the counts."""
+    plain, names = keyed(docs, doc_id="long", text="string")
+    cut = removals(plain, **how).withColumnRenamed("lines", "cut")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_cut_lines", i)), "\n")
-    out = joined.withColumns({"_all_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "_n_cut": F.when(F.col("_cut_lines").isNull(), 0).otherwise(F.size("_cut_lines")).cast("long")})
-    return out.withColumn("text", F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(left)).select(*columns, "_all_lines", "_n_cut")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "\n")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return plain.join(cut, ["_k1", "_k2"], "left").withColumns({"left": F.when(F.col("cut").isNull(), F.col("text")).otherwise(left), "n_lines": n_lines, "n_removed": F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long")}), names
 
 
 def cleaned(docs: DataFrame, **how) -> DataFrame:
     """docs, every row, with text without the lines to cut, and n_lines, n_removed (which replace columns of these names)."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return _cleaned(docs, **how).select(*rest, F.col("_all_lines").alias("n_lines"), F.col("_n_cut").alias("n_removed"))
+    found, names = _cleaned(docs, **how)
+    kept = [F.col("left" if name == "text" else f"c{k}").alias(name) for k, name in enumerate(names) if name not in ("n_lines", "n_removed")]
+    return found.select(*kept, "n_lines", "n_removed")
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """The columns of docs; documents of which no word is left go."""
-    gone = (F.col("_n_cut") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return _cleaned(docs, **how).where(~gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The columns of docs; n_chars, where there is one, follows the text; documents of which no word is left go."""
+    found, names = _cleaned(docs, **how)
+    gone = (F.col("n_removed") > 0) & ~F.coalesce("left", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    instead: dict[str, Column] = {"text": F.col("left")}
+    if "n_chars" in names:
+        instead["n_chars"] = F.length("left").cast(docs.schema[names.index("n_chars")].dataType)
+    return named(found.where(~gone), names, **instead)

@@ -1,15 +1,19 @@
-"""Groups of similar items without all pairs: candidate cells, spanning links, verification, components.
-
-Items are distinct contents (their keys of any orderable type, with a fixed-size signature); copies were
-collapsed before. They come with bucket keys (bands, blocks). Then
-
-1. buckets with two items or more are kept; one with more than CELL is split into salted cells, so that every
-   two of its items meet in some cell and no task holds more than 2 x CELL of a bucket;
-2. inside a cell, items whose signatures are near are adjacent; a spanning forest of that graph is emitted, at
-   most one link for each item and cell, not all pairs;
-3. the caller verifies the distinct links; components of the verified ones are labelled;
-4. where a forest link failed, the cell's adjacent pairs that lie in different components are emitted and
-   verified too. So every adjacent pair that passes is inside a component, as if all pairs had been verified.
+"""Groups of similar items without all pairs: promises, components, verification in cells, components.
+
+Items are distinct contents (copies were collapsed before), with keys of any orderable type. Whoever calls finds
+promises, links between items whose signatures are near (a spanning forest of each bucket's near items is enough, as
+only the components of the promises count). Then verified() takes each component of the promises:
+
+1. one of at most 2 x `cell` items is a cell: its contents come together in one task, which verifies pairs, the
+   likeliest first, unless they're connected already. A cell gives a spanning forest of the exact graph;
+2. a larger one is sorted by the contents' own orders, one after another, and cut into runs of `cell` items, each of
+   which is verified as a cell. Near-copies lie together in some order, so after these passes, linear in the
+   component's size, most of it is connected;
+3. whatever is still apart inside a large component is compared across: its connected parts are cut into chunks, small
+   parts pooled, and every two chunks that aren't of one part meet in a cell. So every promising pair of a
+   component that passes is inside a group, as if all pairs had been verified, and no task holds more than 2 x `cell` contents.
+
+Only a large component whose items the first passes leave apart, in many small parts, costs pairs of chunks.
 """
 
 from __future__ import annotations
@@ -18,18 +22,55 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcintel.llm.shared import ship, stash
+from srcintel.llm.shared import ship, stash, tasks
 
+#: Items of a bucket that one task compares by their signatures.
 CELL = 2048
+#: Links that one task joins to components; more take distributed rounds.
+LOCAL = 1_000_000
+ARROW = {"binary": pa.binary(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string()}
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of links (a, b): root is the least node of its component. Large-star and
-    small-star rounds (Kiveris et al. 2014), each an aggregation and a join, written to the shared folder."""
+    """(node, root) for all nodes of links (a, b): root is the least node of its component."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    return _in_one_task(edges) if edges.limit(LOCAL + 1).count() <= LOCAL else _in_rounds(edges)
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Union-find over at most LOCAL edges."""
+    ship(edges.sparkSession)
+    kind = dict(edges.dtypes)["u"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            while (p := parent[x]) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                x, y = find(u), find(v)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        for lo in range(0, len(nodes), 100_000):
+            some = nodes[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, ARROW[kind]), pa.array([find(x) for x in some], ARROW[kind])], ["node", "root"])
+
+    return stash(edges.repartition(1).mapInArrow(run, f"node {kind}, root {kind}"), "components")
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """Large-star and small-star rounds (Kiveris et al. 2014), each an aggregation and a join, written to the shared folder."""
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -38,38 +79,46 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stash(small.union(least).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now[:2] == before or now[0] == 0:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == before or now[0] == 0:
             break
-        before = now[:2]
+        before = tuple(now)
     roots = edges.select(F.col("v").alias("node")).distinct()
     roots = roots.join(edges, roots["node"] == edges["u"], "left_anti")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+    return stash(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root"))), "components")
 
 
-def _cells(buckets: DataFrame, most: int = CELL) -> DataFrame:
-    """(cell, key) of (bucket, key): large buckets become triangles of salted cells."""
+def salted(buckets: DataFrame, most: int = 0) -> DataFrame:
+    """(run, key, ...) of (bucket, key, ...): buckets of two items or more; one with more than `most` becomes a triangle of salted cells, so that every two
+    of its items meet in some cell and none holds more than about 2 x `most`."""
     size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / most).cast("int")
-    joined = buckets.join(size, "bucket").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = joined.withColumn("other", other)
-    return spread.select(F.struct("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j")).alias("cell"), "key")
+    joined = buckets.join(size, "bucket").withColumn("parts", F.ceil(F.col("n") / (most or CELL)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    spread = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select(F.xxhash64("bucket", F.least("salt", "other"), F.greatest("salt", "other")).alias("run"), *[c for c in buckets.columns if c != "bucket"])
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole cells from rows sorted by cell."""
+def by_run(batches: Iterator[pa.RecordBatch], column: str = "run", most: int = 0) -> Iterator[pa.RecordBatch]:
+    """Whole cells from rows sorted by cell; most: of at most so many rows."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column("run").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        ids = batch.column(column)
+        new = np.flatnonzero(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)) + 1
+        cuts = [0, *new.tolist(), len(ids)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if held and held[-1].column("run")[0].as_py() != ids[lo]:
+            if held and held[-1].column(column)[0].as_py() != ids[lo].as_py():
+                yield _joined(held)
+                held, size = [], 0
+            while most and size + hi - lo >= most:
+                held.append(batch.slice(lo, most - size))
+                lo += most - size
                 yield _joined(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
+                held, size = [], 0
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+                size += hi - lo
     if held:
         yield _joined(held)
 
@@ -78,7 +127,7 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _forest(signature: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
+def forest(signature: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of the graph of near signatures (breadth first)."""
     left = np.arange(len(signature))
     while len(left) > 1:
@@ -92,72 +141,89 @@ def _forest(signature: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
             left = left[~hit]
 
 
-def _links(cells: DataFrame, kind: str, width: str, near: Callable, crossing: bool) -> DataFrame:
-    """cells: (run, key, signature[, root]) sorted by run inside partitions -> (run, a, b)."""
+def promises(cells: DataFrame, width: str, near: Callable) -> DataFrame:
+    """(a, b): forests of the near signatures of each cell. cells: run, key, signature. near(signature, signatures) -> mask."""
+    ship(cells.sparkSession)
+    kind = dict(cells.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for cell in _by_cell(batches):
+        for cell in by_run(batches):
             keys = cell.column("key").to_pylist()
             signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), width).reshape(len(keys), -1)
-            at = cell.column("run")[0].as_py()
-            if not crossing:
-                rows += [(at, keys[i], keys[j]) for i, j in _forest(signature, near)]
-            else:
-                root = np.array([hash(r) for r in cell.column("root").to_pylist()])
-                for i in range(len(keys) - 1):
-                    hit = near(signature[i], signature[i + 1 :]) & (root[i + 1 :] != root[i])
-                    rows += [(at, keys[i], keys[i + 1 + k]) for k in np.flatnonzero(hit).tolist()]
+            rows += [(keys[i], keys[j]) for i, j in forest(signature, near)]
             if len(rows) > 50_000:
-                yield _rows(rows, kind)
+                yield _pairs(rows, kind)
                 rows = []
         if rows:
-            yield _rows(rows, kind)
-
-    return cells.mapInArrow(run, f"run long, a {kind}, b {kind}")
-
-
-def _rows(rows: list[tuple], kind: str) -> pa.RecordBatch:
-    arrow = {"binary": pa.binary(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string()}[kind]
-    run, a, b = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(a, arrow), pa.array(b, arrow)], ["run", "a", "b"])
-
-
-def group_cells(cells: DataFrame, width: str, near: Callable, verify: Callable[[DataFrame], DataFrame], direct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """cells: (run, key, signature), a row for each item of each bucket, in a table. near(signature, signatures) -> mask, on
-    numpy arrays of dtype `width`. direct: (a, b), a < b, pairs to verify besides. verify: (a, b) -> its rows that are true links.
-    Returns ((node, root) of all items in links, the verified links)."""
-    spark = cells.sparkSession
-    ship(spark)
-    kind = dict(cells.dtypes)["key"]
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def ready(some: DataFrame) -> DataFrame:
-        return some.repartition(n, "run").sortWithinPartitions("run", "key")
-
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    found = stash(_links(ready(cells), kind, width, near, False).select("run", *ordered), "links")
-    tried = found.select("a", "b").union(direct.select("a", "b")).distinct()
-    good = stash(verify(tried), "verified")
-    labels = stash(components(good), "components")
-    bad = found.join(good, ["a", "b"], "left_anti").select("run").distinct()
-    again = cells.join(bad, "run", "left_semi")
-    again = again.join(labels, again["key"] == labels["node"], "left").select("run", "key", "signature", F.coalesce("root", "key").alias("root"))
-    more = _links(ready(again), kind, width, near, True).select(*ordered).distinct()
-    more = stash(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return labels, good
-    extra = stash(verify(more), "verified")
-    if extra.isEmpty():
-        return labels, good
-    both = good.unionByName(extra)
-    return stash(components(both), "components"), both
-
-
-def _spanning(signature: np.ndarray, payload: list, likeness: Callable, enough: float, similar: Callable) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the exact graph: pairs whose signatures promise enough are tried, the likeliest
-    first, unless they're connected already."""
-    parent = list(range(len(signature)))
+            yield _pairs(rows, kind)
+
+    return cells.repartition(tasks(cells.sparkSession), "run").sortWithinPartitions("run", "key").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _pairs(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    a, b = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(a, ARROW[kind]), pa.array(b, ARROW[kind])], ["a", "b"])
+
+
+#: similar(pairs of positions) -> whether each is a true link.
+Similar = Callable[[list[tuple[int, int]]], "list[bool]"]
+
+
+class _Cell:
+    """The promising pairs of the rows lo:hi that aren't tried yet, the likeliest first."""
+
+    def __init__(self, lo: int, hi: int, likeness: Callable[[int, int], np.ndarray], enough: float, find: Callable[[int], int]):
+        self.lo, self.hi, self.wave = lo, hi, 0
+        known = np.array([find(k) for k in range(lo, hi)])
+        a, b, value = [], [], []
+        for i in range(lo, hi - 1):
+            like = likeness(i, hi)
+            hit = np.flatnonzero((like >= enough) & (known[i + 1 - lo :] != known[i - lo]))
+            if len(hit):
+                a.append(np.full(len(hit), i))
+                b.append(hit + i + 1)
+                value.append(like[hit])
+        self.a, self.b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        order = np.argsort(-np.concatenate(value), kind="stable") if value else []
+        self.a, self.b = self.a[order], self.b[order]
+
+    def take(self, find: Callable[[int], int]) -> list[tuple[int, int]]:
+        """The pairs to try next, of those that aren't connected: first as many as would connect the cell if all succeeded,
+        then, as most others fail, four times more in each wave."""
+        known = np.array([find(k) for k in range(self.lo, self.hi)])
+        apart = known[self.a - self.lo] != known[self.b - self.lo]
+        self.a, self.b = self.a[apart], self.b[apart]
+        taken = np.zeros(len(self.a), bool)
+        if self.wave:
+            taken[: 16 << 2 * self.wave] = True
+        else:
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (p := parent.get(x, x)) != x:
+                    x = p
+                return x
+
+            for lo in range(0, len(self.a), 4096):
+                label = np.array([root(int(k)) for k in known])
+                x, y = label[self.a[lo : lo + 4096] - self.lo], label[self.b[lo : lo + 4096] - self.lo]
+                for k in np.flatnonzero(x != y).tolist():
+                    u, v = root(int(x[k])), root(int(y[k]))
+                    if u != v:
+                        parent[u] = v
+                        taken[lo + k] = True
+        self.wave += 1
+        out = list(zip(self.a[taken].tolist(), self.b[taken].tolist()))
+        self.a, self.b = self.a[~taken], self.b[~taken]
+        return out
+
+
+def spanning(cuts: list[int], likeness: Callable[[int, int], np.ndarray], enough: float, similar: Similar, parts: list | None = None) -> Iterator[tuple[int, int]]:
+    """Links of spanning forests of the exact graphs of the cells cuts[k]:cuts[k + 1]: pairs that promise `enough` are tried, the
+    likeliest first, unless they're connected already; those of all cells that come next are tried together. likeness(i, hi): of the
+    rows i + 1 to hi - 1 to row i. parts: rows of a cell with equal values are connected from the start."""
+    parent = list(range(cuts[-1]))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -165,58 +231,111 @@ def _spanning(signature: np.ndarray, payload: list, likeness: Callable, enough:
             x = parent[x]
         return x
 
-    a, b, value = [], [], []
-    for i in range(len(signature) - 1):
-        like = likeness(signature[i], signature[i + 1 :])
-        hit = np.flatnonzero(like >= enough)
-        a.append(np.full(len(hit), i))
-        b.append(hit + i + 1)
-        value.append(like[hit])
-    if not a:
-        return
-    a, b, value = np.concatenate(a), np.concatenate(b), np.concatenate(value)
-    order = np.argsort(-value, kind="stable")
-    left = len(signature) - 1
-    for i, j in zip(a[order].tolist(), b[order].tolist()):
-        x, y = find(i), find(j)
-        if x != y and similar(payload, i, j):
-            parent[x] = y
-            yield i, j
-            left -= 1
-            if not left:
-                return
-
-
-def group_by_content(items: DataFrame, buckets: DataFrame, width: str, likeness: Callable, enough: float, contents: Callable[[DataFrame], DataFrame], similar: Callable, cell: int = 1024) -> DataFrame:
-    """As group_cells(), for links that only the contents tell and whose candidates often fail: (node, root) of all linked items.
-
-    The bucket cells give spanning links of promising pairs; their components hold every promising pair of a bucket. Each
-    component's contents go once to a cell of its own (a large one's to a triangle of cells of at most 2 x `cell` items),
-    where pairs are verified in place: neither pairs nor their texts are exchanged.
-    likeness(signature, signatures) -> promise; contents(keys) -> (key, content); similar(contents, i, j) may replace contents by what it computes of them."""
-    spark = items.sparkSession
-    ship(spark)
-    kind = dict(items.dtypes)["key"]
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = _cells(buckets)
-    cells = cells.select(F.xxhash64("cell.bucket", "cell.i", "cell.j").alias("run"), "key").distinct()
-    ready = cells.join(items, "key").repartition(n, "run").sortWithinPartitions("run", "key")
-
-    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return likeness(one, many) >= enough
-
-    promised = stash(components(_links(ready, kind, width, near, False).select("a", "b")), "promised")
-    members = _cells(promised.select(F.col("root").alias("bucket"), F.col("node").alias("key")), cell)
-    members = members.select(F.xxhash64("cell.bucket", "cell.i", "cell.j").alias("run"), "key")
-    texts = stash(contents(promised.select(F.col("node").alias("key"))), "contents")
-    full = members.join(items, "key").join(texts, "key").repartition(n, "run").sortWithinPartitions("run", "key")
+    if parts is not None:
+        for lo, hi in zip(cuts, cuts[1:]):
+            first: dict = {}
+            for k in range(lo, hi):
+                parent[k] = first.setdefault(parts[k], k)
+    cells = [_Cell(lo, hi, likeness, enough, find) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
+    while cells:
+        wave = [pair for c in cells for pair in c.take(find)]
+        for (i, j), ok in zip(wave, similar(wave)):
+            if ok and (x := find(i)) != (y := find(j)):
+                parent[x] = y
+                yield i, j
+        cells = [c for c in cells if len(c.a)]
+
+
+#: links(rows, cuts, parts) -> pairs of positions: the verified links inside each cell cuts[k]:cuts[k + 1] of the rows, which are some
+#: whole cells; parts as in spanning().
+Links = Callable[[pa.RecordBatch, "list[int]", "list | None"], Iterator[tuple[int, int]]]
+#: Rows whose signatures are prepared together.
+TOGETHER = 4096
+
+
+def _verify(rows: DataFrame, links: Links, kind: str, most: int = 0, column: str = "run") -> DataFrame:
+    """rows sorted by `column` in their partitions -> (a, b); with a column `label`, what it connects isn't tried again."""
+    labelled = "label" in rows.columns
+
+    def verify(cells: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not cells:
+            return
+        whole = _joined(cells)
+        keys = whole.column("key").to_pylist()
+        found = [(keys[i], keys[j]) for i, j in links(whole, np.cumsum([0, *(c.num_rows for c in cells)]).tolist(), whole.column("label").to_pylist() if labelled else None)]
+        if found:
+            yield _pairs(found, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in _by_cell(batches):
-            keys = one.column("key").to_pylist()
-            signature = np.frombuffer(b"".join(one.column("signature").to_pylist()), width).reshape(len(keys), -1)
-            found = [(0, keys[i], keys[j]) for i, j in _spanning(signature, one.column("content").to_pylist(), likeness, enough, similar)]
-            if found:
-                yield _rows(found, kind)
-
-    return stash(components(full.mapInArrow(run, f"run long, a {kind}, b {kind}").select("a", "b")), "components")
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for cell in by_run(batches, column, most):
+            if cell.num_rows < 2:
+                continue
+            if held and size + cell.num_rows > TOGETHER:
+                yield from verify(held)
+                held, size = [], 0
+            held.append(cell)
+            size += cell.num_rows
+        yield from verify(held)
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def verified(promised: DataFrame, contents: DataFrame, links: Links, orders: list[Column], cell: int = 1024) -> DataFrame:
+    """(node, root) of all items in verified links. promised: (node, root), components of the promises, a table. contents: key and what
+    links() needs of each promised item. orders: columns over contents that bring similar items together."""
+    spark = promised.sparkSession
+    ship(spark)
+    kind, n = dict(promised.dtypes)["node"], tasks(spark)
+    size = promised.groupBy("root").agg(F.count("*").alias("size"))
+    # the components' sizes come along with the items, so that no content is exchanged twice for them
+    sized = stash(promised.join(size, "root").select(F.col("node").alias("key"), "root", "size"), "sized")
+    rows = sized.join(contents, "key")
+    large = sized.where(F.col("size") > 2 * cell)
+    if large.isEmpty():
+        return components(_verify(rows.repartition(n, "root").sortWithinPartitions("root", "key"), links, kind, column="root"))
+    rows = stash(rows, "contents")
+    found = [_verify(rows.where(F.col("size") <= 2 * cell).repartition(n, "root").sortWithinPartitions("root", "key"), links, kind, column="root")]
+    rest = rows.where(F.col("size") > 2 * cell).drop("size")
+    labels = None
+    for order in orders:
+        here = rest.withColumn("order", order)
+        if labels is not None:
+            here = _labelled(here, labels)
+        here = here.repartitionByRange(n, "root", "order").sortWithinPartitions("root", "order", "key").drop("order")
+        more = stash(_verify(here, links, kind, cell, "root"), "verified")
+        found.append(more)
+        labels = components(more if labels is None else more.union(labels.select("node", "root")))
+    across = _across(_labelled(sized.where(F.col("size") > 2 * cell).select("key", "root"), labels), cell)
+    if not across.isEmpty():
+        cells = across.join(rest.drop("root"), "key").repartition(n, "run").sortWithinPartitions("run", "key")
+        found.append(_verify(cells, links, kind))
+    every = found[0]
+    for one in found[1:]:
+        every = every.union(one)
+    return components(every)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of their key: the root of what it is connected with, or itself."""
+    known = labels.select(F.col("node").alias("key"), F.col("root").alias("label"))
+    return rows.join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _across(rows: DataFrame, cell: int) -> DataFrame:
+    """(run, key, label): cells in which every two items of one root and different labels meet. rows: key, root, label."""
+    part = rows.groupBy("root", "label").agg(F.count("*").alias("n"))
+    apart = part.groupBy("root").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= cell, F.col("n")).otherwise(0)).alias("pool"), F.collect_list(F.when(F.col("n") > cell, F.struct("label", F.ceil(F.col("n") / cell).cast("int").alias("parts")))).alias("big"))
+    apart = apart.where("labels > 1").withColumn("pools", F.ceil(F.col("pool") / cell).cast("int"))
+    # (label, number) of each chunk of a root; those of the pool have no label. A root of n items has n / cell of them.
+    big = F.flatten(F.transform("big", lambda b: F.transform(F.sequence(F.lit(0), b["parts"] - 1), lambda k: F.struct(b["label"].alias("of"), k.alias("k")))))
+    kind = dict(rows.dtypes)["label"]
+    pool = F.when(F.col("pools") > 0, F.transform(F.sequence(F.lit(0), F.col("pools") - 1), lambda k: F.struct(F.lit(None).cast(kind).alias("of"), k.alias("k")))).otherwise(F.expr(f"cast(array() as array<struct<of: {kind}, k: int>>)"))
+    chunks = apart.select("root", "pools", F.concat(big, pool).alias("chunks"))
+    placed = rows.join(part, ["root", "label"]).join(chunks, "root")
+    is_big = F.col("n") > cell
+    own = F.struct(F.when(is_big, F.col("label")).alias("of"), F.when(is_big, F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / cell))).otherwise(F.pmod(F.xxhash64("key"), F.col("pools"))).cast("int").alias("k"))
+    met = placed.withColumn("own", own).withColumn("other", F.explode("chunks")).where("not (own.of is not null and other.of is not null and own.of = other.of)")
+    code = lambda c: F.xxhash64(f"{c}.of", f"{c}.k")
+    return met.select(F.xxhash64("root", F.least(code("own"), code("other")), F.greatest(code("own"), code("other"))).alias("run"), "key", "label")

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcintel.llm import keyset
-from srcintel.llm.links import group_by_content
-from srcintel.llm.shared import row_key, ship, stash
+from srcintel.llm.links import components, promises, salted, spanning, verified
+from srcintel.llm.shared import keyed, ship, stash
 from srcintel.llm.text import U, Words, enter, mix, steps, words
 
 REGISTERS = 64
@@ -127,25 +127,35 @@ def signatures(docs: DataFrame, width: int = 5, id_columns: tuple[str, ...] = ("
     return docs.select(*id_columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _similar(width: int, least: float):
-    """Whether two of the texts have J_P >= least; texts turn into weighted sets when they're first needed."""
+def _links(width: int, least: float, enough: float):
+    """Verified links of a cell of (signature, content): J_P >= least, of pairs whose signatures agree in `enough`. Texts turn into weighted
+    sets when they're first needed."""
 
-    def similar(contents: list, i: int, j: int) -> bool:
-        for k in (i, j):
-            if isinstance(contents[k], str):
-                w = words(pa.array([contents[k]]), lower=True)
+    def links(rows: pa.RecordBatch, cuts: list[int], parts: list | None) -> Iterator[tuple[int, int]]:
+        enter("neardup")
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(rows.num_rows, -1)
+        texts, sets = rows.column("content"), {}
+
+        def weighted_set(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in sets:
+                w = words(texts.slice(k, 1), lower=True)
                 key, count = np.unique(shingles(w.hash, w.ptr, width)[0], return_counts=True)
-                contents[k] = (key, count / count.sum())
-        (a, x), (b, y) = contents[i], contents[j]
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        both = b[at] == a
-        # J_P is at most the overlap of the two distributions
-        return bool(np.minimum(x[both], y[at[both]]).sum() >= least) and similarity(contents[i], contents[j]) >= least
+                sets[k] = (key, count / count.sum())
+            return sets[k]
+
+        def similar(i: int, j: int) -> bool:
+            (a, x), (b, y) = weighted_set(i), weighted_set(j)
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            both = b[at] == a
+            # J_P is at most the overlap of the two distributions
+            return bool(np.minimum(x[both], y[at[both]]).sum() >= least) and similarity((a, x), (b, y)) >= least
 
-    return similar
+        return spanning(cuts, lambda i, hi: (signature[i + 1 : hi] == signature[i]).mean(1), enough, lambda pairs: [similar(i, j) for i, j in pairs], parts)
 
+    return links
 
-def content_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4, margin: float = 0.2) -> tuple[DataFrame, DataFrame]:
+
+def content_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4, margin: float = 0.2, cell: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(id columns and key of each row of docs, (node, root) of the keys in links). docs: _k1, _k2, doc_id, text.
     margin: signatures that agree in less than least - margin (4 standard deviations) aren't verified."""
     if bands * rows > REGISTERS:
@@ -154,16 +164,16 @@ def content_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: i
     items = stash(signed.where("key is not null").groupBy("key").agg(F.first("signature").alias("signature")), "items")
     band = [F.struct(F.xxhash64(F.lit(k), F.substring("signature", 4 * rows * k + 1, 4 * rows)).alias("bucket")) for k in range(bands)]
     buckets = items.select(F.explode(F.array(*band)).alias("band"), "key").select("band.bucket", "key")
-
-    def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return (many == one).mean(1)
-
-    def contents(keys: DataFrame) -> DataFrame:
-        folder = keyset.write(keys.select(F.xxhash64("key").alias("key")))
-        return _texts(docs, folder).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("content"))
-
-    labels = group_by_content(items, buckets, "<u4", likeness, least - margin, contents, _similar(width, least))
-    return signed.drop("signature"), labels
+    enough = least - margin
+    cells = salted(buckets).distinct().join(items, "key")
+    promised = components(promises(cells, "<u4", lambda one, many: (many == one).mean(1) >= enough))
+    keys = promised.select(F.col("node").alias("key"))
+    folder = keyset.write(keys.select(F.xxhash64("key").alias("key")))
+    # the copies of a content become one row in each task, before they are exchanged
+    texts = _texts(docs, folder).groupBy("key").agg(F.first("text").alias("content"))
+    contents = texts.join(items, "key")
+    orders = [F.substring("signature", 4 * rows * k + 1, 4 * rows) for k in (0, bands // 2)]
+    return signed.drop("signature"), verified(promised, contents, _links(width, least, enough), orders, cell)
 
 
 def _texts(docs: DataFrame, folder: str) -> DataFrame:
@@ -175,21 +185,30 @@ def _texts(docs: DataFrame, folder: str) -> DataFrame:
             keys = content_keys(words(batch.column("text"), lower=True))
             some = [k for k, x in enumerate(keys) if x is not None]
             hit = wanted.contains(np.array([xxhash.xxh64_intdigest(keys[k], 42) for k in some], U))
-            at = [k for k, h in zip(some, hit.tolist()) if h]
+            at = {keys[k]: k for k, h in zip(some, hit.tolist()) if h}  # of a step's copies one
             if at:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in at], pa.binary()), batch.column("text").take(pa.array(at))], ["key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.binary()), batch.column("text").take(pa.array(list(at.values())))], ["key", "text"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, text string")
 
 
+#: Contents with more than one in so many of all rows are joined by broadcast (there are at most so many), so that no task gets all their copies.
+HOT = 10_000
+
+
 def classes(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, class_size and whether it is the one that stays (keep), with the row keys _k1, _k2."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(docs))
-    rows, labels = content_groups(keyed, **how)
-    contents = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("stays"))
+    plain, _ = keyed(docs, doc_id="long", text="string")
+    rows, labels = content_groups(plain.select("doc_id", "text", "_k1", "_k2"), **how)
+    contents = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("stays"))
     contents = contents.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     whole = contents.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min("stays").alias("stays"))
-    contents = contents.drop("least", "copies", "stays").join(whole, "root").select("key", "class_id", "class_size", F.col("stays._k1").alias("s1"), F.col("stays._k2").alias("s2"))
-    out = rows.join(contents, "key", "left")
-    keep = F.col("key").isNull() | ((F.col("_k1") == F.col("s1")) & (F.col("_k2") == F.col("s2")))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), keep.alias("keep"), "_k1", "_k2")
+    contents = stash(contents.drop("least", "stays").join(whole, "root").select("key", "copies", "class_id", "class_size", F.col("stays._k1").alias("s1"), F.col("stays._k2").alias("s2")), "classes")
+    hot = F.col("copies") > max(HOT, rows.count() // HOT)
+    some = rows.where("key is not null").join(F.broadcast(contents.where(hot)), "key", "left")
+    rest = some.where("copies is null").select("doc_id", "_k1", "_k2", "key").join(contents.where(~hot), "key")
+    out = some.where("copies is not null").unionByName(rest)
+    keep = (F.col("_k1") == F.col("s1")) & (F.col("_k2") == F.col("s2"))
+    found = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "class_size", keep.alias("keep"), "_k1", "_k2")
+    empty = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keep"), "_k1", "_k2")
+    return found.unionByName(empty)

@@ -1,37 +1,20 @@
-"""The folder that all executors share, tables written there to cut lineage, and code for the workers."""
+"""The folder that all executors share, tables written there to cut lineage, code for the workers, and tables of any column names."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-_shipped: set[str] = set()
+from srcintel.operators.facts import ship
+from srcintel.storage import folder, mark, place, release, stash
 
+__all__ = ["folder", "fresh", "keyed", "local_path", "mark", "named", "release", "row_key", "ship", "stash", "tasks"]
 
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary folder."""
-    try:
-        at = spark.conf.get("spark.checkpoint.dir", "")
-    except Exception:  # noqa: BLE001 - some versions refuse to read static settings
-        at = ""
-    at = at or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if at:
-        return at.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="srcintel-"))
-    return _own[0]
 
-
-def local_path(spark: SparkSession) -> str:
-    """That folder as a path which Python on every executor can open (a shared mount)."""
-    at = folder(spark)
+def local_path(at: str) -> str:
+    """A place in the shared folder as a path which Python on every executor can open (a shared mount)."""
     if at.startswith("file:"):
         at = "/" + at[5:].lstrip("/")
     if "://" in at:
@@ -40,37 +23,35 @@ def local_path(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new subfolder for files that workers write and map."""
-    at = f"{local_path(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new subfolder for files that workers write and map; release() deletes it."""
+    at = local_path(place(spark, name))
     os.makedirs(at, exist_ok=True)
     return at
 
 
-def stash(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: computed once, without lineage.
-
-    Unlike checkpoint() it doesn't compute the last stage twice; lost executors don't lose it."""
-    spark = df.sparkSession
-    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+def tasks(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which needn't have it on their path."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="srcintel-code-")) / "srcintel_code.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(at))
+def row_key(plain: DataFrame) -> list[Column]:
+    """128 bits that tell rows apart, over all columns; rows equal in all columns have the same. plain: of names that need no quotes."""
 
+    def hashable(name: str, kind: str) -> Column:
+        return F.to_json(F.struct(name)) if "map<" in kind or "variant" in kind else F.col(name)
 
-def row_key(df: DataFrame) -> list[Column]:
-    """128 bits that tell rows apart, over all columns; rows equal in all columns have the same."""
-    cols = [c for name in df.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    cols = [c for name, kind in plain.dtypes for c in (F.col(name).isNull(), hashable(name, kind))]
     return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(7), *cols).alias("_k2")]
+
+
+def keyed(docs: DataFrame, **wanted: str) -> tuple[DataFrame, list[str]]:
+    """(c0, c1, ... for the columns of docs, _k1, _k2 and the wanted ones; the columns' names). Whatever the table's columns are
+    called, nothing clashes with the names that an operator uses. wanted: name=kind of columns of docs, cast to that kind."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    more = [F.col(f"c{names.index(name)}").cast(kind).alias(name) for name, kind in wanted.items()]
+    return plain.select("*", *row_key(plain), *more), names
+
+
+def named(df: DataFrame, names: list[str], **instead: Column) -> DataFrame:
+    """The columns of a table that keyed() made under their own names; instead: other values for some."""
+    return df.select(*[instead.get(name, F.col(f"c{k}")).alias(name) for k, name in enumerate(names)])

@@ -62,7 +62,8 @@ def test_lines(docs, empty):
     assert (2, 1, "") in got and (4, 0, None) in got and (5, 0, "") in got
     assert lines.cleaned(docs).columns == docs.columns + ["n_lines", "n_removed"]
     kept = lines.dedup(docs)
-    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in ROWS} - {2} and kept.columns == docs.columns
+    # document 3's one line is document 1's with a word changed
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in ROWS} - {2, 3} and kept.columns == docs.columns
     assert lines.cleaned(empty).count() == 0
 
 
@@ -83,6 +84,41 @@ def test_neardup_splits_large_groups(spark, monkeypatch):
     texts = [(k, BASE.replace(f"tok{k} ", "x ")) for k in range(10)] + [(99, BASE)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r["class_id"] for r in neardup.classes(df).collect()} == {0}
+    assert {r["class_id"] for r in neardup.classes(df, cell=2).collect()} == {0}
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    import random
+
+    from srcintel.llm import links
+
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(20)] + [(-5, 100)]
+    df = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    one = {tuple(r) for r in links.components(df).collect()}
+    monkeypatch.setattr(links, "LOCAL", 3)
+    assert {tuple(r) for r in links.components(df).collect()} == one and (-5, -5) in one and (120, -5) in one
+
+
+def test_large_components_are_compared_across(spark):
+    """Two kinds of items whose promises make one component; true links only inside a kind, and one item that only one other is like."""
+    from srcintel.llm import links
+
+    n = 60
+    promised = spark.createDataFrame([(k, 0) for k in range(n)], "node long, root long")
+    rows = [(k, k % 2 if k != 59 else 7, (k * 37) % n) for k in range(n)]
+    contents = spark.createDataFrame(rows, "key long, kind long, place long")
+
+    def verified(cell, cuts, parts):
+        kind, key = cell.column("kind").to_pylist(), cell.column("key").to_pylist()
+        similar = lambda pairs: [kind[i] == kind[j] and abs(key[i] - key[j]) < 40 or {key[i], key[j]} == {59, 4} for i, j in pairs]
+        return links.spanning(cuts, lambda i, hi: np.ones(hi - i - 1), 0.5, similar, parts)
+
+    from pyspark.sql import functions as F
+
+    for cell in (4, 100):
+        got = {r["node"]: r["root"] for r in links.verified(promised, contents, verified, [F.col("place"), F.col("place") % 7], cell).collect()}
+        assert got == {k: 0 if k % 2 == 0 or k == 59 else 1 for k in range(n)}, cell
 
 
 def test_mjpeg(docs, empty):
@@ -193,7 +229,8 @@ def test_pipeline(spark, docs):
         now = stage(spark, now, "").cache()
         n[name] = now.count()
         assert name == "pack" or now.columns == docs.columns
-    assert n["language_id"] == len(ROWS) - 4 and n["line_dedup"] == n["language_id"] - 1
+    # documents 2 and 3 lose their one line, and document 10 the line that it shares with document 9
+    assert n["language_id"] == len(ROWS) - 4 and n["line_dedup"] == n["language_id"] - 2
     assert n["minhash_near_dedup"] < n["line_dedup"] and n["pack"] > 0
 
 

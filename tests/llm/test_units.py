@@ -243,21 +243,86 @@ def test_scripts():
     assert langid._has_letter(pa.array(["a", "1 2", "", None, "漢", "٣"])).tolist() == [True, False, False, False, True, False]
 
 
-def test_simhash_is_a_majority():
-    x = lines.Lines(pa.array(["aa bb cc dd ee", "w " * 700 + "v"]), 3)
-    got = lines.simhash(x.word, x.first)
-    for k in range(2):
-        w = x.word[x.first[k] : (list(x.first[1:]) + [len(x.word)])[k]]
-        for side in range(2):
-            h = mix(w + U(side * 0x9E37 + 1))
-            want = sum(1 << b for b in range(64) if 2 * int(((h >> U(b)) & U(1)).sum()) > len(w))
-            assert int(got[k, side]) == want
-
-
 def test_normal_lines():
-    x = lines.Lines(pa.array(["HÉllo, wörld!\n\n12 ab\nhéllo   WÖRLD «x» 3", None, "", "héllo wörld x"]), 3)
-    assert [x.text_of(k) for k in range(len(x.key))] == ["héllo wörld", "héllo wörld x", "héllo wörld x"]
+    x = lines.Lines(pa.array(["HÉllo, wörld!\n\n-- **\nhéllo   WÖRLD «x» 3", None, "", "héllo wörld x 3", "漢字\n12", "ab"]), 3)
+    assert [x.text_of(k) for k in range(len(x.key))] == ["héllo wörld", "héllo wörld x 3", "héllo wörld x 3"]
     assert x.text.tolist() == [0, 0, 3] and x.number.tolist() == [0, 3, 0] and x.key[1] == x.key[2] != x.key[0]
+    y = lines.Lines(pa.array(["漢字\n12", "ab"]), 2)  # characters, not bytes
+    assert [y.text_of(k) for k in range(3)] == ["漢字", "12", "ab"] and len(lines.Lines(pa.array(["漢字\n12"]), 3).key) == 0
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_distances():
+    rnd = random.Random(3)
+    pairs = []
+    for k in range(500):
+        n = rnd.choice([3, 12, 63, 64, 65, 140, 200])
+        a = "".join(rnd.choices("abc é漢", k=rnd.randint(0, n)))
+        b = list(a) if k % 3 else rnd.choices("abc é", k=rnd.randint(0, n))
+        for _ in range(rnd.randint(0, n // 4)):
+            if b:
+                b[rnd.randrange(len(b))] = rnd.choice(["x", "", "yy"])
+        pairs.append((a, "".join(b)))
+    want = [levenshtein(a, b) for a, b in pairs]
+    assert lines.distances(pairs) == want
+    assert lines.edit_similar(pairs, 0.8) == [d <= int(max(len(a), len(b)) * 0.2 + 1e-9) for d, (a, b) in zip(want, pairs)]
+    for d, (a, b) in zip(want, pairs):
+        most = rnd.randint(0, 60)
+        got = lines.distance(a, b, most)
+        assert (got == d if d <= most else got > most) and lines._bound(a, b) >= d
+
+
+def test_promises_leave_out_lines_that_only_share_a_passage():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(900)]
+    text = lambda n: " ".join(rnd.choices(words, k=n))
+    passage = text(50)
+    shared = [f"{text(rnd.randint(20, 30))} {passage} {text(rnd.randint(20, 30))}" for _ in range(30)]
+    edited = []
+    for _ in range(30):
+        line = text(80).split(" ")
+        other = list(line)
+        for k in rnd.sample(range(80), 10):
+            other[k] = rnd.choice(words)
+        edited += [" ".join(line), " ".join(other)]
+    s = np.frombuffer(b"".join(lines.sketches(shared + edited)), np.uint8).reshape(len(shared) + len(edited), -1)
+    assert sum(int((lines.promise(s[i], s[i + 1 : 30], 0.8) >= lines.PROMISE).sum()) for i in range(29)) < 0.1 * 435
+    assert sum(lines.promise(s[k], s[k + 1 : k + 2], 0.8)[0] >= lines.PROMISE for k in range(30, 90, 2)) >= 29
+
+
+def partition(n, links):
+    root = list(range(n))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [x if r == y else r for r in root]
+    return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 7), min_size=1, max_size=4), st.randoms(use_true_random=False))
+def test_spanning_forests_are_those_of_the_whole_graph(sizes, rnd):
+    from srcintel.llm import links
+
+    cuts = np.cumsum([0, *sizes]).tolist()
+    n = cuts[-1]
+    true = {(i, j) for lo, hi in zip(cuts, cuts[1:]) for i in range(lo, hi) for j in range(i + 1, hi) if rnd.random() < 0.3}
+    tried = []
+
+    def similar(pairs):
+        tried.extend(pairs)
+        return [p in true for p in pairs]
+
+    got = list(links.spanning(cuts, lambda i, hi: np.array([rnd.random() for _ in range(i + 1, hi)]), 0.0, similar))
+    assert partition(n, got) == partition(n, true) and set(got) <= true and len(tried) == len(set(tried))
+    assert len(got) == n - len(partition(n, true))
 
 
 def test_discounts():
