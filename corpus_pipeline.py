@@ -6,56 +6,48 @@ documents. Every stage reads all rows that the one before kept.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcintel.llm import langid, lines, mixing, neardup, packing
-from srcintel.llm.shared import folder, row_key
+from srcintel.llm.shared import keyed, mark, named, release
+from srcintel.storage import place
 
 #: A document goes if no language holds this share of its words.
 LEAST_LANGUAGE_SHARE = 0.5
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(docs))
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of which no language holds half of the words, go; lang becomes what was found.
 
     The model learns from the texts and langs of the stage's own input."""
-    languages, logs, allowed = langid.model(langid.train(docs))
-    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the table's columns are called
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col("text"))
-    found = langid.predict(plain, languages, logs, allowed, id_columns=tuple(names))
+    model = langid.model(langid.train(docs))
+    plain, names = keyed(docs, text="string")
+    found = langid.predict(plain, *model, id_columns=tuple(f"c{k}" for k in range(len(names))))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    return kept.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in zip(docs.columns, names)])
+    return named(kept, names, lang=F.col("lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-equal lines one occurrence stays; documents left without a word go. n_chars follows the text."""
-    out = lines.dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    return lines.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     kept = neardup.classes(docs).where("keep").select("_k1", "_k2").distinct()
-    keyed = _keyed(docs)
+    plain, names = keyed(docs)
     # rows equal in all columns have one key: any one of them stays
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    return named(plain.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]), names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times. Documents without words go."""
-    keyed = _keyed(docs)
-    copies = mixing.mix(keyed, ids=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    plain, names = keyed(docs, text="string", source="string")
+    copies = mixing.mix(plain, ids=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     # rows equal in all columns have one key and are taken together
-    taken = keyed.dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"])
-    again = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = plain.dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"])
+    return named(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,15 +63,18 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: The stages can't be put in SQL; tests compare them with brute force.
+#: The stages can't be put in SQL; tests/llm/test_whole.py compares each with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's output written as Parquet and read again."""
+    """The stages over documents, each one's output written as Parquet and read again. What a stage itself has written on the way is deleted
+    when its output is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    outputs = [place(spark, f"pipeline-{name}") for name, _ in STAGES]
+    for (_, stage), at in zip(STAGES, outputs):
+        since = mark()
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        release(since)
     return docs
