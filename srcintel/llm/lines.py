@@ -47,9 +47,9 @@ GRAM = 6  # bytes
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 AGREE = 11
-PROMISE = 0.3  # share of the registers in which two lines agree, to be compared
-#: A run of so many registers, in the order of a line, that don't agree is a part that the other line doesn't have; about every other character there is an edit.
-FOREIGN = 8
+PROMISE = 0.4  # share of the registers in which two lines agree, to be compared
+#: A run of so many registers, in the order of a line, that don't agree is a part that the other line doesn't have, with so many edits a character.
+FOREIGN, EDITS = 8, 0.64
 LOG_STEPS = 12  # of length, for each doubling
 CHUNK = 512 << 10  # bytes of text whose lines are hashed at once, so that the arrays stay in the caches
 HELD = 50_000  # lines that a task gathers before it sends them on, sorted
@@ -375,21 +375,25 @@ def sketches(forms: list[str]) -> list[bytes]:
     return [raw[k * width : (k + 1) * width] for k in range(len(n))]
 
 
-def promise(one: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
-    """The share of registers in which each of the sketches agrees with the one; -1 where edit similarity of `least` isn't to be expected: by the
-    lengths, or because a large part of the one line is foreign to the other (lines of different texts that share a passage)."""
-    a, b = one[2 * REGISTERS :].view("<u4")[0], np.ascontiguousarray(many[:, 2 * REGISTERS :]).view("<u4")[:, 0]
-    same = many[:, :REGISTERS] == one[:REGISTERS]
-    u = ~np.packbits(np.take(same, one[REGISTERS : 2 * REGISTERS], axis=1), axis=1, bitorder="little").view("<u8")[:, 0]
-    x = u & (u >> U(1))
-    x &= x >> U(2)
-    x &= x >> U(4)  # where FOREIGN begin
-    x |= x << U(1)
-    x |= x << U(2)
-    x |= x << U(4)  # all places of such runs
-    foreign = np.bitwise_count(x) * (0.55 / REGISTERS)  # edits for each character of the line
-    fits = np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
-    return np.where(fits & (foreign <= 1 - least), same.mean(1), -1.0)
+def promise(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """The share of registers in which sketches agree, row by row; -1 where edit similarity of `least` isn't to be expected: by the lengths, or because a
+    large part of either line is foreign to the other (lines of different texts that share a passage)."""
+    same = a[:, :REGISTERS] == b[:, :REGISTERS]
+    size = [np.ascontiguousarray(x[:, 2 * REGISTERS :]).view("<u4")[:, 0].astype(np.int64) for x in (a, b)]
+    longer = np.maximum(*size)
+    foreign = np.zeros(len(a))
+    for x, n in zip((a, b), size):
+        own = np.take_along_axis(same, x[:, REGISTERS : 2 * REGISTERS].astype(np.intp), axis=1)
+        u = ~np.packbits(np.ascontiguousarray(own), axis=1, bitorder="little").view("<u8")[:, 0]
+        u &= u >> U(1)
+        u &= u >> U(2)
+        u &= u >> U(4)  # where FOREIGN begin
+        u |= u << U(1)
+        u |= u << U(2)
+        u |= u << U(4)  # all places of such runs
+        foreign = np.maximum(foreign, np.bitwise_count(u) * n / (REGISTERS * longer))
+    fits = np.minimum(*size) >= least * longer - 1e-9
+    return np.where(fits & (foreign * EDITS <= 1 - least), same.mean(1), -1.0)
 
 
 def contents(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
@@ -398,13 +402,15 @@ def contents(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("lines")
-        wanted, sent = keyset.KeySet(folder), np.zeros(0, U)
+        wanted, sent = keyset.KeySet(folder), set()
         for batch in steps(batches, limit=CHUNK):
             lines = Lines(batch.column("text"), min_chars)
             key, at = np.unique(lines.key, return_index=True)
             at = at[wanted.contains(key)] if len(key) else at
-            at = at[~np.isin(lines.key[at], sent)]  # what this task has sent lately isn't sent again
-            sent = np.concatenate([sent[-HELD:], lines.key[at]])
+            if len(sent) > HELD:
+                sent.clear()
+            at = at[[k not in sent for k in lines.key[at].tolist()]]  # what this task has sent lately isn't sent again
+            sent.update(lines.key[at].tolist())
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[at].view(np.int64)), pa.array([lines.text_of(int(k)) for k in at], pa.string())], ["key", "form"])
 
@@ -588,7 +594,7 @@ def _links(least: float):
         enter("lines")
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         texts = rows.column("form").to_pylist()
-        return links.spanning(cuts, lambda i, hi: promise(signature[i], signature[i + 1 : hi], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
+        return links.spanning(cuts, lambda i, hi: promise(np.broadcast_to(signature[i], signature[i + 1 : hi].shape), signature[i + 1 : hi], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
 
     return found
 
@@ -602,7 +608,7 @@ def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 1, cell: int
     cells = stash(_rows(blobs, CELLS, MET).union(links.salted(crowd)).distinct(), "cells")
     if not cells.isEmpty():
         known = stash(contents(docs, cells.select("key").distinct(), min_chars), "contents")
-        near = links.promises(cells.join(known.select("key", "signature"), "key"), "u1", lambda one, many: promise(one, many, least) >= PROMISE)
+        near = links.promises(cells.join(known.select("key", "signature"), "key"), "u1", lambda a, b: promise(a, b, least) >= PROMISE)
         promised = links.components(near)
         labels = links.verified(promised, known, _links(least), [F.col("form"), F.reverse("form")], cell)
         folder = keyset.write(labels.select(F.col("node").alias("key")))

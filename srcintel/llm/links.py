@@ -30,6 +30,8 @@ from srcintel.llm.shared import ship, stash, tasks
 
 #: Items of a bucket that one task compares by their signatures.
 CELL = 2048
+#: Items of a cell of which all near pairs are noted.
+FEW = 16
 #: Links that one task joins to components; more take distributed rounds.
 LOCAL = 1_000_000
 ARROW = {"binary": pa.binary(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string()}
@@ -142,21 +144,49 @@ def forest(signature: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
 
 
 def promises(cells: DataFrame, width: str, near: Callable) -> DataFrame:
-    """(a, b): forests of the near signatures of each cell. cells: run, key, signature. near(signature, signatures) -> mask."""
+    """(a, b): near pairs of each cell, all of a small one, a forest of a larger one. cells: run, key, signature. near(signatures, signatures) -> mask,
+    row by row."""
     ship(cells.sparkSession)
     kind = dict(cells.dtypes)["key"]
 
+    def close(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        run = rows.column("run").to_numpy()
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), width).reshape(len(run), -1)
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        size = np.diff(np.append(first, len(run)))
+        small = np.repeat(size <= FEW, size)
+        a, b = [], []
+        for d in range(1, FEW):
+            i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:])) if d < len(run) else []
+            if not len(i):
+                break
+            i = i[near(signature[i], signature[i + d])]
+            a.append(i)
+            b.append(i + d)
+        for lo, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+            inside = signature[lo : lo + n]
+            found = list(forest(inside, lambda one, many: near(np.broadcast_to(one, many.shape), many)))
+            if found:
+                x = lo + np.array(found)
+                a.append(x[:, 0])
+                b.append(x[:, 1])
+        if a:
+            keys = rows.column("key")
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for cell in by_run(batches):
-            keys = cell.column("key").to_pylist()
-            signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), width).reshape(len(keys), -1)
-            rows += [(keys[i], keys[j]) for i, j in forest(signature, near)]
-            if len(rows) > 50_000:
-                yield _pairs(rows, kind)
-                rows = []
-        if rows:
-            yield _pairs(rows, kind)
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _joined([held, batch]) if held is not None else batch
+            ids = rows.column("run").to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1]))  # the last run may go on
+            if whole:
+                yield from close(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None:
+            yield from close(held)
 
     return cells.repartition(tasks(cells.sparkSession), "run").sortWithinPartitions("run", "key").mapInArrow(run, f"a {kind}, b {kind}")
 

@@ -11,7 +11,7 @@ shuffle. Each step is one aggregation by source; a round's state is written to t
 Rounding: down each source's sizes, systematic rounding of the running sum of the fractions (in integer
 millionths), so a source's taken words differ from the sum of rates by about one document's size. A document's
 place in its (source, size) group comes from counts per hash bucket and a rank inside the bucket: no window
-holds more than a bucket, the buckets of a group, or the sizes of a source.
+holds more than a bucket, the buckets of a group, the sizes of a source, or a row for each task.
 
 Nulls: a null source is a source (the last one); a null or blank text has size 0, is taken 0 times and has no
 effect. Repeated rows are documents of their own. A table without words has targets 0. Reruns agree.
@@ -19,10 +19,12 @@ effect. Repeated rows are documents of their own. A table without words has targ
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcintel.llm.shared import stash
+from srcintel.llm.shared import stash, tasks
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000
@@ -34,25 +36,33 @@ def sizes(docs: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return docs.select(*ids, F.col("source").cast("string").alias("source"), n.alias("size"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with their number (from 0) in the order of source, nulls last. No window over all rows: each task numbers its own range of
+    sources, and the ranges' sizes, a row for each task, are summed up."""
+    n = tasks(rows.sparkSession)
+    ordered = rows.withColumn("last", F.col("source").isNull()).repartitionByRange(n, "last", "source").sortWithinPartitions("last", "source").drop("last")
+    own = stash(ordered.withColumn("id", F.monotonically_increasing_id()), "sources")
+    split = own.withColumns({"range": F.shiftright("id", 33), "place": F.col("id").bitwiseAND((1 << 33) - 1)}).drop("id")
+    sizes = split.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return split.join(F.broadcast(before), "range").withColumn("number", F.col("before") + F.col("place")).drop("range", "before", "place")
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
     """source, source_size, docs, target: shares of the total by weight, each at most `most` x its source, the excess
-    reshared by weight. That is min(most S, level w) with the level at which the targets sum up to the total:
-    with sources in order of most S / w, a prefix is capped, and the level follows from what is left."""
+    reshared by weight: min(most S, level w). The level is found as the contract tells it: all that are above their
+    caps at a level stop there, the rest shares what is left, until none is above. A round is one sum over the sources; the capped ones only grow."""
     by = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).cast("long").alias("docs"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    kind = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (kind + 1).cast("int"))
-    s = by.withColumn("weight", weight).withColumn("ratio", most * F.col("source_size") / F.col("weight"))
-    everyone = Window.partitionBy()
-    up = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(everyone)
-    left = total - F.coalesce(F.sum(most * F.col("source_size")).over(up), F.lit(0.0))
-    weights_left = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))
-    s = s.withColumn("level", left / weights_left)  # if all sources before this one are capped
-    place = F.row_number().over(Window.orderBy("ratio", F.col("source").isNull(), "source"))
-    fits = F.when(F.col("level") <= F.col("ratio"), F.struct(F.col("place"), F.col("level")))
-    s = s.withColumn("place", place).withColumn("true_level", F.min(fits).over(everyone)["level"])  # of the first that isn't capped
-    target = F.coalesce(F.least(most * F.col("source_size"), F.col("true_level") * F.col("weight")), most * F.col("source_size")).cast("double")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    s = stash(numbered(by).withColumn("weight", weight).drop("number"), "weights")
+    level, capped = 0.0, -1
+    while True:
+        over = level * F.col("weight") > most * F.col("source_size")
+        row = s.agg(F.sum("source_size").alias("total"), F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)).alias("stopped"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("weight"), F.count_if(over).alias("n")).first()
+        if row["n"] == capped or not row["weight"]:
+            break
+        capped, level = row["n"], (row["total"] - most * row["stopped"]) / row["weight"]  # whole numbers, so that reruns agree
+    target = F.least(most * F.col("source_size"), F.lit(level) * F.col("weight")).cast("double")
     return s.select("source", "source_size", "docs", target.alias("target"))
 
 
@@ -60,8 +70,9 @@ def _rate(most: float) -> Column:
     return F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("x"), F.lit(50.0)))))
 
 
-def tilts(histogram: DataFrame, goal: DataFrame, most: float = 3, rounds: int = 40, close: float = 1e-7) -> DataFrame:
-    """The goal table with each source's tilt, and `full` where every document must be taken `most` times."""
+def tilts(histogram: DataFrame, goal: DataFrame, most: float = 3, rounds: int = 200, close: float = 1e-7) -> DataFrame:
+    """The goal table with each source's tilt, and `full` where every document must be taken `most` times. Rounds end when every source is
+    within `close` of its target, or its bracket is as narrow as numbers allow; a warning tells if `rounds` weren't enough."""
     scale = F.col("source_size") / F.greatest(F.col("docs"), F.lit(1))
     state = goal.withColumns({"scale": scale.cast("double"), "full": F.col("target") >= most * F.col("source_size") * (1 - 1e-9), "tilt": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "off": F.lit(float("inf"))})
     keep = ["source", "source_size", "docs", "target", "scale", "full"]
@@ -80,9 +91,10 @@ def tilts(histogram: DataFrame, goal: DataFrame, most: float = 3, rounds: int =
         middle = F.when(F.col("low") == float("-inf"), F.col("high") * 2 - 1).when(F.col("high") == float("inf"), F.col("low") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
         next_tilt = F.when(F.col("off") <= close, F.col("tilt")).when(inside, F.col("newton")).otherwise(middle)
         state = stash(new.select(*keep, next_tilt.alias("tilt"), "low", "high", "off"), "tilts")
-        worst = state.agg(F.max("off")).first()[0]
+        worst = state.agg(F.max(F.when(F.col("high") - F.col("low") > 1e-15 * F.abs("tilt"), F.col("off")))).first()[0]
         if worst is None or worst <= close:
-            break
+            return state
+    warnings.warn(f"a source's taken words are still off their target by a factor of exp({worst:.2g})", stacklevel=2)
     return state
 
 

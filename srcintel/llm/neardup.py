@@ -166,7 +166,7 @@ def content_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bands: i
     buckets = items.select(F.explode(F.array(*band)).alias("band"), "key").select("band.bucket", "key")
     enough = least - margin
     cells = salted(buckets).distinct().join(items, "key")
-    promised = components(promises(cells, "<u4", lambda one, many: (many == one).mean(1) >= enough))
+    promised = components(promises(cells, "<u4", lambda a, b: (a == b).mean(1) >= enough))
     keys = promised.select(F.col("node").alias("key"))
     folder = keyset.write(keys.select(F.xxhash64("key").alias("key")))
     # the copies of a content become one row in each task, before they are exchanged

@@ -1,7 +1,7 @@
 """Toxicity by classifier chains: one linear model after another, each fed the earlier categories' probabilities.
 
-Training, on at most `most_rows` labelled texts (those of least hash of doc_id; a documented bound; copies count once),
-in one task: features are the presence of words (runs of letters, lower case), the `most_words` with the highest G2 against the category among those in
+Training, on at most `most_rows` labelled texts (those of least hash of doc_id; a documented bound, which holds however often a
+doc_id or a text is there; copies count once), in one task: features are the presence of words (runs of letters, lower case), the `most_words` with the highest G2 against the category among those in
 `least_docs` texts or more, and a few shares of the text (symbols, capitals, digits, distinct words). A category's
 model is logistic regression with an L1 penalty (FISTA), refitted on the words that it kept. Probabilities that train
 the later models are out of fold (`folds` folds by hash), so they have the spread that they'll have on new texts;
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcintel.llm.repetition import SYMBOL
-from srcintel.llm.shared import ship
+from srcintel.llm.shared import ship, stash
 from srcintel.llm.text import SPACE, U, as_bytes, enter, per_text, range_hash, runs, steps
 
 _LETTER = np.zeros(256, bool)
@@ -165,9 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], mos
     names = list(categories)
     y = [c.cast("double").alias(f"y{k}") for k, c in enumerate(categories.values())]
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("hash"), *y).dropna().orderBy("hash", "doc_id", *[f"y{k}" for k in range(len(names))]).limit(most_rows)
-    # most_rows small rows at most are broadcast: the documents stay where they are, only the sample's words travel
+    # most_rows small rows at most are broadcast, twice: the documents stay where they are, only the sample's words travel
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(sample), "doc_id").select("hash", F.xxhash64("text").alias("content"), "text", *[f"y{k}" for k in range(len(names))])
+    content = F.xxhash64("text").alias("content")
+    found = texts.join(F.broadcast(sample), "doc_id").select(content, "hash", *[f"y{k}" for k in range(len(names))])
+    # a document that is there many times, or a text with many labels, is one row: that of the least hash
+    own = F.struct("hash", *[f"y{k}" for k in range(len(names))])
+    chosen = stash(found.groupBy("content").agg(F.min(own).alias("own")).orderBy("own", "content").limit(most_rows), "sample")
+    once = texts.select(content, "text").join(F.broadcast(chosen), "content").groupBy("content").agg(F.first("text").alias("text"), F.first("own").alias("own"))
+    sample = once.select("content", "text", "own.*")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
@@ -184,8 +190,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], mos
             return
         table = pa.Table.from_batches(got)
         each = table.column("words").to_pylist()
-        once = np.sort(np.unique(table.column("content").to_numpy(), return_index=True)[1]).tolist()  # copies of a text count once
-        table, each = table.take(once), [each[k] for k in once]
         word = np.frombuffer(b"".join(each), "<u8").astype(U)
         row = np.repeat(np.arange(len(each)), [len(x) // 8 for x in each])
         fold = np.array(table.column("hash").to_pylist(), np.int64) % folds
@@ -195,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], mos
         yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], ["model"])
 
     shrunk = sample.mapInArrow(shrink, "hash long, content long, words binary, dense array<double>, y array<double>")
-    found = shrunk.repartition(1).sortWithinPartitions("hash").mapInArrow(fit, "model binary").first()  # most_rows rows at most
+    found = shrunk.repartition(1).sortWithinPartitions("hash", "content").mapInArrow(fit, "model binary").first()  # most_rows rows at most
     if found is None:
         return [(np.zeros(0, U), np.zeros(0)) for _ in names]
     z = np.load(io.BytesIO(found[0]))
