@@ -3,7 +3,7 @@
 The normaliser and splitter that are known here never join characters across ASCII white space, so the ids of a text are
 those of its white-space-separated chunks in order. A chunk of printable ASCII and Latin-1 letters is split into pieces by the
 splitter's rules over whole arrays of bytes; every other chunk (other scripts, control characters, special tokens) is one
-unit that goes through the library. Each distinct unit is encoded once; a bounded table keeps units between the steps of a
+unit that goes through the library, or several where a full stop of East Asian scripts precedes a letter. Each distinct unit is encoded once; a bounded table keeps units between the steps of a
 worker. With a file whose normaliser or splitter is another one, the library encodes the texts whole.
 """
 
@@ -50,6 +50,13 @@ _AFTER_C3[0x80:0xC0] = True
 _AFTER_C3[[0x97, 0xB7]] = False
 
 
+#: What ends a sentence, and what may follow it inside the same unit.
+STOPS = ".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff61\uff01\uff1f\uff0e\u061f\u06d4\u0964\u0965\u1362\u17d4\u104b"
+CLOSERS = "\"')]}\u00bb\u201d\u2019\u300d\u300f\uff09\u3011"
+_STOP = np.zeros(256, np.int64)
+_STOP[[ord(c) for c in ".!?"]] = 1
+
+
 def _shown() -> np.ndarray:
     """The printable character that byte-level models use for each byte; the blank stays, as it parts pieces here."""
     kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -134,6 +141,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     edge[first] = True
     odd_at = np.flatnonzero(odd)
     strange = np.unique(np.searchsorted(first, odd_at, "right") - 1) if len(odd_at) else odd_at
+    inside = np.zeros(n, bool)
     if len(strange):
         change = np.zeros(n + 1, np.int8)
         change[first[strange]] = 1
@@ -141,6 +149,10 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         inside = np.cumsum(change[:n], dtype=np.int8).astype(bool)
         edge[:n] &= ~inside
         edge[first] = True
+        # a full stop, exclamation or question mark of East Asian width before a Han, Hiragana or Hangul letter: no rule joins them
+        wide = np.flatnonzero((data[:-4] == 0xE3) & (data[1:-3] == 0x80) & (data[2:-2] == 0x82) | (data[:-4] == 0xEF) & (data[1:-3] == 0xBC) & ((data[2:-2] == 0x81) | (data[2:-2] == 0x9F)))
+        after, second = data[wide + 3], data[wide + 4]
+        edge[wide[((after >= 0xE5) & (after <= 0xE9) | (after == 0xEB) | (after == 0xEC) | (after == 0xE4) & (second >= 0xB8) | (after == 0xE3) & (second == 0x81)) & inside[wide + 3]] + 3] = True
         form[:n][inside] = data[inside]
         kind[:n][inside] = 0  # no contractions there
     quote = np.flatnonzero(form[:n] == 39)
@@ -156,9 +168,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     end = np.append(start[1:], n)
     own = np.searchsorted(start, first)
     end[np.append(own[1:], len(start))[: len(own)] - 1] = last
-    plain = np.ones(len(start), bool)
-    plain[own[strange]] = False
-    return form[:n], start, end, plain, np.searchsorted(start, off)
+    return form[:n], start, end, ~inside[start], np.searchsorted(start, off)
 
 
 class ChunkEncoder:
@@ -184,6 +194,7 @@ class ChunkEncoder:
         self.table = Table()
         self.ids = np.zeros(0, np.uint32)  # of all units in the table, one after another
         self.first = np.zeros(1, np.int64)
+        self.stops = np.zeros(0, bool)  # units that end a sentence
 
     @classmethod
     def at(cls, path: str) -> "ChunkEncoder":
@@ -208,6 +219,8 @@ class ChunkEncoder:
 
     def _learn(self, keys: np.ndarray, form: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> None:
         ids, sizes, order = [], [], []
+        marks = np.concatenate([[0], np.cumsum(_STOP[form])])
+        stops = plain & (marks[end] > marks[start])
         at = np.flatnonzero(plain)
         for lo in range(0, len(at), 4000):
             some = at[lo : lo + 4000]
@@ -218,12 +231,14 @@ class ChunkEncoder:
         at = np.flatnonzero(~plain)
         for lo in range(0, len(at), 2000):
             raw = [form[s:e].tobytes().decode() for s, e in zip(start[at[lo : lo + 2000]].tolist(), end[at[lo : lo + 2000]].tolist())]
+            stops[at[lo : lo + 2000]] = [t.rstrip(CLOSERS)[-1:] in STOPS and t.rstrip(CLOSERS) != "" for t in raw]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
             ids.append(np.array([x for e in found for x in e], np.uint32))
             sizes.append(np.array([len(e) for e in found], np.int64))
         order.append(at)
         self.table.add(keys[np.concatenate(order)])
         self.ids = np.concatenate([self.ids, *ids])
+        self.stops = np.concatenate([self.stops, stops[np.concatenate(order)]])
         self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate(sizes)))
 
     def _whole(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -232,11 +247,15 @@ class ChunkEncoder:
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) one after another, and each text's offset in them."""
+        return self.encode_marked(col)[:2]
+
+    def encode_marked(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and where sentences end: numbers of ids, ascending. With a tokenizer that the library encodes whole there are none."""
         if not self.known:
-            return self._whole(col)
+            return *self._whole(col), np.zeros(0, np.int64)
         data, off = as_bytes(col)
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64), np.zeros(0, np.int64)
         form, start, end, plain, ptr = units(data, off)
         key = range_hash(form, start, end)
         for k in np.flatnonzero(end - start > LONG).tolist():
@@ -254,13 +273,16 @@ class ChunkEncoder:
         at = np.zeros(len(which) + 1, np.int64)
         np.cumsum(each, out=at[1:])
         ids = self.ids[np.repeat(self.first[which] - at[:-1], each) + np.arange(at[-1])]
-        return ids, at[ptr]
+        ends = at[1:][self.stops[which]]
+        return ids, at[ptr], ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
 
-    def encode_closed(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same with the id `end` after each text."""
-        ids, ptr = self.encode(col)
+    def encode_closed(self, col: pa.Array, end: int, marked: bool = False) -> tuple[np.ndarray, ...]:
+        """ids and offsets with the id `end` after each text; marked: and where sentences end."""
+        ids, ptr, stops = self.encode_marked(col)
         at = ptr[1:]
-        return np.insert(ids, at, np.uint32(end)), ptr + np.arange(len(ptr))
+        out = np.insert(ids, at, np.uint32(end)), ptr + np.arange(len(ptr))
+        # a sentence that ends with its text ends before the end id, where no cut is wanted: the document's own end follows
+        return (*out, (stops + np.searchsorted(at, stops))[~np.isin(stops, at)]) if marked else out
 
 
 @at_change

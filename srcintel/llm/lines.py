@@ -55,7 +55,7 @@ CHUNK = 512 << 10  # bytes of text whose lines are hashed at once, so that the a
 HELD = 50_000  # lines that a task gathers before it sends them on, sorted
 SMALL = 16  # lines of a bucket up to which those without a near one in it are told where the bucket is put together
 _NONE = np.uint32(0xFFFFFFFF)
-_ORDER_OF_REGISTERS = np.argsort(mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=U)).reshape(REGISTERS, REGISTERS), axis=1)
+_COIN = (mix(np.arange(1, REGISTERS + 1, dtype=U)) & U(1)).astype(bool)
 
 _SHOWN = np.full(256, 32, np.uint8)
 _SHOWN[48:58] = np.arange(48, 58)
@@ -180,21 +180,25 @@ def grams(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def minima(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Lines x REGISTERS: the least hash of those that fall to each register; an empty register takes another's, the first in its own order that has one (Shrivastava 2017), so that two lines agree on a register as often as their sets overlap."""
+    """Lines x REGISTERS: the least hash of those that fall to each register; an empty register takes that of the next one that has any, to the left or right by
+    its own coin (Shrivastava and Li 2014), so that two lines agree on a register as often as their sets overlap."""
     out = np.full(len(n) * REGISTERS, _NONE, np.uint32)
     np.minimum.at(out, np.repeat(np.arange(len(n)) * REGISTERS, n) + (hashes >> U(58)).astype(np.int64), (hashes & U(0xFFFFFFFE)).astype(np.uint32) >> np.uint32(1))
     return _filled(out.reshape(-1, REGISTERS), _NONE)
 
 
 def _filled(out: np.ndarray, none) -> np.ndarray:
-    some = np.flatnonzero((out == none).any(1))
-    given, part = out[some], out[some]
-    for source in _ORDER_OF_REGISTERS.T:
-        empty = part == none
-        if not empty.any():
-            break
-        part = np.where(empty, given[:, source], part)
-    out[some] = part
+    empty = out == none
+    some = np.flatnonzero(empty.any(1))
+    if len(some):
+        at = np.arange(REGISTERS, dtype=np.int16)
+        mine = empty[some]
+        # twice around, so that the ends meet
+        left = np.maximum.accumulate(np.where(np.tile(~mine, 2), np.tile(at, 2) + np.repeat(np.array([0, REGISTERS], np.int16), REGISTERS), -1), axis=1)[:, REGISTERS:] % REGISTERS
+        wide = np.where(np.tile(~mine, 2), np.tile(at, 2) + np.repeat(np.array([0, REGISTERS], np.int16), REGISTERS), 2 * REGISTERS)
+        right = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS] % REGISTERS
+        source = np.where(mine, np.where(_COIN, left, right), at)
+        out[some] = np.take_along_axis(out[some], source.astype(np.intp), axis=1)
     return out
 
 
@@ -477,8 +481,8 @@ def distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def _bound(a: str, b: str) -> int:
-    """No less than the distance: words that occur once in both lines, in their longest common order, stay; what lies between is compared by itself."""
+def _bound(a: str, b: str, most: int) -> int:
+    """No less than the distance, if not more than `most`: words that occur once in both lines, in their longest common order, stay; what lies between is compared by itself."""
     places = []
     for text in (a, b):
         seen: dict[str, int] = {}
@@ -503,6 +507,8 @@ def _bound(a: str, b: str) -> int:
     for x, y, n in [*chain[::-1], (len(a), len(b), 0)]:
         p, q = a[i:x], b[j:y]
         total += distance(p, q, max(len(p), len(q))) if len(p) * len(q) <= 250_000 else max(len(p), len(q))
+        if total > most:
+            break
         i, j = x + n, y + n
     return total
 
@@ -575,7 +581,7 @@ def edit_similar(pairs: list[tuple[str, str]], least: float) -> list[bool]:
         if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:  # words for words
             out[k] = True
         elif longer > 2000:  # the whole table would be large
-            out[k] = _bound(a, b) <= most or distance(a, b, most) <= most
+            out[k] = _bound(a, b, most) <= most or distance(a, b, most) <= most
         else:
             rest.append((k, most, a, b))
     if len(rest) < 8:
@@ -594,7 +600,7 @@ def _links(least: float):
         enter("lines")
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         texts = rows.column("form").to_pylist()
-        return links.spanning(cuts, lambda i, hi: promise(np.broadcast_to(signature[i], signature[i + 1 : hi].shape), signature[i + 1 : hi], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
+        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
 
     return found
 
@@ -635,10 +641,11 @@ def _cleaned(docs: DataFrame, **how) -> tuple[DataFrame, list[str]]:
     """keyed() docs with `left`, the text without the lines to cut, and the counts."""
     plain, names = keyed(docs, doc_id="long", text="string")
     cut = removals(plain, **how).withColumnRenamed("lines", "cut")
-    lines = F.split("text", "\n", -1)
+    plain, text = plain.drop("doc_id", "text"), F.col(f"c{names.index('text')}").cast("string")  # the text is exchanged once
+    lines = F.split(text, "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return plain.join(cut, ["_k1", "_k2"], "left").withColumns({"left": F.when(F.col("cut").isNull(), F.col("text")).otherwise(left), "n_lines": n_lines, "n_removed": F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long")}), names
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return plain.join(cut, ["_k1", "_k2"], "left").withColumns({"left": F.when(F.col("cut").isNull(), text).otherwise(left), "n_lines": n_lines, "n_removed": F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long")}), names
 
 
 def cleaned(docs: DataFrame, **how) -> DataFrame:

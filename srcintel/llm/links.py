@@ -143,9 +143,24 @@ def forest(signature: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
             left = left[~hit]
 
 
+def _forest_of(a: list[int], b: list[int], n: int) -> list[int]:
+    """The numbers of the links (a, b) that connect what those before didn't."""
+    parent = list(range(n))
+    kept = []
+    for k, (x, y) in enumerate(zip(a, b)):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return kept
+
+
 def promises(cells: DataFrame, width: str, near: Callable) -> DataFrame:
-    """(a, b): near pairs of each cell, all of a small one, a forest of a larger one. cells: run, key, signature. near(signatures, signatures) -> mask,
-    row by row."""
+    """(a, b): forests of the near pairs of cells, of all cells that a task has together. cells: run, key, signature. near(signatures,
+    signatures) -> mask, row by row."""
     ship(cells.sparkSession)
     kind = dict(cells.dtypes)["key"]
 
@@ -172,7 +187,10 @@ def promises(cells: DataFrame, width: str, near: Callable) -> DataFrame:
                 b.append(x[:, 1])
         if a:
             keys = rows.column("key")
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
+            node = keys.dictionary_encode().indices.to_numpy()
+            x, y = np.concatenate(a), np.concatenate(b)
+            kept = _forest_of(node[x].tolist(), node[y].tolist(), len(run))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(p[kept])) for p in (x, y)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -201,59 +219,57 @@ Similar = Callable[[list[tuple[int, int]]], "list[bool]"]
 
 
 class _Cell:
-    """The promising pairs of the rows lo:hi that aren't tried yet, the likeliest first."""
-
-    def __init__(self, lo: int, hi: int, likeness: Callable[[int, int], np.ndarray], enough: float, find: Callable[[int], int]):
-        self.lo, self.hi, self.wave = lo, hi, 0
-        known = np.array([find(k) for k in range(lo, hi)])
-        a, b, value = [], [], []
-        for i in range(lo, hi - 1):
-            like = likeness(i, hi)
-            hit = np.flatnonzero((like >= enough) & (known[i + 1 - lo :] != known[i - lo]))
-            if len(hit):
-                a.append(np.full(len(hit), i))
-                b.append(hit + i + 1)
-                value.append(like[hit])
-        self.a, self.b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        order = np.argsort(-np.concatenate(value), kind="stable") if value else []
-        self.a, self.b = self.a[order], self.b[order]
+    """The promising pairs of a cell that aren't tried yet, the likeliest first."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.wave = a, b, 0
 
     def take(self, find: Callable[[int], int]) -> list[tuple[int, int]]:
         """The pairs to try next, of those that aren't connected: first as many as would connect the cell if all succeeded,
         then, as most others fail, four times more in each wave."""
-        known = np.array([find(k) for k in range(self.lo, self.hi)])
-        apart = known[self.a - self.lo] != known[self.b - self.lo]
-        self.a, self.b = self.a[apart], self.b[apart]
-        taken = np.zeros(len(self.a), bool)
+        if len(self.a) > 64:  # forget what is connected by now
+            nodes = np.unique(np.concatenate([self.a, self.b]))
+            label = np.array([find(k) for k in nodes.tolist()])
+            apart = label[np.searchsorted(nodes, self.a)] != label[np.searchsorted(nodes, self.b)]
+            self.a, self.b = self.a[apart], self.b[apart]
+        out: list[tuple[int, int]] = []
         if self.wave:
-            taken[: 16 << 2 * self.wave] = True
+            n = 16 << 2 * self.wave
+            out = [(x, y) for x, y in zip(self.a[:n].tolist(), self.b[:n].tolist()) if find(x) != find(y)]
+            self.a, self.b = self.a[n:], self.b[n:]
         else:
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
+                x = find(x)
                 while (p := parent.get(x, x)) != x:
                     x = p
                 return x
 
-            for lo in range(0, len(self.a), 4096):
-                label = np.array([root(int(k)) for k in known])
-                x, y = label[self.a[lo : lo + 4096] - self.lo], label[self.b[lo : lo + 4096] - self.lo]
-                for k in np.flatnonzero(x != y).tolist():
-                    u, v = root(int(x[k])), root(int(y[k]))
-                    if u != v:
-                        parent[u] = v
-                        taken[lo + k] = True
+            left: list[int] = []
+            a, b = self.a.tolist(), self.b.tolist()
+            apart = len({find(x) for x in {*a, *b}}) - 1
+            for k, (x, y) in enumerate(zip(a, b)):
+                if len(out) == apart:
+                    left += range(k, len(a))
+                    break
+                u, v = root(x), root(y)
+                if u != v:
+                    parent[u] = v
+                    out.append((x, y))
+                else:
+                    left.append(k)
+            self.a, self.b = self.a[left], self.b[left]
         self.wave += 1
-        out = list(zip(self.a[taken].tolist(), self.b[taken].tolist()))
-        self.a, self.b = self.a[~taken], self.b[~taken]
         return out
 
 
-def spanning(cuts: list[int], likeness: Callable[[int, int], np.ndarray], enough: float, similar: Similar, parts: list | None = None) -> Iterator[tuple[int, int]]:
+def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarray], enough: float, similar: Similar, parts: list | None = None) -> Iterator[tuple[int, int]]:
     """Links of spanning forests of the exact graphs of the cells cuts[k]:cuts[k + 1]: pairs that promise `enough` are tried, the
-    likeliest first, unless they're connected already; those of all cells that come next are tried together. likeness(i, hi): of the
-    rows i + 1 to hi - 1 to row i. parts: rows of a cell with equal values are connected from the start."""
-    parent = list(range(cuts[-1]))
+    likeliest first, unless they're connected already; those of all cells that come next are tried together. like(i, j): the promises of
+    the pairs of rows i and j (arrays). parts: rows of a cell with equal values are connected from the start."""
+    n = cuts[-1]
+    parent = list(range(n))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -261,12 +277,40 @@ def spanning(cuts: list[int], likeness: Callable[[int, int], np.ndarray], enough
             x = parent[x]
         return x
 
+    size = np.diff(cuts)
+    cell = np.repeat(np.arange(len(size)), size)
     if parts is not None:
         for lo, hi in zip(cuts, cuts[1:]):
             first: dict = {}
             for k in range(lo, hi):
                 parent[k] = first.setdefault(parts[k], k)
-    cells = [_Cell(lo, hi, likeness, enough, find) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
+    known = np.array(parent, np.int64)
+    few = size <= FEW
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        apart = known[i] != known[j]
+        i, j = i[apart], j[apart]
+        value = like(i, j) if len(i) else np.zeros(0)
+        hit = value >= enough
+        found.append((i[hit], j[hit], value[hit]))
+
+    for d in range(1, min(FEW, n)):
+        i = np.flatnonzero((cell[:-d] == cell[d:]) & few[cell[:-d]])
+        if not len(i):
+            break
+        add(i, i + d)
+    for k in np.flatnonzero(~few).tolist():
+        for i in range(cuts[k], cuts[k + 1] - 1):
+            j = np.arange(i + 1, cuts[k + 1])
+            add(np.full(len(j), i), j)
+    if not found:
+        return
+    a, b, value = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-value, cell[a]))
+    a, b = a[order], b[order]
+    bound = np.flatnonzero(np.append(True, cell[a][1:] != cell[a][:-1])).tolist() if len(a) else []
+    cells = [_Cell(a[lo:hi], b[lo:hi]) for lo, hi in zip(bound, [*bound[1:], len(a)])]
     while cells:
         wave = [pair for c in cells for pair in c.take(find)]
         for (i, j), ok in zip(wave, similar(wave)):

@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming over cuts at document and sentence boundaries.
 
 A stream of documents (ids and an end id each) is cut into windows of at most `window` ids. Cuts may fall
-after a document (free), after a sentence (`sentence_cost`) or, in runs without either, every `run` ids
+after a document (free), after a sentence (`sentence_cost`; bpe.STOPS has the marks of many scripts that end one) or, in runs without either, every `run` ids
 (`run_cost`). With G(j) the least cost of cutting the first p_j ids into whole windows,
 
     G(j) = cost_j + min over i, p_j - p_i <= window, of  G(i) + window - (p_j - p_i)
@@ -33,10 +33,10 @@ WINDOW = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, window: int, sentence_cost: int, run: int, run_cost: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which a cut may fall, ascending from 0 to len(ids), with their costs. ends: after each document."""
-    cost = np.full(len(ids) + 1, -1, np.int32)
-    cost[np.flatnonzero(sentence[ids]) + 1] = sentence_cost
+def cut_points(n: int, ends: np.ndarray, sentences: np.ndarray, sentence_cost: int, run: int, run_cost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where a cut may fall, ascending from 0 to n, with their costs. ends: of documents; sentences: of sentences."""
+    cost = np.full(n + 1, -1, np.int32)
+    cost[sentences] = sentence_cost
     cost[ends] = 0
     cost[0] = 0
     at = np.flatnonzero(cost >= 0)
@@ -79,23 +79,25 @@ def padded_length(n: int, window: int = WINDOW) -> int:
 class _Packer:
     """Packs a partition's documents as they come."""
 
-    def __init__(self, partition: int, sentence: np.ndarray, window: int, sentence_cost: int, run: int, run_cost: int):
+    def __init__(self, partition: int, window: int, sentence_cost: int, run: int, run_cost: int):
         self.sequence = partition << 40
-        self.sentence, self.window, self.costs = sentence, window, (sentence_cost, run, run_cost)
+        self.window, self.costs = window, (sentence_cost, run, run_cost)
         self.ids = np.zeros(0, np.uint32)
         self.owner: list[tuple] = []  # (doc_id, ids of it before, its length) of each document in self.ids
         self.ends = np.zeros(0, np.int64)
+        self.sentences = np.zeros(0, np.int64)
         self.out: list[tuple] = []
 
-    def add(self, doc_ids: list, ids: np.ndarray, ptr: np.ndarray) -> None:
+    def add(self, doc_ids: list, ids: np.ndarray, ptr: np.ndarray, sentences: np.ndarray) -> None:
         self.ends = np.concatenate([self.ends, ptr[1:] + len(self.ids)])
+        self.sentences = np.concatenate([self.sentences, sentences + len(self.ids)])
         self.ids = np.concatenate([self.ids, ids])
         self.owner += [(d, 0, n) for d, n in zip(doc_ids, np.diff(ptr).tolist())]
 
     def pack(self, last: bool) -> None:
         if not len(self.ids):
             return
-        at, cost = cut_points(self.ids, self.ends, self.sentence, self.window, *self.costs)
+        at, cost = cut_points(len(self.ids), self.ends, self.sentences, *self.costs)
         ends = at[best_cuts(at, cost, self.window)].tolist()
         if not last:
             ends.pop()  # opened again in the next block
@@ -119,6 +121,7 @@ class _Packer:
             d, before, whole = rest[0]
             rest[0] = (d, before + lo - first, whole)
         self.owner, self.ends, self.ids = rest, self.ends[doc:] - lo, self.ids[lo:]
+        self.sentences = self.sentences[np.searchsorted(self.sentences, lo, "right") :] - lo
 
     def take(self) -> pa.RecordBatch | None:
         if not self.out:
@@ -128,16 +131,6 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
 
-def sentence_ids(path: str) -> np.ndarray:
-    """True for the ids whose token is punctuation that ends a sentence."""
-    vocab = ChunkEncoder.at(path).tokenizer.get_vocab()
-    out = np.zeros(max(vocab.values()) + 1, bool)
-    for token, k in vocab.items():
-        body = token.removesuffix("</w>")
-        out[k] = bool(body) and token.endswith("</w>") and not any(c.isalnum() for c in body) and any(c in ".!?|" for c in body)
-    return out
-
-
 def pack(docs: DataFrame, path: str = "", window: int = WINDOW, end: int = 1, sentence_cost: int = 16, run: int = 64, run_cost: int = 256, block: int = 1 << 19) -> DataFrame:
     """One row for each piece: a range of a document's ids and its place in a sequence. No shuffle; the order
     is that of the rows within their partitions, and sequence ids are a partition's number and a counter."""
@@ -151,14 +144,15 @@ def pack(docs: DataFrame, path: str = "", window: int = WINDOW, end: int = 1, se
         from pyspark import TaskContext
 
         encoder = ChunkEncoder.at(path)
-        packer = _Packer(TaskContext.get().partitionId(), sentence_ids(path), window, sentence_cost, run, run_cost)
+        packer = _Packer(TaskContext.get().partitionId(), window, sentence_cost, run, run_cost)
         for batch in steps(batches, limit=4 << 20):
-            ids, ptr = encoder.encode_closed(batch.column("text"), end)
+            ids, ptr, sentences = encoder.encode_closed(batch.column("text"), end, marked=True)
             doc_ids = batch.column("doc_id").to_pylist()
             lo = 0
             while lo < len(doc_ids):
                 hi = max(lo + 1, int(np.searchsorted(ptr, ptr[lo] + block, "right")) - 1)
-                packer.add(doc_ids[lo:hi], ids[ptr[lo] : ptr[hi]], ptr[lo : hi + 1] - ptr[lo])
+                own = slice(*np.searchsorted(sentences, [ptr[lo] + 1, ptr[hi]]).tolist())
+                packer.add(doc_ids[lo:hi], ids[ptr[lo] : ptr[hi]], ptr[lo : hi + 1] - ptr[lo], sentences[own] - ptr[lo])
                 packer.pack(last=False)
                 lo = hi
             if (out := packer.take()) is not None:

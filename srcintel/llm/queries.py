@@ -34,7 +34,7 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mjpeg.clips(_table(spark, sf_dir, "documents")).drop("shots")
+    return mjpeg.clips(_table(spark, sf_dir, "documents"))
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
