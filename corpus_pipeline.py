@@ -43,8 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times. Documents without words go."""
-    plain, names = keyed(docs, text="string", source="string")
-    copies = mixing.mix(plain, ids=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    plain, names = keyed(docs)
+    sized = keyed(docs, text="string", source="string")[0].select("_k1", "_k2", "text", "source")
+    copies = mixing.mix(sized, ids=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     # rows equal in all columns have one key and are taken together
     taken = plain.dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"])
     return named(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)
