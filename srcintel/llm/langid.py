@@ -112,8 +112,8 @@ def split(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         script = script[np.maximum.accumulate(np.where(mark, 0, np.arange(len(script))))]
     word = script != _NONE
     begins = word & (opens | np.append(True, script[1:] != script[:-1]))
-    number = np.arange(len(script))
-    since = number - np.maximum.accumulate(np.where(begins, number, 0))
+    letter = np.cumsum(~mark)
+    since = letter - np.maximum.accumulate(np.where(begins, letter, 0))
     begins |= word & ~_SPACED[script] & (since % PIECE == 0) & ~mark
     first = np.flatnonzero(begins)
     # a word ends where the next begins, or what parts words

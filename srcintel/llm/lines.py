@@ -56,6 +56,7 @@ HELD = 50_000  # lines that a task gathers before it sends them on, sorted
 SMALL = 16  # lines of a bucket up to which those without a near one in it are told where the bucket is put together
 _NONE = np.uint32(0xFFFFFFFF)
 _COIN = (mix(np.arange(1, REGISTERS + 1, dtype=U)) & U(1)).astype(bool)
+_RING = np.argsort(mix(np.arange(1000, 1000 + REGISTERS, dtype=U)))  # the registers in an order of their own, so that those of a band aren't neighbours
 
 _SHOWN = np.full(256, 32, np.uint8)
 _SHOWN[48:58] = np.arange(48, 58)
@@ -180,8 +181,8 @@ def grams(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def minima(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Lines x REGISTERS: the least hash of those that fall to each register; an empty register takes that of the next one that has any, to the left or right by
-    its own coin (Shrivastava and Li 2014), so that two lines agree on a register as often as their sets overlap."""
+    """Lines x REGISTERS: the least hash of those that fall to each register; an empty register takes that of the next one that has any, to the left or right on a
+    ring by its own coin (Shrivastava and Li 2014), so that two lines agree on a register as often as their sets overlap."""
     out = np.full(len(n) * REGISTERS, _NONE, np.uint32)
     np.minimum.at(out, np.repeat(np.arange(len(n)) * REGISTERS, n) + (hashes >> U(58)).astype(np.int64), (hashes & U(0xFFFFFFFE)).astype(np.uint32) >> np.uint32(1))
     return _filled(out.reshape(-1, REGISTERS), _NONE)
@@ -191,14 +192,13 @@ def _filled(out: np.ndarray, none) -> np.ndarray:
     empty = out == none
     some = np.flatnonzero(empty.any(1))
     if len(some):
-        at = np.arange(REGISTERS, dtype=np.int16)
-        mine = empty[some]
-        # twice around, so that the ends meet
-        left = np.maximum.accumulate(np.where(np.tile(~mine, 2), np.tile(at, 2) + np.repeat(np.array([0, REGISTERS], np.int16), REGISTERS), -1), axis=1)[:, REGISTERS:] % REGISTERS
-        wide = np.where(np.tile(~mine, 2), np.tile(at, 2) + np.repeat(np.array([0, REGISTERS], np.int16), REGISTERS), 2 * REGISTERS)
-        right = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS] % REGISTERS
-        source = np.where(mine, np.where(_COIN, left, right), at)
-        out[some] = np.take_along_axis(out[some], source.astype(np.intp), axis=1)
+        full = np.tile(~empty[some][:, _RING], 2)  # twice around, so that the ends meet
+        at = np.arange(2 * REGISTERS, dtype=np.int16)
+        left = np.maximum.accumulate(np.where(full, at, -1), axis=1)[:, REGISTERS:]
+        right = np.minimum.accumulate(np.where(full, at, 2 * REGISTERS)[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
+        source = np.empty(left.shape, np.intp)
+        source[:, _RING] = _RING[np.where(empty[some][:, _RING], np.where(_COIN, left, right), at[:REGISTERS]) % REGISTERS]
+        out[some] = np.take_along_axis(out[some], source, axis=1)
     return out
 
 
@@ -379,6 +379,18 @@ def sketches(forms: list[str]) -> list[bytes]:
     return [raw[k * width : (k + 1) * width] for k in range(len(n))]
 
 
+def _foreign(same: np.ndarray) -> np.ndarray:
+    """How many registers lie in runs of FOREIGN or more that don't agree. same: in the order of the line."""
+    u = ~np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0]
+    u &= u >> U(1)
+    u &= u >> U(2)
+    u &= u >> U(4)  # where FOREIGN begin
+    u |= u << U(1)
+    u |= u << U(2)
+    u |= u << U(4)  # all places of such runs
+    return np.bitwise_count(u).astype(np.float32)
+
+
 def promise(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """The share of registers in which sketches agree, row by row; -1 where edit similarity of `least` isn't to be expected: by the lengths, or because a
     large part of either line is foreign to the other (lines of different texts that share a passage)."""
@@ -388,18 +400,26 @@ def promise(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     foreign = np.zeros(len(a))
     for x, n in zip((a, b), size):
         own = np.take_along_axis(same, x[:, REGISTERS : 2 * REGISTERS].astype(np.intp), axis=1)
-        u = ~np.packbits(np.ascontiguousarray(own), axis=1, bitorder="little").view("<u8")[:, 0]
-        u &= u >> U(1)
-        u &= u >> U(2)
-        u &= u >> U(4)  # where FOREIGN begin
-        u |= u << U(1)
-        u |= u << U(2)
-        u |= u << U(4)  # all places of such runs
-        foreign = np.maximum(foreign, np.bitwise_count(u) * n / (REGISTERS * longer))
+        foreign = np.maximum(foreign, _foreign(np.ascontiguousarray(own)) * n / (REGISTERS * longer))
     fits = np.minimum(*size) >= least * longer - 1e-9
     return np.where(fits & (foreign * EDITS <= 1 - least), same.mean(1), -1.0)
 
 
+def promises_of_all(a: np.ndarray, least: float) -> np.ndarray:
+    """promise() of all sketches to one another."""
+    n = len(a)
+    size = np.ascontiguousarray(a[:, 2 * REGISTERS :]).view("<u4")[:, 0].astype(np.float32)
+    register, order = np.ascontiguousarray(a[:, :REGISTERS]), a[:, REGISTERS : 2 * REGISTERS].astype(np.intp)
+    agree, foreign = np.empty((n, n), np.float32), np.empty((n, n), np.float32)
+    for i in range(n):
+        same = register == register[i]
+        agree[i] = np.bitwise_count(np.packbits(same, axis=1).view("<u8")[:, 0])
+        foreign[i] = _foreign(np.take(same, order[i], axis=1)) * size[i]
+    longer = np.maximum(size, size[:, None])
+    fits = (np.minimum(size, size[:, None]) >= least * longer - 1e-6) & (np.maximum(foreign, foreign.T) * (EDITS / REGISTERS) <= (1 - least) * longer)
+    return np.where(fits, agree / REGISTERS, -1.0)
+
+
 def contents(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
     """(key, form, signature) of the lines with these keys, from another pass over the texts that a mapped set of keys filters. signature: the sketch."""
     folder = keyset.write(keys)
@@ -600,7 +620,7 @@ def _links(least: float):
         enter("lines")
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         texts = rows.column("form").to_pylist()
-        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
+        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least), lambda lo, hi: promises_of_all(signature[lo:hi], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
 
     return found
 

@@ -243,7 +243,7 @@ class _Cell:
             def root(x: int) -> int:
                 x = find(x)
                 while (p := parent.get(x, x)) != x:
-                    x = p
+                    parent[x] = x = parent.get(p, p)
                 return x
 
             left: list[int] = []
@@ -264,10 +264,10 @@ class _Cell:
         return out
 
 
-def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarray], enough: float, similar: Similar, parts: list | None = None) -> Iterator[tuple[int, int]]:
+def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarray], square: Callable[[int, int], np.ndarray], enough: float, similar: Similar, parts: list | None = None) -> Iterator[tuple[int, int]]:
     """Links of spanning forests of the exact graphs of the cells cuts[k]:cuts[k + 1]: pairs that promise `enough` are tried, the
     likeliest first, unless they're connected already; those of all cells that come next are tried together. like(i, j): the promises of
-    the pairs of rows i and j (arrays). parts: rows of a cell with equal values are connected from the start."""
+    the pairs of rows i and j (arrays); square(lo, hi): those of all rows of a cell to one another. parts: rows of a cell with equal values are connected from the start."""
     n = cuts[-1]
     parent = list(range(n))
 
@@ -288,22 +288,19 @@ def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarra
     few = size <= FEW
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        apart = known[i] != known[j]
-        i, j = i[apart], j[apart]
-        value = like(i, j) if len(i) else np.zeros(0)
-        hit = value >= enough
-        found.append((i[hit], j[hit], value[hit]))
-
     for d in range(1, min(FEW, n)):
         i = np.flatnonzero((cell[:-d] == cell[d:]) & few[cell[:-d]])
         if not len(i):
             break
-        add(i, i + d)
+        i = i[known[i] != known[i + d]]
+        value = like(i, i + d)
+        hit = value >= enough
+        found.append((i[hit], i[hit] + d, value[hit]))
     for k in np.flatnonzero(~few).tolist():
-        for i in range(cuts[k], cuts[k + 1] - 1):
-            j = np.arange(i + 1, cuts[k + 1])
-            add(np.full(len(j), i), j)
+        lo, hi = cuts[k], cuts[k + 1]
+        value = square(lo, hi)
+        i, j = np.nonzero(np.triu(value >= enough, 1) & (known[lo:hi, None] != known[lo:hi]))
+        found.append((i + lo, j + lo, value[i, j]))
     if not found:
         return
     a, b, value = (np.concatenate(x) for x in zip(*found))

@@ -150,7 +150,11 @@ def _links(width: int, least: float, enough: float):
             # J_P is at most the overlap of the two distributions
             return bool(np.minimum(x[both], y[at[both]]).sum() >= least) and similarity((a, x), (b, y)) >= least
 
-        return spanning(cuts, lambda i, j: (signature[i] == signature[j]).mean(1), enough, lambda pairs: [similar(i, j) for i, j in pairs], parts)
+        def square(lo: int, hi: int) -> np.ndarray:
+            own = signature[lo:hi]
+            return np.stack([(own == one).mean(1, dtype=np.float32) for one in own])
+
+        return spanning(cuts, lambda i, j: (signature[i] == signature[j]).mean(1), square, enough, lambda pairs: [similar(i, j) for i, j in pairs], parts)
 
     return links
 

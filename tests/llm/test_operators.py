@@ -112,7 +112,7 @@ def test_large_components_are_compared_across(spark):
     def verified(cell, cuts, parts):
         kind, key = cell.column("kind").to_pylist(), cell.column("key").to_pylist()
         similar = lambda pairs: [kind[i] == kind[j] and abs(key[i] - key[j]) < 40 or {key[i], key[j]} == {59, 4} for i, j in pairs]
-        return links.spanning(cuts, lambda i, j: np.ones(len(i)), 0.5, similar, parts)
+        return links.spanning(cuts, lambda i, j: np.ones(len(i)), lambda lo, hi: np.ones((hi - lo, hi - lo)), 0.5, similar, parts)
 
     from pyspark.sql import functions as F
 

@@ -381,7 +381,7 @@ def test_words_against_characters(texts):
             if code == langid._MARK and now:
                 now += c
                 continue
-            full = kind in map(langid.SCRIPTS.index, langid.UNSPACED) and len(now) == langid.PIECE
+            full = kind in map(langid.SCRIPTS.index, langid.UNSPACED) and sum(langid._SCRIPT[ord(x)] != langid._MARK for x in now) == langid.PIECE
             if code >= langid._MARK or code != kind or full:
                 want += [now] * bool(now)
                 now, kind = ("", None) if code >= langid._MARK else (c, code)
@@ -444,6 +444,8 @@ def test_promises_leave_out_lines_that_only_share_a_passage():
         edited += [" ".join(line), " ".join(other)]
     s = np.frombuffer(b"".join(lines.sketches(shared + edited)), np.uint8).reshape(len(shared) + len(edited), -1)
     assert sum(int((lines.promise(np.broadcast_to(s[i], s[i + 1 : 30].shape), s[i + 1 : 30], 0.8) >= lines.PROMISE).sum()) for i in range(29)) < 0.05 * 435
+    square = lines.promises_of_all(s, 0.8)
+    assert all(np.allclose(square[i], lines.promise(np.broadcast_to(s[i], s.shape), s, 0.8)) for i in range(len(s)))
     assert sum(lines.promise(s[k : k + 1], s[k + 1 : k + 2], 0.8)[0] >= lines.PROMISE for k in range(30, 90, 2)) >= 29
 
 
@@ -469,7 +471,7 @@ def test_spanning_forests_are_those_of_the_whole_graph(sizes, rnd):
         tried.extend(pairs)
         return [p in true for p in pairs]
 
-    got = list(links.spanning(cuts, lambda i, j: np.array([rnd.random() for _ in i]), 0.0, similar))
+    got = list(links.spanning(cuts, lambda i, j: np.array([rnd.random() for _ in i]), lambda lo, hi: np.array([[rnd.random() for _ in range(lo, hi)] for _ in range(lo, hi)]), 0.0, similar))
     assert partition(n, got) == partition(n, true) and set(got) <= true and len(tried) == len(set(tried))
     assert len(got) == n - len(partition(n, true))
 
