@@ -52,7 +52,7 @@ PROMISE = 0.4  # share of the registers in which two lines agree, to be compared
 FOREIGN, EDITS = 8, 0.64
 LOG_STEPS = 12  # of length, for each doubling
 CHUNK = 512 << 10  # bytes of text whose lines are hashed at once, so that the arrays stay in the caches
-HELD = 50_000  # lines that a task gathers before it sends them on, sorted
+HELD = 12_000  # lines that a task gathers before it sends them on, sorted
 SMALL = 16  # lines of a bucket up to which those without a near one in it are told where the bucket is put together
 _NONE = np.uint32(0xFFFFFFFF)
 _COIN = (mix(np.arange(1, REGISTERS + 1, dtype=U)) & U(1)).astype(bool)
