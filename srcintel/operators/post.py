@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcintel.functions.names import glob_regex
 from srcintel.operators.facts import Facts
 from srcintel.operators.health import lines
+from srcintel.storage import stash
 
 CODES = {"B006": "mutable-default", "BLE001": "broad-except", "E722": "broad-except", "S110": "broad-except", "S112": "broad-except", "E711": "sentinel-equality", "E712": "sentinel-equality", "T201": "stray-print", "T203": "stray-print", "F401": "unused-import"}
 LEVELS = {"error": "unused-file low-maintainability circular-dependency parse-error money-as-float mutable-default raise-from-none", "warning": "unused-import unused-dep duplicate complexity hotspot broad-except unreachable-after-exit"}
@@ -188,7 +189,7 @@ def ownership(issues: DataFrame, rules: list[tuple[str, list[str]]] | None) -> D
 def in_scope(issues: DataFrame, changed: DataFrame) -> DataFrame:
     """Issues of changed files; those of several files, where one of them changed. changed: path."""
     files = F.when(F.col("rule") == "duplicate", F.col("occurrences.path")).when(F.col("rule") == "circular-dependency", F.col("cycle")).otherwise(F.array("path"))
-    keyed = issues.withColumn("_id", F.xxhash64(fingerprint(), F.col("line"), F.col("detail")))
+    keyed = stash(issues.withColumn("_id", F.xxhash64(fingerprint(), F.col("line"), F.col("detail"))), "issues")  # the analyses run once
     hit = keyed.select("_id", F.explode(files).alias("path")).join(changed.select("path").distinct(), "path", "left_semi").select("_id").distinct()
     return keyed.join(hit, "_id", "left_semi").drop("_id")
 

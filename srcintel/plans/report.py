@@ -16,6 +16,8 @@ _FIELDS = {
     "low-maintainability": "path mi_score avg_cyclomatic loc", "hotspot": "path cyclomatic churn hotspot_score", "circular-dependency": "cycle", "refactor-target": "path line function cyclomatic cognitive effort",
     "feature-flag": "path line flag provider", "parse-error": "path message", **dict.fromkeys(SMELLS, "path line rule detail"),
 }
+#: Where the rules are explained, relative to this project.
+HELP = "README.md"
 _RENAMED = {"mi_score": "score", "hotspot_score": "score"}
 
 
@@ -36,26 +38,30 @@ def as_json(issues: DataFrame, stats: dict) -> str:
 
 def as_sarif(issues: DataFrame, name: str = "srcintel", version: str = "0.1.0") -> str:
     shaped = ordered(sarif_rows(issues))
-    places = F.when(F.col("rule") == "duplicate", F.transform("occurrences", lambda o: F.struct(o["path"].alias("path"), o["start_line"].alias("line"))))
-    places = places.when(F.col("rule") == "circular-dependency", F.transform("cycle", lambda p: F.struct(p.alias("path"), F.lit(None).cast("int").alias("line"))))
-    places = places.otherwise(F.array(F.struct(F.col("path").alias("path"), F.col("line").alias("line"))))
+    none = F.lit(None).cast("int")
+    places = F.when(F.col("rule") == "duplicate", F.transform("occurrences", lambda o: F.struct(o["path"].alias("path"), o["start_line"].alias("line"), o["end_line"].alias("end"))))
+    places = places.when(F.col("rule") == "circular-dependency", F.transform("cycle", lambda p: F.struct(p.alias("path"), none.alias("line"), none.alias("end"))))
+    places = places.otherwise(F.array(F.struct(F.col("path").alias("path"), F.col("line").alias("line"), none.alias("end"))))
     rows = shaped.select("rule", "rule_index", "level", "text", places.alias("places")).collect()
 
     def location(p) -> dict:
         physical: dict = {"artifactLocation": {"uri": p["path"]}}
         if p["line"] is not None:
-            physical["region"] = {"startLine": p["line"]}
+            physical["region"] = {"startLine": p["line"], **({"endLine": p["end"]} if p["end"] is not None else {})}
         return {"physicalLocation": physical}
 
-    rules = sorted({r["rule"] for r in rows})
-    catalogue = [{"id": r, "name": "".join(w.capitalize() for w in r.split("-")), "shortDescription": {"text": DESCRIPTIONS.get(r, r)}} for r in rules]
+    rules = dict(sorted({(r["rule"], r["level"]) for r in rows}))
+    catalogue = [
+        {"id": r, "name": "".join(w.capitalize() for w in r.split("-")), "shortDescription": {"text": DESCRIPTIONS.get(r, r)}, "helpUri": f"{HELP}#rule-{r}", "defaultConfiguration": {"level": lv}}
+        for r, lv in rules.items()
+    ]
     results = []
     for r in rows:
         one = {"ruleId": r["rule"], "ruleIndex": r["rule_index"], "level": r["level"], "message": {"text": r["text"]}, "locations": [location(p) for p in r["places"][:1]]}
         if len(r["places"]) > 1:
             one["relatedLocations"] = [location(p) for p in r["places"][1:]]
         results.append(one)
-    run = {"tool": {"driver": {"name": name, "version": version, "rules": catalogue}}, "results": results}
+    run = {"tool": {"driver": {"name": name, "version": version, "informationUri": HELP, "rules": catalogue}}, "results": results}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
 
 

@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcintel.functions.names import is_pytest_entry
+from srcintel.functions.names import is_pytest_entry, is_test_adjacent
 from srcintel.operators import clones, deadcode, graph, health, plugins, post, smells
 from srcintel.operators.facts import Facts, spread
 from srcintel.plans import report
 from srcintel.sources import corpus
 from srcintel.sources.corpus import table
+from srcintel.storage import place, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +104,7 @@ def import_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 _GRAPH = """
 n AS (SELECT count(*) AS n FROM part),
-lines AS (SELECT l_suppkey, l_partkey, max(l_linestatus = 'F') AS real FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2),
+lines AS (SELECT l_suppkey, l_partkey, max(l_linestatus = 'F') AS real FROM lineitem GROUP BY 1, 2 HAVING max(l_quantity) >= 49),
 edge AS (SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b FROM supplier
   UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lines {real}
   UNION ALL SELECT 'p' || p_partkey, 'p' || ((p_partkey * 7 + 1) % n) FROM part, n WHERE p_size > 40 AND p_partkey <> (p_partkey * 7 + 1) % n),
@@ -158,15 +159,16 @@ def relative_imports(spark: SparkSession, sf: str) -> DataFrame:
 
 _CYCLES = """
 n AS (SELECT count(*) AS n FROM part),
-edge AS (SELECT p_partkey AS a, (p_partkey * 7 + 1) % n AS b FROM part, n WHERE p_size <= 25 AND p_partkey <> (p_partkey * 7 + 1) % n),
+edge AS (SELECT p_partkey AS a, CASE WHEN p_size <= 25 THEN (p_partkey * 7 + 1) % n ELSE p_partkey // 2 END AS b FROM part, n),
 walk AS (SELECT a AS s, b AS x FROM edge UNION SELECT s, b FROM walk JOIN edge ON x = a),
-cyc AS (SELECT w.s AS node, min(w.x) AS root FROM walk w WHERE w.s IN (SELECT s FROM walk WHERE s = x) GROUP BY 1)
+cyc AS (SELECT w.s AS node, min(w.x) AS root FROM walk w JOIN walk back ON back.s = w.x AND back.x = w.s GROUP BY 1 HAVING count(DISTINCT w.x) > 1)
 """
 
 
 def _part_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part has an edge: a small one to 7 k + 1 (modulo the number of parts), a large one to k / 2."""
     p = table(spark, sf, "part")
-    return p.where("p_size <= 25").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 1) % p.count()).alias("dst"))
+    return p.select(F.col("p_partkey").alias("src"), F.when(F.col("p_size") <= 25, (F.col("p_partkey") * 7 + 1) % p.count()).otherwise(F.expr("p_partkey div 2")).alias("dst"))
 
 
 @query(f"WITH RECURSIVE {_CYCLES} SELECT node, root FROM cyc")
@@ -328,6 +330,186 @@ def inventory_sources(spark: SparkSession, sf: str) -> DataFrame:
     return deadcode.inventory(a)
 
 
+# --- whole analyses ------------------------------------------------------------------------------------------
+
+_MIXED = """
+n AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS m, n_nationkey % 2 = 0 AS entry FROM nation),
+s AS (SELECT s_suppkey AS k, 's' || s_suppkey AS m, s_nationkey AS n, s_acctbal > 0 AS linked, s_suppkey % 7 = 0 AS broken FROM supplier),
+bound AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY k) AS line FROM s WHERE linked),
+loops AS (SELECT n, list_sort(list('s' || k || '.py')) AS members FROM s WHERE linked AND k % 10 = 0 AND NOT broken GROUP BY n),
+cycles AS (SELECT n, list_sort(list_append(members, 'n' || n || '.py')) AS cycle FROM loops),
+live AS (SELECT s.* FROM s JOIN n ON s.n = n.k WHERE entry AND linked AND NOT broken)
+"""
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[Facts, deadcode.Project]:
+    """Nations import their solvent suppliers and use the even ones; suppliers import a distribution each, every tenth its nation, too; every
+    seventh is broken. Even nations are configured entry points; the root declares all distributions."""
+    sup = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    k, m = F.col("s_suppkey"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    linked = sup.where("s_acctbal > 0")
+    lines = linked.select("s_nationkey", k.alias("ord"), F.concat(F.lit("import "), m, F.lit("\n")).alias("text"))
+    uses = linked.where("s_suppkey % 2 = 0").select("s_nationkey", (k + (1 << 40)).alias("ord"), F.concat(m, F.lit(".run()\n")).alias("text"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey")).join(corpus.import_lines(lines.union(uses), "s_nationkey"), "s_nationkey", "left")
+    nations = nations.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("path"), F.coalesce("source", F.lit("x = 1\n")).alias("source"))
+    own = F.concat(F.lit("import sup_"), k.cast("string"), F.lit("\nsup_"), k.cast("string"), F.lit(".go()\n"))
+    nation = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    back = F.when(k % 10 == 0, F.concat(F.lit("import "), nation, F.lit("\n"), nation, F.lit(".x\n"))).otherwise("")
+    suppliers = sup.select(F.concat(m, F.lit(".py")).alias("path"), F.when(k % 7 == 0, "def\n").otherwise(F.concat(own, back)).alias("source"))
+    declared = sup.select(F.lit(".").alias("owner_path"), F.concat(F.lit("sup-"), k.cast("string")).alias("name"), F.lit("project.dependencies").alias("source"))
+    entry = [f"n{r[0]}.py" for r in table(spark, sf, "nation").where("n_nationkey % 2 = 0").select("n_nationkey").collect()]  # 13 rows
+    return Facts(nations.union(suppliers), keep=False), deadcode.Project(entry_points=entry, dependencies=declared)
+
+
+_CHECK = f"""WITH {_MIXED}, found AS (
+SELECT 'parse-error' AS rule, m || '.py' AS path, NULL AS line, NULL AS name FROM s WHERE broken
+UNION ALL SELECT 'unused-file', m || '.py', NULL, NULL FROM n WHERE NOT entry
+UNION ALL SELECT 'unused-file', m || '.py', NULL, NULL FROM s WHERE NOT broken AND k NOT IN (SELECT k FROM live)
+UNION ALL SELECT 'unused-import', n.m || '.py', line, bound.m FROM bound JOIN n ON bound.n = n.k WHERE entry AND bound.k % 2 = 1
+UNION ALL SELECT 'circular-dependency', cycle[1], NULL, array_to_string(cycle, '|') FROM cycles
+UNION ALL SELECT 'unused-dep', 'pyproject.toml', NULL, 'sup-' || k FROM s WHERE k NOT IN (SELECT k FROM live))
+"""
+
+
+def _shown(issues: DataFrame) -> DataFrame:
+    return issues.select("rule", "path", F.col("line").cast("long").alias("line"), F.coalesce("name", F.array_join("cycle", "|")).alias("name"))
+
+
+@query(_CHECK + "SELECT * FROM found")
+def check_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole dead-code query: parse errors, files, imports, dependencies, cycles, with configured entries."""
+    f, project = _mixed(spark, sf)
+    return _shown(deadcode.analyse(f.corpus, project, Facts(f.corpus, parts=deadcode.CHECKED)).issues)
+
+
+@query(_CHECK + "SELECT rule, path, line, name FROM found WHERE rule = 'circular-dependency'")
+def check_circular(spark: SparkSession, sf: str) -> DataFrame:
+    f, project = _mixed(spark, sf)
+    return _shown(deadcode.circular(f, project.roots))
+
+
+@query(f"WITH {_MIXED} SELECT CASE WHEN len(cycle) > 4 THEN cycle[1] || ' → ' || cycle[2] || ' → … (' || len(cycle) || ' total) → ' || cycle[-1] ELSE array_to_string(cycle, ' → ') END AS text FROM cycles")
+def cycle_texts(spark: SparkSession, sf: str) -> DataFrame:
+    f, project = _mixed(spark, sf)
+    return deadcode.circular(f, project.roots).select(post.cycle_text(F.col("cycle")).alias("text"))
+
+
+@query(_CHECK + """, kept AS (SELECT *, CASE rule WHEN 'unused-import' THEN rule || ':' || path || ':' || line || ':' || name WHEN 'unused-dep' THEN rule || ':' || name || ':project.dependencies' WHEN 'circular-dependency' THEN rule || ':' || name ELSE rule || ':' || path END AS fingerprint FROM found WHERE NOT (rule = 'unused-import' AND line % 3 = 0))
+SELECT rule, path, line, name FROM kept WHERE crc32(fingerprint) % 2 = 0""".replace("crc32(fingerprint) % 2 = 0", "ascii(md5(fingerprint)) % 2 = 0"))
+def post_order(spark: SparkSession, sf: str) -> DataFrame:
+    """noqa first (here on every third line of the nations), then the baseline (issues whose fingerprint's digest begins with an odd character)."""
+    f, project = _mixed(spark, sf)
+    found = stash(deadcode.analyse(f.corpus, project, Facts(f.corpus, parts=deadcode.CHECKED)).issues, "issues")
+    noqa = found.where("rule = 'unused-import' and line % 3 = 0").select("path", "line", F.lit("unused-import").alias("rule")).distinct()
+    known = post.baseline(found).where(F.ascii(F.md5("fingerprint")) % 2 == 1)
+    return _shown(post.without_baseline(post.suppress(found, noqa), known))
+
+
+@query(_CHECK + """, late AS (SELECT 's' || s_suppkey || '.py' AS path FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'n' || n_nationkey || '.py' FROM nation WHERE n_nationkey % 4 = 0)
+SELECT rule, path, line, name FROM found WHERE CASE WHEN rule = 'circular-dependency' THEN list_has_any(string_split(name, '|'), (SELECT list(path) FROM late)) ELSE path IN (SELECT path FROM late) END
+UNION ALL SELECT 'single-method-class', path, 1, NULL FROM late WHERE starts_with(path, 's') AND substr(path, 2, len(path) - 4)::INT % 7 <> 0""")
+def audit_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """check, dupes, health and smells together, of what changed: every third supplier and every fourth nation. Suppliers get a class that could be a function."""
+    f, project = _mixed(spark, sf)
+    smelly = F.when(F.col("path").startswith("s") & ~F.col("source").startswith("def"), F.concat(F.lit("class A:\n    def run(self):\n        return self\n"), "source")).otherwise(F.col("source"))
+    f = Facts(f.corpus.select("path", smelly.alias("source")))
+    found = deadcode.wide(deadcode.analyse(f.corpus, project, f).issues).unionByName(deadcode.wide(clones.detect(f))).unionByName(deadcode.wide(health.issues(f))).unionByName(deadcode.wide(smells.issues(f)))
+    number = F.regexp_extract("path", r"^.(\d+)\.py$", 1).cast("long")
+    changed = f.corpus.where((F.col("path").startswith("s") & (number % 3 == 0)) | (F.col("path").startswith("n") & (number % 4 == 0))).select("path")
+    return _shown(post.in_scope(found, changed))
+
+
+@query(f"""WITH {_PLACES}, folders AS (SELECT DISTINCT r FROM places)
+SELECT d || '/s' || s_suppkey || '.py' AS path, 'pyproject' AS source_kind, 'pyproject:scripts' AS label FROM places WHERE s_suppkey % 4 = 0
+UNION ALL SELECT r || '/__init__.py', 'library', 'library:' || upper(r) FROM folders
+UNION ALL SELECT d || '/s' || s_suppkey || '.py', 'config', 'config' FROM places WHERE s_suppkey <= 3
+UNION ALL SELECT d || '/s' || s_suppkey || '.py', 'module-getattr', 'module __getattr__' FROM places WHERE s_suppkey % 9 = 0""")
+def static_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry points that aren't a plugin's: scripts of pyproject files, names of libraries (R0 is the package r0), configured files, modules with __getattr__."""
+    number = F.regexp_extract("path", r"/s(\d+)\.py$", 1).try_cast("long")
+    lazy = number % 9 == 0
+    c = corpus.package_modules(spark, sf)
+    f = Facts(c.select("path", F.when(lazy, F.concat("source", F.lit("def __getattr__(n): ...\n"))).otherwise(F.col("source")).alias("source")), keep=False)
+    mods = graph.modules(f, ["."])
+    place = F.regexp_extract("path", r"^(.*)/s(\d+)\.py$", 1)
+    scripts = c.where(number % 4 == 0).select(F.concat(F.replace(place, F.lit("/"), F.lit(".")), F.lit(".s"), F.regexp_extract("path", r"/s(\d+)\.py$", 1)).alias("module"), F.lit("scripts").alias("group"))
+    configured = [r["path"] for r in c.where(number <= 3).select("path").collect()]  # 3 rows
+    names = [f"R{r[0]}" for r in table(spark, sf, "region").select("r_regionkey").collect()]  # 5 rows
+    found = deadcode.static_entries(f, mods, deadcode.Project(entry_points=configured, scripts=scripts, names=names))
+    used = [r["s_nationkey"] for r in table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("s_nationkey")).distinct().collect()]  # 5 rows
+    return found.where(F.col("source_kind").isin("pyproject", "config", "module-getattr") | F.col("label").isin([f"library:R{k}" for k in used]))
+
+
+_DISTRIBUTIONS = [("PyYAML", "yaml", True), ("Pillow", "PIL", True), ("python-dateutil", "dateutil", True), ("my-lib", "my_lib", True), ("Flask", "flask", True), ("types-x", "x", False), ("uvicorn", "uvicorn", False), ("a-stubs", "a", False), ("requests", "requests", True), ("scikit-learn", "sklearn", True)]
+
+
+@query(f"""WITH d AS (SELECT unnest([{', '.join(repr(n) for n, _, _ in _DISTRIBUTIONS)}]) AS name, unnest(range({len(_DISTRIBUTIONS)})) AS k, unnest([{', '.join(str(w).lower() for _, _, w in _DISTRIBUTIONS)}]) AS counts)
+SELECT CASE WHEN n_nationkey = 0 THEN 'pyproject.toml' ELSE 'n' || n_nationkey || '/pyproject.toml' END AS path, name FROM nation, d
+WHERE counts AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 10 = k AND c_custkey % 3 = 0)""")
+def dependency_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every nation declares the same distributions, whose import names differ from their own or which are never reported; a customer imports one, two of
+    three for type checkers only. Nation 0 is the root."""
+    place = F.when(F.col("c_nationkey") == 0, "").otherwise(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/")))
+    module = F.element_at(F.array(*[F.lit(m) for _, m, _ in _DISTRIBUTIONS]), (F.col("c_custkey") % 10 + 1).cast("int"))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("import "), module, F.lit(".sub\n"))).otherwise(F.concat(F.lit("if TYPE_CHECKING:\n    import "), module, F.lit("\n")))
+    c = table(spark, sf, "customer").select(F.concat(place, F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), text.alias("source"))
+    owner = F.when(F.col("n_nationkey") == 0, ".").otherwise(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    declared = table(spark, sf, "nation").select(owner.alias("owner_path"), F.explode(F.array(*[F.lit(n) for n, _, _ in _DISTRIBUTIONS])).alias("name"), F.lit("project.dependencies").alias("source"))
+    return deadcode.unused_dependencies(Facts(c, keep=False), c.select("path"), declared).select("path", "name")
+
+
+@query("""WITH m AS (SELECT n_nationkey AS n FROM nation WHERE n_nationkey % 12 <> 0)
+SELECT 'pyproject.toml' AS path, 'sup-' || s_suppkey AS name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer, (SELECT count(*) AS n FROM supplier) t WHERE c_custkey % t.n = s_suppkey AND c_nationkey NOT IN (SELECT n FROM m))""")
+def deps_of_silent_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The root declares all suppliers; all nations but three are members that declare only what is never reported. What their customers import isn't the root's."""
+    n = table(spark, sf, "supplier").count()
+    c = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import sup_"), (F.col("c_custkey") % n).cast("string"), F.lit("\n")).alias("source"))
+    root = table(spark, sf, "supplier").select(F.lit(".").alias("owner_path"), F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("project.dependencies").alias("source"))
+    members = table(spark, sf, "nation").where("n_nationkey % 12 <> 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("owner_path"), F.lit("uvicorn").alias("name"), F.lit("project.dependencies").alias("source"))
+    return deadcode.unused_dependencies(Facts(c, keep=False), c.select("path"), root.union(members)).select("path", "name")
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS k, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*[^\\s#]'))) AS loc FROM documents),
+v AS (SELECT doc_id, loc, greatest(1.0, len(k) * log2(greatest(list_unique(k), 1))) AS v FROM w),
+m AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'tests/' ELSE '' END || 'd' || doc_id || '.py' AS path, loc, CASE WHEN loc > 0 THEN round(greatest(0.0, least(100.0, (171 - 5.2 * ln(v) - 0.23 - 16.2 * ln(loc)) * 100 / 171)))::BIGINT END AS mi FROM v)
+SELECT path, mi AS mi_score, loc::BIGINT AS loc FROM m WHERE loc >= 3 AND mi < 55 AND NOT starts_with(path, 'tests/')""")
+def low_maintainability(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files, a fifth of them tests."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.struct(F.lit("name").alias("kind"), w.alias("text")))
+    path = F.concat(F.when(F.col("doc_id") % 5 == 0, "tests/").otherwise(""), F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    rows = table(spark, sf, "documents").select(path.alias("path"), health.loc(F.col("text")).alias("loc"), health.volume(words).alias("v"))
+    files = rows.select("path", "loc", health.maintainability(F.col("v"), F.lit(1.0), F.col("loc")).alias("mi"), F.lit(1.0).alias("avg_cyclomatic"))
+    return _long(health.low_maintainability(files, 55, 3).select("path", "mi_score", "loc"), "mi_score", "loc")
+
+
+@query("""WITH p AS (SELECT page_id, split_part(url, '?', 1) || CASE page_id % 7 WHEN 0 THEN '/tests/a.py' WHEN 1 THEN '/testing/a.py' WHEN 2 THEN '/test_a.py' WHEN 3 THEN '/attests/a.py' WHEN 4 THEN '/tests/a.txt' WHEN 5 THEN '/conftest.py' ELSE '/test/b/c.py' END AS path FROM pages)
+SELECT page_id, page_id % 7 IN (0, 1, 2, 5, 6) OR (page_id % 7 = 3 AND regexp_matches(path, '(^|/)(tests|test|testing)/')) AS hit FROM p""")
+def test_adjacent_paths(spark: SparkSession, sf: str) -> DataFrame:
+    tail = F.element_at(F.array(*map(F.lit, ["/tests/a.py", "/testing/a.py", "/test_a.py", "/attests/a.py", "/tests/a.txt", "/conftest.py", "/test/b/c.py"])), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", is_test_adjacent(F.concat(F.substring_index("url", "?", 1), tail)).alias("hit"))
+
+
+_TWINS = "a.s_suppkey < b.s_suppkey AND a.s_suppkey % 10 = b.s_suppkey % 10 AND {same} AND a.s_suppkey % 5 <> 0 AND b.s_suppkey % 5 <> 0"
+
+
+def _mode_query(mode: str, same: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Modules whose structure depends on the key modulo 10, numbers on the key modulo 3 and names on its parity; every fifth is a test and left out."""
+        k = F.col("s_suppkey")
+        body = "array_join(transform(sequence(0, 5), i -> 'v' || (s_suppkey % 2) || ' = f' || (s_suppkey % 10) || '(' || i || ', ' || (s_suppkey % 3) || ', a, b)\\n'), '')"
+        path = F.concat(F.when(k % 5 == 0, "tests/").otherwise(""), F.format_string("s%09d.py", k))
+        c = table(spark, sf, "supplier").select(path.alias("path"), F.expr(body).alias("source"))
+        name = lambda s: F.regexp_extract(f"path_{s}", r"s0*(\d+)\.py$", 1).cast("long").alias(f"path_{s}")
+        return clones.pairs(clones.sequences(Facts(c, keep=False), mode), 40, 4).select(name("a"), name("b"))
+
+    run.__name__ = f"clones_{mode}"
+    query(f"SELECT a.s_suppkey AS path_a, b.s_suppkey AS path_b FROM supplier a JOIN supplier b ON {_TWINS.format(same=same)}")(run)
+
+
+for _mode, _same in (("strict", "a.s_suppkey % 6 = b.s_suppkey % 6"), ("mild", "a.s_suppkey % 6 = b.s_suppkey % 6"), ("weak", "a.s_suppkey % 2 = b.s_suppkey % 2")):
+    _mode_query(_mode, _same)
+
+
 # --- after the analyses -------------------------------------------------------------------------------------
 
 _NOQA = ["", "  # noqa", "  # noqa: F401", "  # noqa: T201", "  # noqa: XYZ1"]
@@ -395,13 +577,13 @@ def ownership_last_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_CYCLES}, late AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')
 SELECT min('p' || node || '.py') AS path, 'circular-dependency' AS rule FROM cyc GROUP BY root HAVING max(node IN (SELECT k FROM late))
-UNION ALL SELECT 'p' || p_partkey || '.py', 'unused-file' FROM part WHERE p_size = 50 AND p_partkey IN (SELECT k FROM late)""")
+UNION ALL SELECT 'p' || p_partkey || '.py', 'unused-file' FROM part WHERE p_partkey IN (SELECT k FROM late)""")
 def audit_scope(spark: SparkSession, sf: str) -> DataFrame:
     """Cycles of parts and single-file issues, of which those with a part that was shipped late are in scope."""
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"), F.lit(".py"))
     e = _part_edges(spark, sf).select(name("src").alias("src"), name("dst").alias("dst"))
     cycles = graph.cycles(e).select(F.lit("circular-dependency").alias("rule"), F.element_at("cycle", 1).alias("path"), "cycle")
-    single = table(spark, sf, "part").where("p_size = 50").select(F.lit("unused-file").alias("rule"), name("p_partkey").alias("path"))
+    single = table(spark, sf, "part").select(F.lit("unused-file").alias("rule"), name("p_partkey").alias("path"))
     late = table(spark, sf, "lineitem").where("l_shipdate >= timestamp '1998-06-01'").select(name("l_partkey").alias("path"))
     return post.in_scope(deadcode.wide(cycles).unionByName(deadcode.wide(single)), late).select("path", "rule")
 
@@ -444,20 +626,41 @@ def test_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def watch_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream of changes that is analysed batch by batch: each batch adds its counts to a table in the shared folder."""
-    import tempfile
-    import uuid
-
+    """Events as a stream that is summed up batch by batch, each batch in a folder of its own."""
     from srcintel.streaming import watch
 
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="srcintel-watch-")
-    out = f"{at}/watch-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parque[t]")
-    watch.rerun(stream, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("append").parquet(out), once=True).awaitTermination()
+    out = place(spark, "watch")
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parque[t]")
+    watch.keep(stream, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), out, once=True).awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
+@query("""WITH used AS (SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_nationkey % 2 = 0)
+SELECT 'n' || n_nationkey || '.py' AS path, 'unused-file' AS rule FROM nation WHERE n_nationkey % 2 = 1
+UNION ALL SELECT 'r' || r_regionkey || '.py', 'unused-file' FROM region WHERE r_regionkey NOT IN (SELECT k FROM used)""")
+def watch_project(spark: SparkSession, sf: str) -> DataFrame:
+    """A project on disk (a module for each nation, which imports its region's; even nations are entry points), watched through the source: its files
+    come as changes, and the dead-code query runs again."""
+    import json
+    from pathlib import Path
+
+    from srcintel.plans.commands import Workspace
+    from srcintel.sources import config
+    from srcintel.streaming import watch
+
+    at, out = place(spark, "project"), place(spark, "watched")
+    root = Path("/" + at[5:].lstrip("/") if at.startswith("file:") else at)
+    root.mkdir(parents=True)
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 rows
+    for n, r in nations:
+        (root / f"n{n}.py").write_text(f"import r{r}\nr{r}.x\n")
+    for r in table(spark, sf, "region").select("r_regionkey").collect():  # 5 rows
+        (root / f"r{r[0]}.py").write_text("x = 1\n")
+    (root / config.CONFIG_FILE).write_text("packageRoots = [\".\"]\nentryPoints = " + json.dumps([f"n{n}.py" for n, _ in nations if n % 2 == 0]) + "\n")
+    watch.keep(watch.changes(spark, str(root), config.IGNORED), lambda _: Workspace(spark, root).check().select("path", "rule"), out, once=True).awaitTermination()
+    return spark.read.parquet(out).select("path", "rule")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The dead-code query over the modules of the supply graph."""
     f = Facts(corpus.supply_modules(spark, sf))

@@ -69,14 +69,15 @@ def unused_import_modules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def supply_modules(spark: SparkSession, sf: str, hints: bool = False) -> DataFrame:
-    """Nations import their suppliers, suppliers the parts of large lines, large parts the part 7 k + 1 (modulo the number of parts).
-    hints: a supplier imports the parts of which all such lines are open for type checkers only."""
+    """Nations import their suppliers, suppliers the parts of which they sell a large line and name the others in strings, large parts import the
+    part 7 k + 1 (modulo the number of parts). hints: a supplier imports the parts of which all lines are open for type checkers only."""
     n = table(spark, sf, "part").count()
     nations = table(spark, sf, "nation").join(table(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     nations = nations.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("m"), F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey").isNotNull(), F.concat(F.lit("import s"), F.col("s_suppkey").cast("string"), F.lit("\n"))).otherwise("x = 1\n").alias("text"))
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 49").groupBy("l_suppkey", "l_partkey").agg(F.max((F.col("l_linestatus") == "F").cast("int")).alias("real"))
+    lines = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max((F.col("l_linestatus") == "F").cast("int")).alias("real"), F.max("l_quantity").alias("most"))
     line = F.concat(F.lit("import p"), F.col("l_partkey").cast("string"), F.lit("\n"))
-    text = F.when((F.col("real") == 0) & F.lit(hints), F.concat(F.lit("if TYPE_CHECKING:\n    "), line)).otherwise(line)
+    name = F.concat(F.lit("x = 'p"), F.col("l_partkey").cast("string"), F.lit("'\n"))
+    text = F.when(F.col("most") < 49, name).when((F.col("real") == 0) & F.lit(hints), F.concat(F.lit("if TYPE_CHECKING:\n    "), line)).otherwise(line)
     suppliers = table(spark, sf, "supplier").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("m"), F.col("l_partkey").alias("ord"), F.coalesce(text, F.lit("x = 1\n")).alias("text"))
     key = F.col("p_partkey")
     parts = table(spark, sf, "part").select(F.concat(F.lit("p"), key.cast("string")).alias("m"), key.alias("ord"), F.when(F.col("p_size") > 40, F.concat(F.lit("import p"), ((key * 7 + 1) % n).cast("string"), F.lit("\n"))).otherwise("x = 1\n").alias("text"))
