@@ -225,17 +225,22 @@ def _text_ids(reader: Reader, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Chen and Goodman's three discounts (index 1..3) from the counts of counts n[1..4]; zero classes fall back to absolute discounting."""
+    """Chen and Goodman's three discounts (index 1..3) from the counts of counts n[1..4]; zero classes, and estimates that aren't positive, fall back to absolute discounting."""
     out = np.zeros(4)
     if n[1] == 0:
         return out
     y = n[1] / (n[1] + 2 * n[2])
     for k in (1, 2, 3):
         d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] else y
-        out[k] = min(max(d, 0.0), k)
+        out[k] = min(d, k) if d > 0 else y
     return out
 
 
+def _positive(d: np.ndarray) -> np.ndarray:
+    """Without counts of 1 there is no estimate: half of one is taken, so that what wasn't seen has a probability."""
+    return d if d[1] else np.array([0, 0.5, 0.5, 0.5])
+
+
 def _spread(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "part").sortWithinPartitions("part")
 
@@ -344,7 +349,7 @@ def train(docs: DataFrame, folder: str, ranges: int = 0) -> Model:
     rows = _spread(pairs, parts).mapInArrow(save_dense, "order int, n array<long>, types long, more long").collect()  # a row for each DENSE ids
     n2, n1 = (np.sum([r["n"] for r in rows if r["order"] == k] or [[0] * 5], axis=0) for k in (2, 1))
     m.types = sum(r["types"] for r in rows)
-    m.discounts, m.low_discounts = discounts(n2), discounts(n1)
+    m.discounts, m.low_discounts = _positive(discounts(n2)), _positive(discounts(n1))
     more = sum(r["more"] for r in rows)
     m.low_left = float(m.low_discounts[1] * n1[1] + m.low_discounts[2] * n1[2] + m.low_discounts[3] * more) / max(1, m.types)
     return m

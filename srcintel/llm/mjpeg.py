@@ -328,7 +328,7 @@ _STANDARD = _standard_tables()
 def histogram(image: np.ndarray, bins: int = 32) -> np.ndarray:
     """Shares of the image's brightness in each bin."""
     grey = image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
-    return np.bincount((grey.reshape(-1) * bins / 256).astype(np.int64), minlength=bins)[:bins] / max(1, grey.size)
+    return np.bincount((grey.reshape(-1).astype(np.float64) * bins / 256).astype(np.int64), minlength=bins)[:bins] / max(1, grey.size)
 
 
 def shots_of(raw: bytes) -> list[tuple[float, float, int]]:

@@ -40,9 +40,10 @@ def components(n, links):
 def discounts(counts):
     n = [0] + [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
     if not n[1]:
-        return [0, 0, 0, 0]
+        return [0, 0.5, 0.5, 0.5]
     y = n[1] / (n[1] + 2 * n[2])
-    return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else y, 0), k) for k in (1, 2, 3)]
+    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else y for k in (1, 2, 3)]
+    return [0] + [min(x, k) if x > 0 else y for k, x in enumerate(d, 1)]
 
 
 class Plain:
@@ -134,14 +135,19 @@ def line_corpus(seed):
     return ["\n".join(line() for _ in range(rnd.randint(1, 4))) for _ in range(25)] + ["", "invoice 2023 page 17 of 40 total 1200", "invoice 2023 page 18 of 40 total 1200"]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 5])
 def test_lines_against_all_pairs(spark, seed):
+    """Candidates are found with a probability, 0.8 for a pair at the threshold in short lines: nothing is cut that all pairs would leave, and of what they cut nearly all."""
     import corpus_pipeline
 
     texts = line_corpus(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
-    assert got == brute_lines(texts)
+    want = brute_lines(texts)
+    count = lambda left: sum(len([x for x in t.split("\n") if x]) for t in left.values())
+    every = count(dict(enumerate(texts)))
+    assert want.keys() <= got.keys() and all(set(t.split("\n")) <= set(got[d].split("\n")) for d, t in want.items())
+    assert every - count(got) >= 0.9 * (every - count(want)) > 12
 
 
 def test_crowded_buckets_and_large_components(spark, monkeypatch):
