@@ -38,6 +38,8 @@ from srcintel.llm.shared import fresh, ship
 from srcintel.llm.text import U, enter, mix, per_text, steps, unmix, words
 
 END = U(0x5EED0E4D0F7E87)
+#: Ids that a half of a pair holds; a larger vocabulary is an error, not a wrong model.
+MOST_TYPES = 1 << 32
 #: Ids in a file of dense arrays.
 DENSE = 1 << 20
 
@@ -272,6 +274,8 @@ def train(docs: DataFrame, folder: str, ranges: int = 0) -> Model:
     m = Model(folder, ranges, np.cumsum(ends), sum(r["total"] for r in rows))
     if not m.total:
         return m
+    if m.v + 2 > MOST_TYPES:
+        raise ValueError(f"{m.v} distinct tokens: ids of 32 bits tell {MOST_TYPES - 2} apart")
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("kneser_ney")

@@ -93,6 +93,13 @@ def test_kneser_ney_against_dictionaries(spark):
         assert sum(plain.p(v, w) for w in [*plain.unigram, "never"]) == pytest.approx(1)
 
 
+def test_a_vocabulary_beyond_the_ids_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MOST_TYPES", 4)
+    df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        kneser_ney.train_and_score(df, df)
+
+
 # --- op2 -----------------------------------------------------------------------------------------------------
 
 
