@@ -405,18 +405,23 @@ def promise(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return np.where(fits & (foreign * EDITS <= 1 - least), same.mean(1), -1.0)
 
 
-def promises_of_all(a: np.ndarray, least: float) -> np.ndarray:
-    """promise() of all sketches to one another."""
-    n = len(a)
-    size = np.ascontiguousarray(a[:, 2 * REGISTERS :]).view("<u4")[:, 0].astype(np.float32)
-    register, order = np.ascontiguousarray(a[:, :REGISTERS]), a[:, REGISTERS : 2 * REGISTERS].astype(np.intp)
-    agree, foreign = np.empty((n, n), np.float32), np.empty((n, n), np.float32)
-    for i in range(n):
-        same = register == register[i]
-        agree[i] = np.bitwise_count(np.packbits(same, axis=1).view("<u8")[:, 0])
-        foreign[i] = _foreign(np.take(same, order[i], axis=1)) * size[i]
-    longer = np.maximum(size, size[:, None])
-    fits = (np.minimum(size, size[:, None]) >= least * longer - 1e-6) & (np.maximum(foreign, foreign.T) * (EDITS / REGISTERS) <= (1 - least) * longer)
+def promises_of_all(a: np.ndarray, least: float, b: np.ndarray | None = None) -> np.ndarray:
+    """promise() of all sketches to one another, or to those of b."""
+    every = [a] if b is None else [a, b]
+    size = [np.ascontiguousarray(x[:, 2 * REGISTERS :]).view("<u4")[:, 0].astype(np.float32) for x in every]
+    register = [np.ascontiguousarray(x[:, :REGISTERS]) for x in every]
+    agree, foreign = np.empty((len(a), len(register[-1])), np.float32), []
+    for x in range(len(every)):
+        order, other = every[x][:, REGISTERS : 2 * REGISTERS].astype(np.intp), register[x - 1]
+        foreign.append(np.empty((len(order), len(other)), np.float32))
+        for i in range(len(order)):
+            same = other == register[x][i]
+            if not x:
+                agree[i] = np.bitwise_count(np.packbits(same, axis=1).view("<u8")[:, 0])
+            foreign[x][i] = _foreign(np.take(same, order[i], axis=1)) * size[x][i]
+    left, right = size[0][:, None], size[-1]
+    longer = np.maximum(left, right)
+    fits = (np.minimum(left, right) >= least * longer - 1e-6) & (np.maximum(foreign[0], foreign[-1].T) * (EDITS / REGISTERS) <= (1 - least) * longer)
     return np.where(fits, agree / REGISTERS, -1.0)
 
 
@@ -584,6 +589,125 @@ def _abreast(pairs: list[tuple[str, str]]) -> list[int]:
     return out
 
 
+#: Pairs that are compared together by words of 64 rows; fewer than SIDE_BY_SIDE go the other way.
+LANES, SIDE_BY_SIDE = 4096, 96
+TABLE = 64 << 20  # bytes of the tables of letters' places
+
+
+def within(pairs: list[tuple[str, str]], most: list[int]) -> list[bool]:
+    """Whether the Levenshtein distance of each pair is at most most[k]. Many pairs of like lengths go side by side, in the band of the table that a way of
+    so few edits can't leave."""
+    out = [max(len(a), len(b)) <= m for (a, b), m in zip(pairs, most)]
+    rest = [k for k, (a, b) in enumerate(pairs) if not out[k] and a and b and abs(len(a) - len(b)) <= most[k]]
+    lot = [(a, b, most[k]) if len(a) <= len(b) else (b, a, most[k]) for k in rest for a, b in [pairs[k]]]
+    order = sorted(range(len(lot)), key=lambda x: (-(len(lot[x][1]) >> 6), len(lot[x][1]) - len(lot[x][0])))
+    lo, few = 0, []
+    while lo < len(order):
+        hi, longest = lo, len(lot[order[lo]][1])
+        while hi < len(order) and hi - lo < LANES and len(lot[order[hi]][1]) >= 0.75 * longest - 64:
+            hi += 1
+        some = sorted(order[lo:hi], key=lambda x: -len(lot[x][1]))
+        lo = hi
+        found = _in_band([lot[x] for x in some]) if len(some) >= SIDE_BY_SIDE else None
+        if found is None:
+            few += some
+        for x, ok in zip(some, found or []):
+            out[rest[x]] = ok
+    for x, d in zip(few, distances([lot[x][:2] for x in few])):
+        out[rest[x]] = d <= lot[x][2]
+    return out
+
+
+def _in_band(lot: list[tuple[str, str, int]]) -> list[bool] | None:
+    """Of (shorter, longer, most), the longest longer ones first: the columns of the table in words of 64 rows (Myers 1999, Hyyrö 2003), all pairs' at once. Words come and
+    go as the band does, every 64 columns; above the band a column's entries are taken to be one more than the last column's, below it one more than the row above,
+    which is never too little. Then pairs that can't end within `most` go, too. None where the tables of many letters would be large."""
+    n = len(lot)
+    size, most = np.array([len(b) for _, b, _ in lot]), np.array([m for *_, m in lot])
+    short = np.array([len(a) for a, *_ in lot])
+    low = int(((most - size + short) // 2).max())
+    up = int((size - short + (most - size + short) // 2).max())
+
+    number: dict[str, int] = {}
+    first = np.array([number.setdefault(a, len(number)) for a, *_ in lot])
+    second = np.array([number.setdefault(b, len(number)) for _, b, _ in lot])
+    length = np.array([len(t) for t in number])
+    text = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+    code = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), "<u4")
+    used = np.zeros(0x110000, bool)
+    used[code] = True
+    wide = int(used.sum())
+    if len(length) * wide * (int(size[0]) // 64 + 4) * 8 > TABLE:
+        return None
+    code = (np.cumsum(used, dtype=np.int32) - 1)[code]
+    letter = np.zeros((len(length), int(size[0]) + 64), np.int32)
+    letter[np.arange(letter.shape[1]) < length[:, None]] = code
+    table = np.zeros(((int(size[0]) + low) // 64 + 2, len(length) * wide), U)  # where a letter is in a text
+    np.add.at(table.reshape(-1), (place >> 6) * table.shape[1] + text * wide + code, U(1) << (place & 63).astype(U))
+    full, one, last = ~U(0), U(1), U(63)
+    ok = np.zeros(n, bool)
+    lane, above = np.arange(n), np.zeros(n, np.int64)  # what a column's entry above the band has, besides its number
+    top, plus, minus = 0, [], []
+    for start in range(0, int(size[0]), 64):
+        begin, end = max(0, (start - up) // 64), (start + 63 + low) // 64 + 1
+        for _ in range(top, begin):
+            above += np.bitwise_count(plus.pop(0)).astype(np.int64) - np.bitwise_count(minus.pop(0))
+        top = begin
+        while len(plus) < end - top:
+            plus.append(np.full(len(lane), full))
+            minus.append(np.zeros(len(lane), U))
+        where = np.ascontiguousarray((letter[:, start : start + 64][second[lane]] + (first[lane] * wide)[:, None]).T)
+        left = size[lane] - start  # descending
+        ends = set(left[left <= 64].tolist())
+        for j in range(1, min(64, int(left[0])) + 1):
+            more, less = one, None  # the steps of the row above
+            at = where[j - 1]
+            for w in range(len(plus)):
+                equal, p, m = table[top + w].take(at), plus[w], minus[w]
+                vertical = equal | m
+                if less is not None:
+                    equal |= less
+                horizontal = equal & p
+                horizontal += p
+                horizontal ^= p
+                horizontal |= equal
+                x = horizontal | p
+                np.invert(x, out=x)
+                x |= m
+                horizontal &= p
+                carry, borrow = x >> last, horizontal >> last
+                x <<= one
+                x |= more
+                horizontal <<= one
+                if less is not None:
+                    horizontal |= less
+                np.bitwise_and(x, vertical, out=m)
+                x |= vertical
+                np.invert(x, out=x)
+                np.bitwise_or(x, horizontal, out=p)
+                more, less = carry, borrow
+            if j in ends:
+                done = np.flatnonzero(left == j)
+                total = start + j + above[done]
+                for w in range(len(plus)):
+                    rows = np.clip(short[lane[done]] - 64 * (top + w), 0, 64)
+                    mask = np.where(rows > 0, full >> (64 - np.maximum(rows, 1)).astype(U), U(0))
+                    total += np.bitwise_count(plus[w][done] & mask).astype(np.int64) - np.bitwise_count(minus[w][done] & mask)
+                ok[lane[done]] = total <= most[lane[done]]
+        # every eighth entry of the column, less what those between may have less, and the least way to the end
+        steps = [np.bitwise_count(p.view(np.uint8)).astype(np.int16) - np.bitwise_count(m.view(np.uint8)).astype(np.int16) for p, m in zip(plus, minus)]
+        column = np.cumsum(np.concatenate([np.zeros((len(lane), 1), np.int64), *(s.reshape(-1, 8) for s in steps)], axis=1), axis=1) + (above + start + 64)[:, None]
+        away = np.abs((short[lane] - size[lane] + start + 64)[:, None] - np.arange(64 * top, 64 * (top + len(plus)) + 1, 8))
+        on = np.flatnonzero((left > 64) & ((column + away).min(1) - 8 <= most[lane]))
+        if not len(on):
+            break
+        if len(on) < 0.9 * len(lane) or int(left[on[-1]]) > 64 >= int(left[-1]):
+            lane, above = lane[on], above[on]
+            plus, minus = [p[on] for p in plus], [m[on] for m in minus]
+    return ok.tolist()
+
+
 def edit_similar(pairs: list[tuple[str, str]], least: float) -> list[bool]:
     """Whether the edit similarity of each pair is `least` or more."""
     out = [False] * len(pairs)
@@ -593,12 +717,12 @@ def edit_similar(pairs: list[tuple[str, str]], least: float) -> list[bool]:
         most = int(longer * (1 - least) + 1e-9)
         if longer - min(len(a), len(b)) > most:
             continue
-        a, b = _stripped(a, b)
+        if a[:1] == b[:1] or a[-1:] == b[-1:]:
+            a, b = _stripped(a, b)
         if max(len(a), len(b)) <= most:
             out[k] = True
             continue
-        x, y = a.split(" "), b.split(" ")
-        if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:  # words for words
+        if a.count(" ") == b.count(" ") and sum(max(len(p), len(q)) for p, q in zip(a.split(" "), b.split(" ")) if p != q) <= most:  # words for words
             out[k] = True
         elif longer > 2000:  # the whole table would be large
             out[k] = _bound(a, b, most) <= most or distance(a, b, most) <= most
@@ -608,8 +732,8 @@ def edit_similar(pairs: list[tuple[str, str]], least: float) -> list[bool]:
         for k, most, a, b in rest:
             out[k] = distance(a, b, most) <= most
     else:
-        for (k, most, _, _), d in zip(rest, distances([r[2:] for r in rest])):
-            out[k] = d <= most
+        for (k, *_), ok in zip(rest, within([r[2:] for r in rest], [r[1] for r in rest])):
+            out[k] = ok
     return out
 
 
@@ -620,7 +744,9 @@ def _links(least: float):
         enter("lines")
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         texts = rows.column("form").to_pylist()
-        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least), lambda lo, hi: promises_of_all(signature[lo:hi], least), PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts)
+        sides = rows.column("side").to_numpy() if "side" in rows.schema.names else None
+        square, cross = lambda lo, hi: promises_of_all(signature[lo:hi], least), lambda lo, at, hi: promises_of_all(signature[lo:at], least, signature[at:hi])
+        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least), square, PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts, sides, cross)
 
     return found
 

@@ -32,45 +32,53 @@ from srcintel.llm.shared import ship, stash, tasks
 CELL = 2048
 #: Items of a cell of which all near pairs are noted.
 FEW = 16
-#: Links that one task joins to components; more take distributed rounds.
-LOCAL = 1_000_000
+#: Links that one task joins to components, of keys that are numbers and of others; more take distributed rounds.
+LOCAL, LOCAL_OTHERS = 4_000_000, 1_000_000
 ARROW = {"binary": pa.binary(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string()}
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of links (a, b): root is the least node of its component."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    return _in_one_task(edges) if edges.limit(LOCAL + 1).count() <= LOCAL else _in_rounds(edges)
+    most = LOCAL if dict(edges.dtypes)["u"] == "bigint" else min(LOCAL, LOCAL_OTHERS)
+    return _in_one_task(edges) if edges.limit(most + 1).count() <= most else _in_rounds(edges)
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Union-find over at most LOCAL edges."""
+    """Over at most LOCAL edges."""
     ship(edges.sparkSession)
     kind = dict(edges.dtypes)["u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
-
-        def find(x):
-            while (p := parent[x]) != x:
-                parent[x] = x = parent[p]
-            return x
-
-        for b in batches:
-            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
-                parent.setdefault(u, u)
-                parent.setdefault(v, v)
-                x, y = find(u), find(v)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ends = [pa.chunked_array([b.column(c) for b in held]) for c in ("u", "v")]
+        values = np.concatenate([x.to_numpy() for x in ends])
+        del held, ends
+        nodes, at = np.unique(values, return_inverse=True)
+        del values
+        root = _roots(at[: len(at) // 2], at[len(at) // 2 :], len(nodes))
         for lo in range(0, len(nodes), 100_000):
-            some = nodes[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, ARROW[kind]), pa.array([find(x) for x in some], ARROW[kind])], ["node", "root"])
+            some = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x, ARROW[kind]) for x in (nodes[some], nodes[root[some]])], ["node", "root"])
 
     return stash(edges.repartition(1).mapInArrow(run, f"node {kind}, root {kind}"), "components")
 
 
+def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component: roots are hooked to lesser ones, then all nodes point to their roots."""
+    root = np.arange(n)
+    while len(u):
+        x, y = root[u], root[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
 def _in_rounds(edges: DataFrame) -> DataFrame:
     """Large-star and small-star rounds (Kiveris et al. 2014), each an aggregation and a join, written to the shared folder."""
     before = None
@@ -264,10 +272,11 @@ class _Cell:
         return out
 
 
-def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarray], square: Callable[[int, int], np.ndarray], enough: float, similar: Similar, parts: list | None = None) -> Iterator[tuple[int, int]]:
+def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarray], square: Callable[[int, int], np.ndarray], enough: float, similar: Similar, parts: list | None = None, sides: np.ndarray | None = None, cross: Callable[[int, int, int], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
     """Links of spanning forests of the exact graphs of the cells cuts[k]:cuts[k + 1]: pairs that promise `enough` are tried, the
     likeliest first, unless they're connected already; those of all cells that come next are tried together. like(i, j): the promises of
-    the pairs of rows i and j (arrays); square(lo, hi): those of all rows of a cell to one another. parts: rows of a cell with equal values are connected from the start."""
+    the pairs of rows i and j (arrays); square(lo, hi): those of all rows of a cell to one another. parts: rows of a cell with equal values are connected from the start.
+    sides: of a cell with two of them, ascending, only pairs of one and the other are tried, whose promises cross(lo, middle, hi) gives."""
     n = cuts[-1]
     parent = list(range(n))
 
@@ -286,18 +295,30 @@ def spanning(cuts: list[int], like: Callable[[np.ndarray, np.ndarray], np.ndarra
                 parent[k] = first.setdefault(parts[k], k)
     known = np.array(parent, np.int64)
     few = size <= FEW
+    middle = [lo for lo in cuts[:-1]]  # where a cell's second side begins, if it has one
+    if sides is not None:
+        for k in (np.flatnonzero(sides[1:] != sides[:-1]) + 1).tolist():
+            if cuts[cell[k]] != k:
+                middle[cell[k]] = k
+    two = np.array(middle)[cell] > np.array(cuts)[cell] if n else np.zeros(0, bool)
+    second = np.arange(n) >= np.array(middle)[cell] if n else two
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     for d in range(1, min(FEW, n)):
         i = np.flatnonzero((cell[:-d] == cell[d:]) & few[cell[:-d]])
         if not len(i):
             break
-        i = i[known[i] != known[i + d]]
+        i = i[(known[i] != known[i + d]) & (~two[i] | (second[i] != second[i + d]))]
         value = like(i, i + d)
         hit = value >= enough
         found.append((i[hit], i[hit] + d, value[hit]))
     for k in np.flatnonzero(~few).tolist():
         lo, hi = cuts[k], cuts[k + 1]
+        if (at := middle[k]) > lo and cross:
+            value = cross(lo, at, hi)
+            i, j = np.nonzero((value >= enough) & (known[lo:at, None] != known[at:hi]))
+            found.append((i + lo, j + at, value[i, j]))
+            continue
         value = square(lo, hi)
         i, j = np.nonzero(np.triu(value >= enough, 1) & (known[lo:hi, None] != known[lo:hi]))
         found.append((i + lo, j + lo, value[i, j]))
@@ -380,7 +401,7 @@ def verified(promised: DataFrame, contents: DataFrame, links: Links, orders: lis
         labels = components(more if labels is None else more.union(labels.select("node", "root")))
     across = _across(_labelled(sized.where(F.col("size") > 2 * cell).select("key", "root"), labels), cell)
     if not across.isEmpty():
-        cells = across.join(rest.drop("root"), "key").repartition(n, "run").sortWithinPartitions("run", "key")
+        cells = across.join(rest.drop("root"), "key").repartition(n, "run").sortWithinPartitions("run", "side", "key")
         found.append(_verify(cells, links, kind))
     every = found[0]
     for one in found[1:]:
@@ -395,7 +416,8 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, cell: int) -> DataFrame:
-    """(run, key, label): cells in which every two items of one root and different labels meet. rows: key, root, label."""
+    """(run, side, key, label): cells in which every two items of one root and different labels meet. Two chunks are the sides of a cell; the items of a chunk of the pool
+    meet in a cell of one side, once. rows: key, root, label."""
     part = rows.groupBy("root", "label").agg(F.count("*").alias("n"))
     apart = part.groupBy("root").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= cell, F.col("n")).otherwise(0)).alias("pool"), F.collect_list(F.when(F.col("n") > cell, F.struct("label", F.ceil(F.col("n") / cell).cast("int").alias("parts")))).alias("big"))
     apart = apart.where("labels > 1").withColumn("pools", F.ceil(F.col("pool") / cell).cast("int"))
@@ -409,4 +431,4 @@ def _across(rows: DataFrame, cell: int) -> DataFrame:
     own = F.struct(F.when(is_big, F.col("label")).alias("of"), F.when(is_big, F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / cell))).otherwise(F.pmod(F.xxhash64("key"), F.col("pools"))).cast("int").alias("k"))
     met = placed.withColumn("own", own).withColumn("other", F.explode("chunks")).where("not (own.of is not null and other.of is not null and own.of = other.of)")
     code = lambda c: F.xxhash64(f"{c}.of", f"{c}.k")
-    return met.select(F.xxhash64("root", F.least(code("own"), code("other")), F.greatest(code("own"), code("other"))).alias("run"), "key", "label")
+    return met.select(F.xxhash64("root", F.least(code("own"), code("other")), F.greatest(code("own"), code("other"))).alias("run"), code("own").alias("side"), "key", "label")

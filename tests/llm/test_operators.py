@@ -121,6 +121,18 @@ def test_large_components_are_compared_across(spark):
         assert got == {k: 0 if k % 2 == 0 or k == 59 else 1 for k in range(n)}, cell
 
 
+def test_every_two_items_apart_meet_once(spark):
+    from srcintel.llm import links
+
+    items = [(k, 0, k if k < 60 else 60) for k in range(90)]  # sixty alone, thirty connected
+    got = links._across(spark.createDataFrame(items, "key long, root long, label long"), 8).collect()
+    runs = {}
+    for r in got:
+        runs.setdefault(r["run"], []).append(r)
+    met = [tuple(sorted((a["key"], b["key"]))) for rows in runs.values() for n, a in enumerate(rows) for b in rows[:n] if len({r["side"] for r in rows}) == 1 or a["side"] != b["side"]]
+    assert len(met) == len(set(met)) and {(a, b) for a in range(90) for b in range(a + 1, 90) if a < 60} == set(met)
+
+
 def test_mjpeg(docs, empty):
     for r in mjpeg.clips(docs, media=True).collect():
         frames = mjpeg.decode_frames(mjpeg.parse(r["media"])[1]).tobytes()

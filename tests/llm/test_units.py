@@ -508,3 +508,70 @@ def test_crc_of_ids():
     from srcintel.llm.text import id_crc
 
     assert id_crc(pa.array([12, None])).tolist() == [zlib.crc32(b"12"), 0]
+
+
+def test_many_distances_in_a_band():
+    rnd = random.Random(11)
+    pairs = []
+    for k in range(400):
+        a = "".join(rnd.choices("abcdé fg", k=rnd.choice([3, 40, 64, 65, 128, 200])))
+        b = list(a)
+        for _ in range(rnd.randint(0, len(a) // 3 + 1)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 1)] = rnd.choice(["", "漢", "a", "bc"])
+        if k % 3 == 0:
+            b = list("".join(rnd.choices("abcd", k=len(a) // 5))) + b[: len(b) - len(a) // 9]
+        pairs.append((a, "".join(b)))
+    want = lines.distances(pairs)
+    for more in (-1, 0, 3):
+        most = [max(0, d + more) for d in want]
+        assert lines.within(pairs, most) == [d <= m for d, m in zip(want, most)]
+    passage = "".join(rnd.choices("abcdefgh ", k=300))  # lines that only share a passage
+    family = ["".join(rnd.choices("abcdefgh ", k=rnd.randint(10, 120))) + passage + "".join(rnd.choices("abcdefgh ", k=rnd.randint(10, 60))) for _ in range(30)]
+    pairs = [(a, b) for a in family for b in family if a < b]
+    most = [int(0.2 * max(len(a), len(b))) for a, b in pairs]
+    assert lines.within(pairs, most) == [d <= m for d, m in zip(lines.distances(pairs), most)]
+    few = [(chr(0x4E00 + k) * 70, chr(0x4E00 + k) * 60 + "x" * 12) for k in range(200)]  # a letter of its own in each
+    assert lines.within(few, [12] * 200) == [True] * 200 and lines.within(few, [11] * 200) == [False] * 200
+
+
+def test_promises_of_two_chunks():
+    rnd = random.Random(2)
+    forms = [" ".join(rnd.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=rnd.randint(3, 30))) for _ in range(40)]
+    s = np.frombuffer(b"".join(lines.sketches(forms)), np.uint8).reshape(40, -1)
+    assert np.array_equal(lines.promises_of_all(s[:15], 0.8, s[15:]), lines.promises_of_all(s, 0.8)[:15, 15:])
+
+
+def test_cells_of_two_sides_try_only_pairs_across():
+    from srcintel.llm import links
+
+    for n in (8, 40):  # a small cell, and one of which all promises are taken at once
+        sides, tried = np.array([0] * (n // 2) + [1] * (n // 2) + [5] * n), []
+
+        def similar(pairs):
+            tried.extend(pairs)
+            return [False] * len(pairs)
+
+        ones = lambda lo, hi: np.ones((hi - lo, hi - lo))
+        assert not list(links.spanning([0, n, 2 * n], lambda i, j: np.ones(len(i)), ones, 0.5, similar, None, sides, lambda lo, at, hi: np.ones((at - lo, hi - at))))
+        assert sorted(tried) == [(i, j) for i in range(2 * n) for j in range(i + 1, 2 * n) if (i < n // 2 <= j < n) or n <= i]
+
+
+def test_least_nodes_of_components():
+    from srcintel.llm import links
+
+    rnd = random.Random(4)
+    for n in (1, 50, 400):
+        some = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(n * 4 // 5)] + [(k, k + 1) for k in range(n // 2)]
+        label = {}
+        for part in range(n):  # by search from each node not yet seen
+            if part not in label:
+                label[part], stack = part, [part]
+                while stack:
+                    x = stack.pop()
+                    for u, v in some:
+                        for a, b in ((u, v), (v, u)):
+                            if a == x and b not in label:
+                                label[b] = part
+                                stack.append(b)
+        assert links._roots(*(np.array([p[k] for p in some], np.int64) for k in (0, 1)), n).tolist() == [label[k] for k in range(n)]
