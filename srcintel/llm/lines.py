@@ -391,37 +391,49 @@ def _foreign(same: np.ndarray) -> np.ndarray:
     return np.bitwise_count(u).astype(np.float32)
 
 
-def promise(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+def promise(a: np.ndarray, b: np.ndarray, least: float, enough: float = 0.0) -> np.ndarray:
     """The share of registers in which sketches agree, row by row; -1 where edit similarity of `least` isn't to be expected: by the lengths, or because a
-    large part of either line is foreign to the other (lines of different texts that share a passage)."""
+    large part of either line is foreign to the other (lines of different texts that share a passage). Less than `enough` is -1, too."""
     same = a[:, :REGISTERS] == b[:, :REGISTERS]
     size = [np.ascontiguousarray(x[:, 2 * REGISTERS :]).view("<u4")[:, 0].astype(np.int64) for x in (a, b)]
     longer = np.maximum(*size)
-    foreign = np.zeros(len(a))
+    share = np.bitwise_count(np.packbits(same, axis=1).view("<u8")[:, 0]) / REGISTERS
+    # only what is left by now is put in the order of the lines
+    some = np.flatnonzero((np.minimum(*size) >= least * longer - 1e-9) & (share >= enough))
+    foreign, left = np.zeros(len(some)), same[some]
     for x, n in zip((a, b), size):
-        own = np.take_along_axis(same, x[:, REGISTERS : 2 * REGISTERS].astype(np.intp), axis=1)
-        foreign = np.maximum(foreign, _foreign(np.ascontiguousarray(own)) * n / (REGISTERS * longer))
-    fits = np.minimum(*size) >= least * longer - 1e-9
-    return np.where(fits & (foreign * EDITS <= 1 - least), same.mean(1), -1.0)
+        own = np.take_along_axis(left, x[some, REGISTERS : 2 * REGISTERS].astype(np.intp), axis=1)
+        foreign = np.maximum(foreign, _foreign(np.ascontiguousarray(own)) * n[some] / (REGISTERS * longer[some]))
+    out = np.full(len(a), -1.0)
+    some = some[foreign * EDITS <= 1 - least]
+    out[some] = share[some]
+    return out
 
 
-def promises_of_all(a: np.ndarray, least: float, b: np.ndarray | None = None) -> np.ndarray:
+def promises_of_all(a: np.ndarray, least: float, b: np.ndarray | None = None, enough: float = 0.0) -> np.ndarray:
     """promise() of all sketches to one another, or to those of b."""
     every = [a] if b is None else [a, b]
     size = [np.ascontiguousarray(x[:, 2 * REGISTERS :]).view("<u4")[:, 0].astype(np.float32) for x in every]
     register = [np.ascontiguousarray(x[:, :REGISTERS]) for x in every]
-    agree, foreign = np.empty((len(a), len(register[-1])), np.float32), []
+    longer = np.maximum(size[0][:, None], size[-1])
+    fits = np.minimum(size[0][:, None], size[-1]) >= least * longer - 1e-6
+    agree, foreign = np.zeros(fits.shape, np.float32), []
     for x in range(len(every)):
         order, other = every[x][:, REGISTERS : 2 * REGISTERS].astype(np.intp), register[x - 1]
-        foreign.append(np.empty((len(order), len(other)), np.float32))
+        foreign.append(np.zeros((len(order), len(other)), np.float32))
         for i in range(len(order)):
-            same = other == register[x][i]
-            if not x:
-                agree[i] = np.bitwise_count(np.packbits(same, axis=1).view("<u8")[:, 0])
-            foreign[x][i] = _foreign(np.take(same, order[i], axis=1)) * size[x][i]
-    left, right = size[0][:, None], size[-1]
-    longer = np.maximum(left, right)
-    fits = (np.minimum(left, right) >= least * longer - 1e-6) & (np.maximum(foreign[0], foreign[-1].T) * (EDITS / REGISTERS) <= (1 - least) * longer)
+            some = np.flatnonzero(fits.T[i] if x else fits[i])
+            if not x and len(some):
+                same = other[some] == register[x][i]
+                agree[i, some] = n = np.bitwise_count(np.packbits(same, axis=1).view("<u8")[:, 0])
+                near = n >= enough * REGISTERS
+                fits[i, some[~near]] = False
+                some, same = some[near], same[near]
+            else:
+                same = other[some] == register[x][i]
+            # only what is left by now is put in the order of the line
+            foreign[x][i, some] = _foreign(np.take(same, order[i], axis=1)) * size[x][i]
+    fits &= np.maximum(foreign[0], foreign[-1].T) * (EDITS / REGISTERS) <= (1 - least) * longer
     return np.where(fits, agree / REGISTERS, -1.0)
 
 
@@ -745,8 +757,8 @@ def _links(least: float):
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         texts = rows.column("form").to_pylist()
         sides = rows.column("side").to_numpy() if "side" in rows.schema.names else None
-        square, cross = lambda lo, hi: promises_of_all(signature[lo:hi], least), lambda lo, at, hi: promises_of_all(signature[lo:at], least, signature[at:hi])
-        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least), square, PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts, sides, cross)
+        square, cross = lambda lo, hi: promises_of_all(signature[lo:hi], least, enough=PROMISE), lambda lo, at, hi: promises_of_all(signature[lo:at], least, signature[at:hi], PROMISE)
+        return links.spanning(cuts, lambda i, j: promise(signature[i], signature[j], least, PROMISE), square, PROMISE, lambda pairs: edit_similar([(texts[i], texts[j]) for i, j in pairs], least), parts, sides, cross)
 
     return found
 
@@ -760,7 +772,7 @@ def removals(docs: DataFrame, least: float = 0.8, min_chars: int = 1, cell: int
     cells = stash(_rows(blobs, CELLS, MET).union(links.salted(crowd)).distinct(), "cells")
     if not cells.isEmpty():
         known = stash(contents(docs, cells.select("key").distinct(), min_chars), "contents")
-        near = links.promises(cells.join(known.select("key", "signature"), "key"), "u1", lambda a, b: promise(a, b, least) >= PROMISE)
+        near = links.promises(cells.join(known.select("key", "signature"), "key"), "u1", lambda a, b: promise(a, b, least, PROMISE) >= PROMISE)
         promised = links.components(near)
         labels = links.verified(promised, known, _links(least), [F.col("form"), F.reverse("form")], cell)
         folder = keyset.write(labels.select(F.col("node").alias("key")))

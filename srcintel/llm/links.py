@@ -137,18 +137,33 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+#: Pairs of a cell that are compared at once, when one row after another finds few.
+AT_ONCE = 1 << 16
+
+
 def forest(signature: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the graph of near signatures (breadth first)."""
-    left = np.arange(len(signature))
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            node = queue.pop()
-            hit = near(signature[node], signature[left])
-            for k in left[hit].tolist():
-                yield node, k
-                queue.append(k)
-            left = left[~hit]
+    """Links of a spanning forest of the graph of near signatures (breadth first). near(one or as many, many) -> mask."""
+    left, queue = np.arange(len(signature)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        node = queue.pop()
+        hit = near(signature[node], signature[left])
+        for k in left[hit].tolist():
+            yield node, k
+            queue.append(k)
+        found, left = int(hit.sum()), left[~hit]
+        if 4 * found < len(left) + found and len(left) * (len(queue) + len(left)) <= AT_ONCE:
+            rest = np.concatenate([np.array(queue, np.int64), left])
+            x, y = np.nonzero(np.arange(len(rest))[:, None] < np.arange(len(queue), len(rest)))
+            y += len(queue)
+            some = near(signature[rest[x]], signature[rest[y]])
+            x, y = x[some], y[some]
+            one = np.maximum(x - len(queue) + 1, 0)  # the queue is connected
+            for k in _forest_of(one.tolist(), (y - len(queue) + 1).tolist(), len(left) + 1):
+                yield int(rest[x[k]]), int(rest[y[k]])
+            return
 
 
 def _forest_of(a: list[int], b: list[int], n: int) -> list[int]:
@@ -226,6 +241,32 @@ def _pairs(rows: list[tuple], kind: str) -> pa.RecordBatch:
 Similar = Callable[[list[tuple[int, int]]], "list[bool]"]
 
 
+#: Pairs that tree() goes through one by one before it leaves out what they connect.
+STRETCH = 1024
+
+
+def tree(a: np.ndarray, b: np.ndarray, find: Callable[[int], int]) -> np.ndarray:
+    """The numbers of the pairs (a, b) that connect what those before didn't, nor find() does. A cell where most pairs promise has as many as the square of
+    its items: after each stretch, twice as long as the one before, those that are connected by then go together."""
+    if len(a) <= STRETCH:
+        number: dict[int, int] = {}
+        x, y = ([number.setdefault(find(k), len(number)) for k in p.tolist()] for p in (a, b))
+        return np.array(_forest_of(x, y, len(number)), np.int64)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parts, label = np.unique(np.array([find(k) for k in nodes.tolist()]), return_inverse=True)
+    x, y = label[at[: len(a)]], label[at[len(a) :]]
+    left, kept, stretch = np.arange(len(a)), [], STRETCH
+    while len(left):
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        some = _forest_of(x[:stretch].tolist(), y[:stretch].tolist(), len(parts))
+        kept.append(left[some])
+        root = _roots(x[some], y[some], len(parts))
+        left, x, y = left[stretch:], root[x[stretch:]], root[y[stretch:]]
+        stretch *= 2
+    return np.concatenate(kept)
+
+
 class _Cell:
     """The promising pairs of a cell that aren't tried yet, the likeliest first."""
 
@@ -246,28 +287,10 @@ class _Cell:
             out = [(x, y) for x, y in zip(self.a[:n].tolist(), self.b[:n].tolist()) if find(x) != find(y)]
             self.a, self.b = self.a[n:], self.b[n:]
         else:
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                x = find(x)
-                while (p := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(p, p)
-                return x
-
-            left: list[int] = []
-            a, b = self.a.tolist(), self.b.tolist()
-            apart = len({find(x) for x in {*a, *b}}) - 1
-            for k, (x, y) in enumerate(zip(a, b)):
-                if len(out) == apart:
-                    left += range(k, len(a))
-                    break
-                u, v = root(x), root(y)
-                if u != v:
-                    parent[u] = v
-                    out.append((x, y))
-                else:
-                    left.append(k)
-            self.a, self.b = self.a[left], self.b[left]
+            tried = np.zeros(len(self.a), bool)
+            tried[tree(self.a, self.b, find)] = True
+            out = list(zip(self.a[tried].tolist(), self.b[tried].tolist()))
+            self.a, self.b = self.a[~tried], self.b[~tried]
         self.wave += 1
         return out
 

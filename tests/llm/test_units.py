@@ -575,3 +575,69 @@ def test_least_nodes_of_components():
                                 label[b] = part
                                 stack.append(b)
         assert links._roots(*(np.array([p[k] for p in some], np.int64) for k in (0, 1)), n).tolist() == [label[k] for k in range(n)]
+
+
+def test_trees_of_cells_where_most_pairs_promise():
+    from srcintel.llm import links
+
+    rnd = random.Random(6)
+    for n, share in ((3, 1.0), (30, 0.5), (300, 0.9), (300, 0.04)):
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (i < n // 2) == (j < n // 2) and rnd.random() < share]  # two halves that nothing connects
+        rnd.shuffle(pairs)
+        known, asked = [k - k % 2 if k < 8 else k for k in range(n)], []  # some are connected from the start
+
+        def find(k):
+            asked.append(k)
+            return known[k]
+
+        label, want = list(known), []
+        for i, j in pairs:
+            if label[i] != label[j]:
+                want.append((i, j))
+                label = [label[i] if x == label[j] else x for x in label]
+        cell = links._Cell(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+        assert cell.take(find) == want
+        rest = set(want)
+        assert list(zip(cell.a.tolist(), cell.b.tolist())) == [p for p in pairs if p not in rest and known[p[0]] != known[p[1]]] or len(pairs) <= 64
+        assert len(asked) < 2 * links.STRETCH + 3 * n  # not for each of 20,000 pairs
+
+
+def test_only_pairs_that_agree_are_put_in_the_order_of_their_lines(monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(900)]
+    forms = [" ".join(rnd.choices(words, k=40)) for _ in range(60)]
+    forms += [form + " " + rnd.choice(words) for form in forms[:10]]
+    s = np.frombuffer(b"".join(lines.sketches(forms)), np.uint8).reshape(70, -1)
+    i, j = np.triu_indices(70, 1)
+    want, square, cross = lines.promise(s[i], s[j], 0.8), lines.promises_of_all(s, 0.8), lines.promises_of_all(s[:30], 0.8, s[30:])
+    foreign, rows = lines._foreign, []
+    monkeypatch.setattr(lines, "_foreign", lambda same: rows.append(len(same)) or foreign(same))
+    for every, some in ((want, lines.promise(s[i], s[j], 0.8, lines.PROMISE)), (square, lines.promises_of_all(s, 0.8, enough=lines.PROMISE)), (cross, lines.promises_of_all(s[:30], 0.8, s[30:], lines.PROMISE))):
+        assert np.array_equal(some, np.where(every >= lines.PROMISE, every, -1.0)) and (some >= lines.PROMISE).any()
+    assert sum(rows) < 0.1 * 70 * 70
+
+
+def test_forests_of_cells_with_few_near_rows_take_few_calls():
+    from srcintel.llm import links
+
+    rnd, calls = np.random.default_rng(8), []
+
+    def near(one, many):
+        calls.append(len(many))
+        return np.abs(np.broadcast_to(one, many.shape) - many).max(1) <= 1
+
+    def least(rows, pairs):
+        label = list(range(rows))
+        for i, j in pairs:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        return label
+
+    for rows, wide in ((1, 5), (2, 1), (40, 30), (90, 4), (200, 200), (200, 25)):
+        signature = rnd.integers(0, wide, (rows, 2))
+        calls.clear()
+        found = list(links.forest(signature, near))
+        assert len(calls) <= rows // 4 + 2
+        want = [(i, j) for i in range(rows) for j in range(i) if np.abs(signature[i] - signature[j]).max() <= 1]
+        assert set(found) <= {p for i, j in want for p in ((i, j), (j, i))}
+        label = least(rows, want)
+        assert least(rows, found) == label and len(found) == rows - len(set(label))
