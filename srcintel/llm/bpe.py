@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from srcintel.llm.text import LOWER, SPACE, U, as_bytes, at_change, range_hash, runs
+from srcintel.llm.text import LOWER, SPACE, U, as_bytes, at_change, range_hash, runs, steps
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +28,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 #: Units that a worker remembers; beyond it the table starts anew.
 CACHE = 600_000
+#: Bytes of text that are encoded at once, whose arrays take many times as much; a longer single text is a part of its own.
+PART = 1 << 20
 #: Bytes of a unit up to which the rolling hash stands for it; longer ones are hashed one by one.
 LONG = 64
 
@@ -251,6 +253,21 @@ class ChunkEncoder:
 
     def encode_marked(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, and where sentences end: numbers of ids, ascending. With a tokenizer that the library encodes whole there are none."""
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        none = np.zeros(0, np.int64)
+        ids, ptrs, ends, seen = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], [none], 0
+        for part in steps(iter([pa.RecordBatch.from_arrays([col], ["text"])]), limit=PART):
+            own, ptr, stops = self._part(part.column("text"))
+            ids.append(own)
+            ptrs.append(ptr[1:] + seen)
+            ends.append(stops + seen)
+            seen += len(own)
+        at = np.concatenate(ends)
+        return np.concatenate(ids), np.concatenate(ptrs), at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+
+    def _part(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encode_marked of so many texts as go at once; a sentence's end may be there twice."""
         if not self.known:
             return *self._whole(col), np.zeros(0, np.int64)
         data, off = as_bytes(col)
@@ -273,8 +290,7 @@ class ChunkEncoder:
         at = np.zeros(len(which) + 1, np.int64)
         np.cumsum(each, out=at[1:])
         ids = self.ids[np.repeat(self.first[which] - at[:-1], each) + np.arange(at[-1])]
-        ends = at[1:][self.stops[which]]
-        return ids, at[ptr], ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
+        return ids, at[ptr], at[1:][self.stops[which]]
 
     def encode_closed(self, col: pa.Array, end: int, marked: bool = False) -> tuple[np.ndarray, ...]:
         """ids and offsets with the id `end` after each text; marked: and where sentences end."""

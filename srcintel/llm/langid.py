@@ -35,6 +35,7 @@ from srcintel.llm.text import LOWER, as_bytes, enter, steps
 SLOTS = 1 << 18
 BLOCK = 1 << 14  # slots that a task writes at once
 PIECE = 2  # letters of a word in scripts without blanks
+PART = 1 << 19  # bytes of text whose words are scored at once; the arrays for it take many times as much
 #: First code points of ranges and their scripts; a script ends where the next range begins.
 RANGES = [
     (0x41, "latin"), (0x250, "latin"), (0x2B0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"), (0x780, "thaana"), (0x7C0, "nko"),
@@ -83,12 +84,21 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
-def _slots(shown: np.ndarray) -> np.ndarray:
-    """A slot for the trigram around each byte."""
-    wide = np.full(len(shown) + 2, 32, np.uint32)
-    wide[1:-1] = shown
-    key = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
-    return ((key * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int32)
+def _slots(shown: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A slot for the trigram around each byte. Blanks are before and after each text, whatever texts come next to it."""
+    key = np.full(len(shown) + 1, 32, np.uint32)
+    key[1:] = shown
+    key[off] = 32
+    after = np.full(len(shown) + 1, 32, np.uint8)
+    after[:-1] = shown
+    after[off] = 32
+    key = key[:-1]
+    for following in (shown, after[1:]):
+        key <<= np.uint32(8)
+        key |= following
+    key *= np.uint32(0x9E3779B1)
+    key >>= np.uint32(14)
+    return key.view(np.int32)
 
 
 def split(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,11 +149,11 @@ def train(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "slot": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
             seen.clear()
 
-        for batch in steps(batches):
+        for batch in steps(batches, limit=2 * PART):
             langs = batch.column("lang").dictionary_encode()
             which = langs.indices.to_numpy(zero_copy_only=False)
             shown, off, _, _, ptr, script, _ = split(batch.column("text"))
-            slot, inside = _slots(shown), shown != 32
+            slot, inside = _slots(shown, off), shown != 32
             of_byte = np.repeat(which, np.diff(off))
             of_word = np.repeat(which, np.diff(ptr))
             for k, lang in enumerate(langs.dictionary.to_pylist()):
@@ -256,10 +266,10 @@ def viterbi(score: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
 
 def word_scores(col: pa.Array, logs: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A row of scores for each word, each text's range of words, the words' byte ranges in the text column, and which texts have letters."""
-    shown, _, start, end, ptr, script, has = split(col)
+    shown, off, start, end, ptr, script, has = split(col)
     if not len(start):
         return np.zeros((0, logs.shape[1]), np.float32), ptr, start, end, has
-    each = logs[_slots(shown)[shown != 32]]
+    each = logs[_slots(shown, off)[shown != 32]]
     size = end - start
     score = np.add.reduceat(each, np.cumsum(size) - size, axis=0)
     score[~allowed[script]] = -1e6
@@ -269,7 +279,7 @@ def word_scores(col: pa.Array, logs: np.ndarray, allowed: np.ndarray) -> tuple[n
 def label_words(col: pa.Array, logs: np.ndarray, allowed: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(language of each word, each text's range of words, starts, ends in the column's bytes, whether each text has a letter)."""
     parts, ptrs, starts, ends, letters, seen, bytes_seen = [], [np.zeros(1, np.int64)], [], [], [], 0, 0
-    for b in steps(iter([pa.RecordBatch.from_arrays([col], ["text"])])):
+    for b in steps(iter([pa.RecordBatch.from_arrays([col], ["text"])]), limit=PART):
         score, ptr, start, end, has = word_scores(b.column(0), logs, allowed)
         parts.append(score)
         ptrs.append(ptr[1:] + seen)
@@ -278,8 +288,9 @@ def label_words(col: pa.Array, logs: np.ndarray, allowed: np.ndarray, penalty: f
         letters.append(has)
         seen += len(score)
         bytes_seen += len(as_bytes(b.column(0))[0])
-    score, ptr = np.concatenate(parts), np.concatenate(ptrs)
-    return viterbi(score, ptr, penalty), ptr, np.concatenate(starts), np.concatenate(ends), np.concatenate(letters)
+    score, ptr, start, end, has = [np.concatenate(x) for x in (parts, ptrs, starts, ends, letters)]
+    del parts, starts, ends  # else they are held twice while viterbi() runs
+    return viterbi(score, ptr, penalty), ptr, start, end, has
 
 
 def predict(docs: DataFrame, languages: list[str], logs: str, allowed: np.ndarray, penalty: float = 12.0, id_columns: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:

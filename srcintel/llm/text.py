@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(BASE, -1, 1 << 64)
-_pow: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -44,14 +43,17 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(30)) ^ (x >> U(60))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        for k, base in enumerate((BASE, _INV)):
-            a = np.full(size, U(base), U)
-            a[0] = 1
-            _pow[k] = np.cumprod(a)
-    return _pow[0], _pow[1]
+#: Bytes that are hashed at once: so many powers are kept, and what goes beyond them is one more factor.
+HASHED = 1 << 15
+
+
+def _powers(base: int) -> np.ndarray:
+    a = np.full(HASHED, U(base), U)
+    a[0] = 1
+    return np.cumprod(a)
+
+
+_POWER, _INVERSE = _powers(BASE), _powers(_INV)
 
 
 _task: list[str] = []
@@ -142,10 +144,21 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hashes modulo 2**64 of the byte ranges, mixed."""
     n = len(data)
-    power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+    for lo in range(0, n, HASHED):
+        part = total[1 + lo : 1 + min(n, lo + HASHED)]
+        part[:] = data[lo : lo + HASHED]
+        part += U(1)
+        part *= _POWER[: len(part)]
+        part *= U(pow(BASE, lo, 1 << 64))
+        part[:1] += total[lo : lo + 1]
+        np.cumsum(part, out=part)
+    out = total[end] - total[start]
+    del total
+    out *= _INVERSE[start & (HASHED - 1)]
+    far = np.array([pow(_INV, lo, 1 << 64) for lo in range(0, n + 1, HASHED)], U)
+    out *= far[start // HASHED]
+    return mix(out)
 
 
 def words(col: pa.Array, lower: bool = False, hashes: bool = True) -> Words:

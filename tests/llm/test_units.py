@@ -9,9 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from srcintel.llm import kneser_ney, langid, lines, mjpeg, neardup, packing, repair, repetition, toxicity
+from srcintel.llm import bpe, kneser_ney, langid, lines, mjpeg, neardup, packing, repair, repetition, toxicity
 from srcintel.llm.bpe import ChunkEncoder, tokenizer_path
-from srcintel.llm.text import U, mix, steps, unmix, words
+from srcintel.llm.text import BASE, HASHED, U, mix, range_hash, steps, unmix, words
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\t\n.X#|漢", max_size=40)), max_size=8)
 
@@ -641,3 +641,78 @@ def test_forests_of_cells_with_few_near_rows_take_few_calls():
         assert set(found) <= {p for i, j in want for p in ((i, j), (j, i))}
         label = least(rows, want)
         assert least(rows, found) == label and len(found) == rows - len(set(label))
+
+
+def peak_mb(run):
+    """What run() returns, and the most MB of Python and numpy that it holds at once."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def prose(n_bytes, seed=1):
+    """Texts of together about so many bytes, of words that come again and again, as a step of a worker has them."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=rnd.randint(2, 9))) for _ in range(3000)]
+    out, size = [], 0
+    while size < n_bytes:
+        out.append(" ".join(rnd.choices(vocabulary, k=300)) + rnd.choice(["", ".", "\n"]))
+        size += len(out[-1].encode())
+    return out
+
+
+def test_range_hashes_beyond_one_block():
+    data = np.random.default_rng(4).integers(0, 256, 3 * HASHED + 5, dtype=np.uint8)
+    ranges = [(0, 9), (HASHED - 3, HASHED + 3), (HASHED, HASHED), (2 * HASHED, 3 * HASHED + 5), (len(data), len(data)), (5, 5 + 2 * HASHED)]
+    got = range_hash(data, np.array([a for a, _ in ranges]), np.array([b for _, b in ranges]))
+    value = [0]
+    for a, b in ranges:
+        total = 0
+        for x in data[a:b][::-1].tolist():
+            total = (total * BASE + x + 1) % 2**64
+        value.append(total)
+    assert got.tolist() == mix(np.array(value[1:], U)).tolist()
+
+
+def test_range_hashes_take_one_word_a_byte():
+    data = np.zeros(4 << 20, np.uint8)
+    at = np.arange(0, len(data), 64)
+    assert peak_mb(lambda: range_hash(data, at, at + 5))[1] < 12 * len(data) / 1e6
+
+
+def test_encoding_takes_little_memory():
+    """Of a step of 4 MB, as packing and Re-Pair take them: two workers of an executor pack beside a JVM that the stages before have grown."""
+    col = pa.array(prose(4 << 20), pa.string())
+    e = ChunkEncoder.at(tokenizer_path())
+    e.encode(col)
+    assert peak_mb(lambda: e.encode_closed(col, 1, marked=True))[1] < 50
+
+
+@pytest.mark.parametrize("part", [1, 50, 4000])
+def test_parts_encode_as_the_whole(monkeypatch, part):
+    texts = [None, "", "One. Two!", ".", "\u0300", " ", "ab. ", None, *prose(9000, 3), "你好。再见。", ""]
+    e = ChunkEncoder.at(tokenizer_path())
+    whole = e.encode_closed(pa.chunked_array([pa.array(texts[:3]), pa.array(texts[3:])]), 1, marked=True)
+    monkeypatch.setattr(bpe, "PART", part)
+    parts = e.encode_closed(pa.array(texts), 1, marked=True)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+
+
+def test_language_labels_take_little_memory():
+    """Of a step of 6 MB."""
+    col = pa.array(prose(6 << 20), pa.string())
+    logs = np.random.default_rng(2).random((langid.SLOTS, 4)).astype(np.float32)
+    assert peak_mb(lambda: langid.label_words(col, logs, np.ones((len(langid.SCRIPTS), 4), bool), 12.0))[1] < 110
+
+
+def test_a_texts_word_scores_dont_depend_on_its_neighbours():
+    logs = np.random.default_rng(2).random((langid.SLOTS, 3)).astype(np.float32)
+    allowed = np.ones((len(langid.SCRIPTS), 3), bool)
+    texts = ["ab cd", "ef", None, "g", "1", "hé", "漢字あ", "z"]
+    alone = [langid.word_scores(pa.array([t], pa.string()), logs, allowed)[0].tolist() for t in texts]
+    together, ptr = langid.word_scores(pa.array(texts, pa.string()), logs, allowed)[:2]
+    assert [together[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == alone
