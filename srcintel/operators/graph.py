@@ -165,7 +165,57 @@ def components(edge: DataFrame) -> DataFrame:
     return stash(edge.repartition(1).mapInArrow(run, f"node {kind}, root {kind}"), "components")
 
 
-def _components_distributed(edge: DataFrame) -> DataFrame:
+def _components_distributed(edge: DataFrame, turned: bool = False) -> DataFrame:
+    """Nodes with a single edge out are followed to where they lead, in steps that double: those that stay among themselves end on cycles, which are
+    components; the others' ends take over the edges into them, and the graph that is left (mostly a small one) is searched again. Where few nodes
+    have a single edge, the graph is turned round, and where that doesn't help either, it is coloured. edge: distinct, no loops."""
+    edge = stash(edge, "edges")
+    out = stash(edge.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")), "degrees")
+    n, singles = out.agg(F.count("*"), F.count_if(F.col("n") == 1)).first()
+    if n == 0:
+        return edge.select(F.col("src").alias("node"), F.col("src").alias("root"))
+    if singles * 20 < n:
+        return _coloured(edge) if turned else _components_distributed(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")), True)
+    steps, final = _followed(out.where("n = 1").select(F.col("src").alias("node"), "to"))
+    rings = final.where("on").select(F.col("was").alias("node")).distinct().join(final.select("node", F.col("least").alias("root")), "node")
+    if singles == n:
+        return stash(rings, "components")
+    many = out.where("n > 1").select("src")
+    ends = final.where("not on").select(F.col("node").alias("dst"), F.col("to").alias("end"))
+    moved = edge.join(many, "src", "left_semi").join(ends, "dst", "left").select("src", "dst", F.coalesce("end", "dst").alias("end"))
+    moved = stash(moved.join(many.select(F.col("src").alias("end")), "end", "left_semi"), "moved")
+    rest = moved.where("src != end").select("src", F.col("end").alias("dst")).distinct()
+    inner = stash(components(rest), "inner")
+    # a followed node lies in its end's component if that component has an edge into it, or into one before it
+    named = [inner.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "end")]
+    into = moved.where("dst != end").join(named[0], "src", "left").join(named[1], "end", "left")
+    into = into.select(F.col("dst").alias("node"), F.coalesce("src_root", "src").alias("of"), F.coalesce("end_root", "end").alias("root")).where("of = root")
+    marked = stash(into.select("node", "root").distinct(), "marked")
+    for step in steps:
+        marked = stash(marked.union(marked.join(step, "node").select(F.col("to").alias("node"), "root")).distinct(), "marked")
+    whole = inner.union(marked).distinct()
+    least = whole.groupBy("root").agg(F.min("node").alias("least"))
+    return stash(whole.join(least, "root").select("node", F.col("least").alias("root")).union(rings), "components")
+
+
+def _followed(jump: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """jump: node, to, a row for each node. The steps (node, to) of 1, 2, 4 ... edges, and where they end: node, to; on: whether it goes on for ever,
+    then was, which lies on a cycle (all of a cycle's nodes do so), and least, the least node of the cycle."""
+    jump = stash(jump.withColumn("least", F.least("node", "to")), "jump")
+    steps, before = [jump.select("node", "to")], None
+    while True:
+        further = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        both = jump.select("node", "to", "least").join(further, "to", "left")
+        jump = stash(both.select("node", F.coalesce("to2", "to").alias("to"), F.least("least", "least2").alias("least"), F.col("to").alias("was"), F.col("to2").isNotNull().alias("on"), (F.col("least2") < F.col("least")).alias("less")), "jump")
+        steps.append(jump.select("node", "to"))
+        now = jump.where("on").agg(F.count("*"), F.countDistinct("was"), F.count_if("less")).first()
+        # as many go on as before: all that do never stop. As many ends as before: the ends are a permutation of themselves, which are cycles
+        if before is not None and now[:2] == before[:2] and now[2] == 0:
+            return steps, jump
+        before = now
+
+
+def _coloured(edge: DataFrame) -> DataFrame:
     """Colouring: trim nodes without edges in or out; the greatest label that reaches a node colours it; the nodes of a
     colour that reach its owner, inside the colour, are the owner's component; repeat on the rest."""
     found = None

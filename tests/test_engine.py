@@ -15,6 +15,7 @@ from srcintel.operators.facts import Facts
 from srcintel.plans import commands, report
 from srcintel.sources import config, corpus, pysource
 from srcintel.sources import project as projects
+from srcintel.storage import stash
 
 
 def make(spark, **files):
@@ -119,6 +120,30 @@ def test_components_of_random_graphs(pairs):
     assert {frozenset(p) for p in graph._tarjan(adjacent)} == {p for p in want if len(p) > 1}
 
 
+def test_long_ways_take_few_rounds(spark, monkeypatch):
+    """A ring of 3,000 nodes and a way of 1,000 into it: rounds grow with the logarithm of their length."""
+    pairs = [(k, (k + 1) % 3000) for k in range(3000)] + [(k, k + 1) for k in range(5000, 6000)] + [(6000, 7)]
+    edge = spark.createDataFrame(pairs, "src long, dst long")
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    tables = []
+    monkeypatch.setattr(graph, "stash", lambda df, name="table": tables.append(name) or stash(df, name))
+    got = graph.components(edge).collect()
+    assert sorted(got) == [(k, 0) for k in range(3000)] and len(tables) < 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contracted_components(spark, monkeypatch, seed):
+    """Random graphs of few and many edges out, with ways between: the same components as in one task."""
+    rng = random.Random(seed)
+    n = 60
+    pairs = {(a, rng.randrange(n)) for a in range(n) if rng.random() < 0.9} | {(rng.randrange(n), rng.randrange(n)) for _ in range((0, 10, 30, 90)[seed])}
+    pairs |= {(100 + a, 100 + a + 1) for a in range(0, 20)} | {(120, rng.randrange(n)), (rng.randrange(n), 100 + rng.randrange(20))}
+    edge = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    want = sorted(graph.components(edge).collect())
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    assert sorted(graph.components(edge).collect()) == want
+
+
 def test_every_smell(spark):
     files = {f"{k}/{kind}.py": s[0] if kind == "bad" else s[2] for k, s in corpus.SMELLS.items() for kind in ("bad", "good")}
     got = rules(smells.issues(Facts(of(spark, files))), "path", "line")
