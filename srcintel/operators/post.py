@@ -201,18 +201,23 @@ def verdict(count: int, most: int = 0) -> str:
 # --- fixes -------------------------------------------------------------------------------------------------
 
 
+def _lone_import(text: Column) -> Column:
+    return F.trim(text).rlike(r"^(import|from)\s") & ~text.rlike(r"[,()\;]")
+
+
 def fixable(f: Facts, unused: DataFrame) -> DataFrame:
     """path, line, fix: whether an unused import is alone on a line that can go whole."""
     text = f.corpus.select("path", F.posexplode(F.split("source", "\n", -1)).alias("i", "text")).withColumn("line", F.col("i") + 1)
-    single = F.trim("text").rlike(r"^(import|from)\s") & ~F.col("text").rlike(r"[,()\;]")
-    return unused.select("path", "line", "name").join(text, ["path", "line"]).select("path", "line", "name", single.alias("fix"))
+    return unused.select("path", "line", "name").join(text, ["path", "line"]).select("path", "line", "name", _lone_import(F.col("text")).alias("fix"))
 
 
 def fixed(f: Facts, unused: DataFrame) -> DataFrame:
-    """path, source: the files that change, without the lines that fixable() allows to go."""
-    gone = fixable(f, unused).where("fix").groupBy("path").agg(F.collect_set("line").alias("gone"))
-    left = F.filter(F.split("source", "\n", -1), lambda _, i: ~F.array_contains("gone", i + 1))
-    return f.corpus.join(gone, "path").select("path", F.array_join(left, "\n").alias("source"))
+    """path, source: the files that change, without the lines that fixable() allows to go. The lines are looked at inside the file's row."""
+    spare = unused.groupBy("path").agg(F.collect_set("line").alias("spare"))
+    text = F.split("source", "\n", -1)
+    left = F.filter(text, lambda x, i: ~(F.array_contains("spare", i + 1) & _lone_import(x)))
+    rows = f.corpus.join(spare, "path").select("path", F.size(text).alias("n"), left.alias("left"))
+    return rows.where("size(left) < n").select("path", F.array_join("left", "\n").alias("source"))
 
 
 # --- report rows -------------------------------------------------------------------------------------------
