@@ -62,10 +62,12 @@ def import_lines(names: DataFrame, by: str) -> DataFrame:
 def unused_import_modules(spark: SparkSession, sf: str) -> DataFrame:
     """A module for each part: imports its suppliers, and uses those that had a line returned."""
     rows = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("used"))
-    name = F.concat(F.lit("m_"), F.col("l_suppkey").cast("string"))
-    lines = rows.select("l_partkey", F.col("l_suppkey").alias("ord"), F.concat(F.lit("import "), name, F.lit("\n")).alias("text"))
-    uses = rows.where("used = 1").select("l_partkey", (F.col("l_suppkey") + (1 << 40)).alias("ord"), F.concat(name, F.lit(".run()\n")).alias("text"))
-    return import_lines(lines.union(uses), "l_partkey").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), "source")
+    used = F.array_sort(F.collect_list(F.struct("l_suppkey", "used")))
+    name = lambda x: F.concat(F.lit("m_"), x["l_suppkey"].cast("string"))
+    imports = F.transform("all", lambda x: F.concat(F.lit("import "), name(x), F.lit("\n")))
+    uses = F.transform(F.filter("all", lambda x: x["used"] == 1), lambda x: F.concat(name(x), F.lit(".run()\n")))
+    rows = rows.groupBy("l_partkey").agg(used.alias("all"))
+    return rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), F.array_join(F.concat(imports, uses), "").alias("source"))
 
 
 def supply_modules(spark: SparkSession, sf: str, hints: bool = False) -> DataFrame:
