@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import zipfile
@@ -71,15 +72,23 @@ PARTS = (*_FLAT, *_NESTED, "exports")
 _KINDS = dict(zip(["is_script", "has_getattr", *_NESTED, "exports"], ["boolean", "boolean", IMPORTS, BINDINGS, REFS, FUNCTIONS, SITES, TOKENS, "array<string>"]))
 
 
-def spread(corpus: DataFrame, by: str = "path") -> DataFrame:
-    """corpus over all cores. A scan with enough tasks stays as it is; what comes out of exchanges may have been put together to few
-    partitions by its size in bytes, and parsing costs far more than moving the text."""
+#: Bytes of the tables that a corpus comes from, for a task that parses.
+TASK = 1 << 20
+
+
+def spread(corpus: DataFrame, by: str = "path", task: int = TASK) -> DataFrame:
+    """corpus over all cores, in tasks that don't grow with it. A scan of enough tasks stays as it is; what comes out of exchanges may have been put
+    together to few partitions by its size in bytes, a scan's tasks may hold as many row groups or none, and parsing costs far more than moving the text."""
     spark = corpus.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    plan = corpus._jdf.queryExecution().executedPlan()
-    if plan.nodeName() != "AdaptiveSparkPlan" and plan.execute().getNumPartitions() >= cores:
+    run = corpus._jdf.queryExecution()
+    leaves = run.optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.length())]
+    tasks = min(-(-sum(n for n in sizes if n < 1 << 50) // task), 10_000)  # what has no files has no size
+    plan = run.executedPlan()
+    if plan.nodeName() != "AdaptiveSparkPlan" and plan.execute().getNumPartitions() >= max(cores, tasks):
         return corpus
-    return corpus.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
+    return corpus.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")), tasks), by)
 
 
 def facts(corpus: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
@@ -93,15 +102,20 @@ def facts(corpus: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = sys.getrecursionlimit()
         sys.setrecursionlimit(min(limit, 1000))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # rows hold whole files
-                part = batch.slice(lo, 256)
-                found = [parse(s, parts) for s in part.column("source").to_pylist()]
-                columns = [pa.array([f["error"] for f in found], _S)]
-                for n in parts:
-                    values = [f[n] for f in found]
-                    columns.append(_nested(values, n) if n in _NESTED else pa.array(values, _FLAT.get(n, pa.list_(_S))))
-                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("source"), *columns], ["path", "source", "error", *parts])
+        gc.disable()  # syntax trees hold no cycles, and are many objects to look through
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):  # rows hold whole files
+                    part = batch.slice(lo, 256)
+                    found = [parse(s, parts) for s in part.column("source").to_pylist()]
+                    columns = [pa.array([f["error"] for f in found], _S)]
+                    for n in parts:
+                        values = [f[n] for f in found]
+                        columns.append(_nested(values, n) if n in _NESTED else pa.array(values, _FLAT.get(n, pa.list_(_S))))
+                    yield pa.RecordBatch.from_arrays([part.column("path"), part.column("source"), *columns], ["path", "source", "error", *parts])
+                gc.collect(0)
+        finally:
+            gc.enable()
 
     schema = ", ".join(["path string", "source string", "error string", *(f"{n} {_KINDS[n]}" for n in parts)])
     return spread(corpus.select("path", "source")).mapInArrow(run, schema)

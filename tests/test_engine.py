@@ -450,3 +450,15 @@ def test_only_windows_that_may_be_shared_are_exchanged(spark, monkeypatch):
     monkeypatch.setattr(clones, "stash", lambda df, name="table": tables.setdefault(name, stash(df, name)))
     assert clones.pairs(df, 10, 3).count() == 6
     assert tables["candidates"].count() < 80  # of 2,012
+
+
+def test_tasks_do_not_grow_with_the_corpus(spark, tmp_path):
+    """Eight files of one row group each, enough for the cores: more tasks, where they hold more than a task should."""
+    from srcintel.operators.facts import spread
+
+    c = spark.range(4000).selectExpr("concat('m', id, '.py') as path", "concat('x = ', id, '\n') as source")
+    c.repartition(8).write.parquet(f"{tmp_path}/c")
+    rows = spark.read.parquet(f"{tmp_path}/c")
+    size = sum(p.stat().st_size for p in (tmp_path / "c").glob("*.parquet"))
+    assert spread(rows, task=size // 30).rdd.getNumPartitions() >= 30
+    assert spread(rows, task=size).rdd.getNumPartitions() < 30

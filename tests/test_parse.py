@@ -105,3 +105,12 @@ def test_tokens():
     assert tokens("x = f'a{b}c' + 1  # no\n\n") == [("name", "x", 1), ("op", "=", 1), ("string", "f'a{b}c'", 1), ("op", "+", 1), ("number", "1", 1), ("newline", "", 1)]
     assert [k for k, _, _ in tokens("if a:\n    b\n")] == ["op", "name", "op", "newline", "indent", "name", "newline", "dedent"]
     assert tokens("x = (\n")[:2] == [("name", "x", 1), ("op", "=", 1)]
+
+
+def test_equal_short_sources_are_parsed_once(monkeypatch):
+    from srcintel.functions import parse as module
+
+    source = "import os\nx = os.environ.get('FEATURE_ONCE')\n"
+    first = module.parse(source, ("imports", "sites"))
+    monkeypatch.setattr(module, "_Module", None)
+    assert module.parse(source, ("imports", "sites")) == first and first["sites"]
